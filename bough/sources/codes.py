@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -108,12 +109,12 @@ class FunctionLookup:
         """``(id, code)`` for a DataFrame of distinct ``id`` texts."""
         render = self.render
 
-        def codes(ids):
+        # A local function travels by value, so workers need only what ``render`` needs.
+        @F.pandas_udf("string")
+        def codes(ids: pd.Series) -> pd.Series:
             return render(ids)
 
-        # A local function travels by value, so workers need only what ``render`` needs.
-        as_codes = F.pandas_udf(codes, "string", F.PandasUDFType.SCALAR)
-        return distinct.select("id", as_codes("id").alias("code"))
+        return distinct.select("id", codes("id").alias("code"))
 
     def ids_of(self, values: list[str]) -> dict[str, str]:
         return {value: self.request(value) for value in dict.fromkeys(values)}
