@@ -62,13 +62,14 @@ def _floating_text(value: Column, limit: int) -> Column:
     digits = F.regexp_replace(F.regexp_replace(mantissa, r"\.", ""), "(?<=.)0+$", "")
     # Text without an exponent never takes this branch; the pattern keeps the cast quiet there.
     exponent = F.regexp_extract(plain, "E(-?[0-9]+)$", 1).try_cast("int")
+    power = F.abs(exponent).cast("string")
     count = F.length(digits)
     whole = exponent + 1
     scientific = F.concat(
         F.substring(digits, 1, 1),
         F.when(count > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), count))).otherwise(""),
         F.when(exponent < 0, "E-").otherwise("E+"),
-        F.lpad(F.abs(exponent).cast("string"), F.greatest(F.lit(2), F.length(F.abs(exponent).cast("string"))), F.lit("0")),
+        F.lpad(power, F.greatest(F.lit(2), F.length(power)), F.lit("0")),
     )
     spelled = (
         F.when((whole > F.greatest(count, F.lit(limit))) | (whole < -3), scientific)
@@ -82,7 +83,7 @@ def _floating_text(value: Column, limit: int) -> Column:
             )
         )
     )
-    return F.when(plain.rlike("E-?[0-9]+$"), F.concat(sign, spelled)).otherwise(short)
+    return F.when(plain.contains("E"), F.concat(sign, spelled)).otherwise(short)
 
 
 def csv_field(value: Column) -> Column:
@@ -115,10 +116,8 @@ def xml_element(name: str, value: Column) -> Column:
 
 def json_string(value: Column) -> Column:
     """A quoted and escaped JSON string; null becomes ``null``."""
-    listed = F.to_json(F.array(value))
-    return F.when(value.isNull(), "null").otherwise(
-        F.substring(listed, F.lit(2), F.length(listed) - 2)
-    )
+    # The array's brackets stand outside the quotes, so trimming them stops there.
+    return F.when(value.isNull(), "null").otherwise(F.btrim(F.to_json(F.array(value)), F.lit("[]")))
 
 
 def json_date_time(value: Column, dtype: T.DataType) -> Column:
@@ -166,7 +165,8 @@ def json_members(fields: list[tuple[str, Column, T.DataType, str, Column | None]
     def close_run() -> None:
         if run:
             whole = F.to_json(F.struct(*run), {"ignoreNullFields": "false"})
-            pieces.append(F.substring(whole, F.lit(2), F.length(whole) - 2))
+            # The last scalar never ends in a brace, so trimming takes the outer ones only.
+            pieces.append(F.btrim(whole, F.lit("{}")))
             run.clear()
 
     for name, value, dtype, declared, found in fields:

@@ -18,12 +18,14 @@ from bough.spec import Entity
 class Level:
     """Rows of one entity: ``key:i``, ``fk:i`` and the declared fields under their output names.
 
-    ``narrowed`` says whether a filter here or above can have removed parents.
+    ``narrowed`` says whether a filter here or above can have removed rows, ``tied`` whether the
+    rows were joined to surviving parents.
     """
 
     entity: Entity
     df: DataFrame
     narrowed: bool = False
+    tied: bool = False
 
     @property
     def key_names(self) -> list[str]:
@@ -74,7 +76,7 @@ def _tied(child: Level, parent: Level) -> Column:
 def keep_surviving(child: Level, parent: Level) -> Level:
     """Child rows whose parent survived. Orphans and null foreign keys drop out."""
     kept = child.df.join(_parent_keys(parent, []), _tied(child, parent), "left_semi")
-    return replace(child, df=kept, narrowed=True)
+    return replace(child, df=kept, narrowed=True, tied=True)
 
 
 def attach_parent(child: Level, parent: Level, carried: list[str]) -> DataFrame:

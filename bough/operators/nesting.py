@@ -46,6 +46,9 @@ def _gather(entity: Entity, levels: Mapping[str, Level], body) -> DataFrame:
         below = levels[child.name]
         kids = _gather(child, levels, body)
         item = kids.schema["row:"].dataType
+        if child.children or not below.tied:
+            # Lists do not shrink before the shuffle, so rows move first and are listed once.
+            kids = kids.repartition(*map(col, below.fk_names))
         # Keys are unique, so the sort never looks past them; nulls come first.
         listed = F.sort_array(F.collect_list(F.struct(*map(col, below.key_names), F.col("row:"))))
         grouped = kids.groupBy(*map(col, below.fk_names)).agg(

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from bough.functions.render import csv_line, field_text, text
 from bough.names import PARENT_ROW, ROW, code, col
 from bough.operators.levels import Level
-from bough.sinks.writing import ENTITY, write_ordered
+from bough.sinks.writing import ENTITY, write_lines
 from bough.spec import Entity, Export
 
 # The key columns of a bundle and the line end.
@@ -23,6 +23,8 @@ KEY = "_key"
 PARENT_KEY = "_parentKey"
 LINE_END = "\r\n"
 STEP = "step:"
+# A bundle file is not split below this many rows.
+FILE_ROWS = 10_000
 
 
 def field_texts(entity: Entity, schema: T.StructType) -> list[Column]:
@@ -47,39 +49,63 @@ def flat_lines(level: Level) -> DataFrame:
     return level.df.select(*map(col, level.key_names), line.alias("text"))
 
 
-def bundle_lines(entity: Entity, numbered: DataFrame, is_root: bool) -> DataFrame:
-    """``(RowNumber, text)`` for a numbered level, keys in front.
-
-    A root that names a parent key has the column, without values.
-    """
+def bundle_line(entity: Entity, schema: T.StructType, is_root: bool) -> Column:
+    """A record with its keys in front. A root that names a parent key has that column, empty."""
     parents = []
     if entity.parent_key_columns:
         parents = [F.lit("") if is_root else text(col(PARENT_ROW), T.LongType())]
-    values = [text(col(ROW), T.LongType()), *parents, *field_texts(entity, numbered.schema)]
-    return numbered.select(ROW, csv_line(values).alias("text"))
+    return csv_line([text(col(ROW), T.LongType()), *parents, *field_texts(entity, schema)])
 
 
-def _with_header(lines: DataFrame, entity: Entity, bundled: bool) -> DataFrame:
-    head = lines.sparkSession.createDataFrame(
-        [(0, header(entity, bundled))], f"`{STEP}` int, text string"
-    )
-    body = lines.withColumns({STEP: F.lit(1), ENTITY: F.lit(entity.name)})
-    return body.unionByName(head, allowMissingColumns=True)
+def bundle_lines(entity: Entity, numbered: DataFrame, is_root: bool) -> DataFrame:
+    """``(RowNumber, text)`` for a numbered level."""
+    line = bundle_line(entity, numbered.schema, is_root)
+    return numbered.select(ROW, line.alias("text"))
 
 
 def write_flat(level: Level, path: str) -> dict[str, int]:
-    lines = _with_header(flat_lines(level), level.entity, bundled=False)
-    order = [STEP, *level.key_names]
-    return write_ordered(lines, order, path, [level.entity.name], LINE_END)
+    """One file's worth of ordered parts.
+
+    Rows are sorted before they become text, so that text is made once, in the tasks that write.
+    """
+    entity, df = level.entity, level.df
+    sorted_rows = _below_header(df).orderBy(STEP, *map(col, level.key_names))
+    line = csv_line(field_texts(entity, df.schema))
+    return write_lines(_as_lines(sorted_rows, entity, line, False), path, [entity.name], LINE_END)
 
 
 def write_bundle(export: Export, numbered: Mapping[str, DataFrame], path: str) -> dict[str, int]:
     """``path/{Entity}.csv/`` for every entity, a header even where there are no rows."""
     counts: dict[str, int] = {}
     for entity in export.entities():
-        lines = bundle_lines(entity, numbered[entity.name], entity is export.root)
+        df = numbered[entity.name]
+        line = bundle_line(entity, df.schema, entity is export.root)
+        lines = _as_lines(_in_number_order(df), entity, line, True)
         folder = f"{path.rstrip('/')}/{entity.name}.csv"
-        counts |= write_ordered(
-            _with_header(lines, entity, bundled=True), [STEP, ROW], folder, [entity.name], LINE_END
-        )
+        counts |= write_lines(lines, folder, [entity.name], LINE_END)
     return counts
+
+
+def _below_header(df: DataFrame) -> DataFrame:
+    """Rows and, in front of them, one empty row that will become the header."""
+    head = df.sparkSession.createDataFrame([(0,)], f"`{STEP}` int")
+    return df.withColumn(STEP, F.lit(1)).unionByName(head, allowMissingColumns=True)
+
+
+def _in_number_order(df: DataFrame) -> DataFrame:
+    """Numbers are dense, so each row's partition follows from its number: no sampling pass."""
+    total = df.agg(F.max(ROW).alias("rows")).first().rows or 0
+    most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    files = max(1, min(most, -(-total // FILE_ROWS)))
+    per_file = max(1, -(-total // files))
+    target = F.floor((F.coalesce(col(ROW), F.lit(1)) - 1) / per_file).cast("int")
+    spread = _below_header(df).repartitionById(files, target)
+    return spread.sortWithinPartitions(STEP, ROW)
+
+
+def _as_lines(rows: DataFrame, entity: Entity, line: Column, bundled: bool) -> DataFrame:
+    is_head = col(STEP) == 0
+    return rows.select(
+        F.when(~is_head, F.lit(entity.name)).alias(ENTITY),
+        F.when(is_head, F.lit(header(entity, bundled))).otherwise(line).alias("text"),
+    )

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from bough.functions.render import field_text, json_members, xml_element
 from bough.names import code, col
 from bough.operators.levels import Level, attach_parent
-from bough.sinks.writing import ENTITY, write_ordered
+from bough.sinks.writing import ENTITY, write_lines
 from bough.spec import Entity, Export
 
 # Places among the pieces of one row: its opening has none (nulls sort first), then each child
@@ -140,6 +140,25 @@ def _own_keys(level: Level, depth: int) -> dict[str, Column]:
     return named
 
 
+def _smallest(level: Level) -> list[Column]:
+    """Aggregates for the smallest key, nulls first. A single key is aggregated as it is, which
+    hashes; a struct would have to be sorted."""
+    own = [col(k) for k in level.key_names]
+    if len(own) > 1:
+        return [F.min(F.struct(*own)).alias("smallest:")]
+    return [F.min(own[0]).alias("smallest:"), F.bool_or(own[0].isNull()).alias("null:")]
+
+
+def _smallest_key(level: Level) -> Column:
+    """The smallest key as a struct; null only where there were no rows."""
+    if len(level.key_names) > 1:
+        return col("smallest:")
+    name = level.key_names[0]
+    return F.when(
+        col("null:").isNotNull(), F.struct(F.when(~col("null:"), col("smallest:")).alias(name))
+    )
+
+
 def _with_firsts(level: Level, levels: Mapping[str, Level]) -> Level:
     """Each row's smallest child key per child entity, null where it has no such child.
 
@@ -150,9 +169,10 @@ def _with_firsts(level: Level, levels: Mapping[str, Level]) -> Level:
         below = levels[child.name]
         firsts = (
             below.df.groupBy(*map(col, below.fk_names))
-            .agg(F.min(F.struct(*map(col, below.key_names))).alias(first_child(child.name)))
+            .agg(*_smallest(below))
             .select(
-                *[col(f).alias(f"down:{f}") for f in below.fk_names], col(first_child(child.name))
+                *[col(f).alias(f"down:{f}") for f in below.fk_names],
+                _smallest_key(below).alias(first_child(child.name)),
             )
         )
         pairs = zip(level.key_names, below.fk_names)
@@ -164,7 +184,8 @@ def _with_firsts(level: Level, levels: Mapping[str, Level]) -> Level:
 def _with_first_root(level: Level) -> DataFrame:
     """The smallest key of the root level, on the one row that has it. A single row is broadcast."""
     df, own = level.df, F.struct(*map(col, level.key_names))
-    smallest = df.agg(F.min(own).alias(first_child(level.entity.name)))
+    first = _smallest_key(level).alias(first_child(level.entity.name))
+    smallest = df.agg(*_smallest(level)).select(first)
     same = own.eqNullSafe(col(first_child(level.entity.name)))
     return df.join(F.broadcast(smallest), same, "left")
 
@@ -219,8 +240,8 @@ def _pieces(placed: _Placed, style, export: Export) -> DataFrame:
                 (_LIST_CLOSE, style.list_closing(child)),
             ):
                 pieces.append(F.when(has_rows, piece(i * _PER_LIST + at, F.lit(text))))
-    present = F.filter(F.array(*pieces), lambda p: p.isNotNull())
-    return df.select(*place, F.inline(present))
+    # A list that is not there leaves a null piece, which comes out as a row without text.
+    return df.select(*place, F.inline(F.array(*pieces))).where(F.col("text").isNotNull())
 
 
 def document_pieces(
@@ -257,4 +278,4 @@ def document_pieces(
 def write_document(export: Export, levels: Mapping[str, Level], style, path: str) -> dict[str, int]:
     pieces, order = document_pieces(export, levels, style)
     names = [e.name for e in export.entities()]
-    return write_ordered(pieces, order, path, names, "\n")
+    return write_lines(pieces.orderBy(*map(col, order)), path, names, "\n")

@@ -5,20 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from bough.names import col
-
 ENTITY = "entity:"
 
 
-def write_ordered(
-    lines: DataFrame, order: list[str], path: str, entities: list[str], line_end: str
+def write_lines(
+    arranged: DataFrame, path: str, entities: list[str], line_end: str
 ) -> dict[str, int]:
-    """Write ``text`` in the given order; returns how many rows of each entity were written.
+    """Write ``text`` of rows that are in order; returns how many rows of each entity were written.
 
     The counts are taken behind the sort, in the tasks that write, so they need no second pass.
     """
     seen = Observation()
-    counted = lines.orderBy(*map(col, order)).observe(
+    counted = arranged.observe(
         seen,
         F.count(F.lit(1)).alias("lines"),
         *[F.count_if(F.col(ENTITY) == e).alias(e) for e in entities],
