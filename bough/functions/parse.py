@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # The texts each declared type accepts.
+BLANKS = "\t\n\v\f\r "
 _BLANK = r"[\t-\r ]*"
 WHOLE = rf"^{_BLANK}[+-]?[0-9]+{_BLANK}$"
 NUMBER = rf"^{_BLANK}[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?{_BLANK}$"
@@ -42,7 +43,7 @@ def parse(raw: Column, declared: str, decimal: tuple[int, int] = DECIMAL) -> Col
     target = spark_type(declared, decimal)
     if declared == "String":
         return raw
-    trimmed = F.regexp_replace(raw, r"^[\t-\r ]+|[\t-\r ]+$", "")
+    trimmed = F.btrim(raw, F.lit(BLANKS))
     if declared in ("Int32", "Int64"):
         return F.when(raw.rlike(WHOLE), trimmed.try_cast(target))
     if declared == "Decimal":

@@ -25,13 +25,20 @@ def nest(
     export: Export,
     levels: Mapping[str, Level],
     body: Callable[[Level, DataFrame], Column] | None = None,
+    ordered: bool = False,
 ) -> DataFrame:
     """One row per root: its ``key:i`` columns and ``row:``.
 
     ``row:`` is a struct of the fields and one array per child entity, in key order. ``body`` may
     build something else from a level's fields and its gathered children (text, for instance).
+    ``ordered`` puts the roots in key order.
     """
-    return _gather(export.root, levels, body or _struct_body)
+    root, body = levels[export.root.name], body or _struct_body
+    df = _with_children(export.root, levels, body)
+    if ordered:
+        # Sorted before the body is built, which is then built once, behind the sort.
+        df = df.orderBy(*map(col, root.key_names))
+    return df.select(*map(col, root.key_names), body(root, df).alias("row:"))
 
 
 def _struct_body(level: Level, df: DataFrame) -> Column:
@@ -39,12 +46,15 @@ def _struct_body(level: Level, df: DataFrame) -> Column:
     return F.struct(*[col(f.name) for f in level.entity.fields], *children)
 
 
-def _gather(entity: Entity, levels: Mapping[str, Level], body) -> DataFrame:
+def _with_children(entity: Entity, levels: Mapping[str, Level], body) -> DataFrame:
+    """A level with one array per child entity, empty where a row has no such children."""
     level = levels[entity.name]
     df = level.df
     for child in entity.children:
         below = levels[child.name]
-        kids = _gather(child, levels, body)
+        kids = _with_children(child, levels, body)
+        kept = map(col, [*below.key_names, *below.fk_names])
+        kids = kids.select(*kept, body(below, kids).alias("row:"))
         item = kids.schema["row:"].dataType
         if child.children or not below.tied:
             # Lists do not shrink before the shuffle, so rows move first and are listed once.
@@ -65,8 +75,7 @@ def _gather(entity: Entity, levels: Mapping[str, Level], body) -> DataFrame:
             .drop(*[f"down:{f}" for f in below.fk_names])
             .withColumn(child.name, F.coalesce(col(child.name), empty))
         )
-    kept = [*level.key_names, *level.fk_names]
-    return df.select(*map(col, kept), body(level, df).alias("row:"))
+    return df
 
 
 def unpack(nested: DataFrame) -> DataFrame:
@@ -133,7 +142,6 @@ def numbered_levels(export: Export, tables: Mapping[str, DataFrame]) -> dict[str
 
 def rebuild(export: Export, tables: Mapping[str, DataFrame]) -> DataFrame:
     """Nested rows from numbered levels, in root order."""
-    nested = nest(export, numbered_levels(export, tables))
-    return unpack(nested.orderBy(col(key(0))))
+    return unpack(nest(export, numbered_levels(export, tables), ordered=True))
 
 

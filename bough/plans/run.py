@@ -79,6 +79,7 @@ class ExportRun:
             if parent is not None:
                 check_key_types(level, self._projected[parent.name])
         self._code_joins = CodeJoins(self.lookups)
+        self._skeletons: dict[str, DataFrame] = {}
 
     @staticmethod
     def _require_columns(level: Level) -> None:
@@ -179,65 +180,56 @@ class ExportRun:
         self._require_unique()
         if not self.export.is_flat:
             nesting.require_fitting(self.export, self._pruned, most)
-        nested = nesting.nest(self.export, levels, body)
-        if ordered:
-            nested = nested.orderBy(*map(col, levels[self.export.root.name].key_names))
+        nested = nesting.nest(self.export, levels, body, ordered)
         return nesting.unpack(nested) if body is None else nested.select("row:")
 
     # ---- numbered levels -------------------------------------------------------------------
 
-    @cached_property
-    def _skeleton(self) -> dict[str, DataFrame]:
-        """``key:i, RowNumber, ParentRowNumber`` of every level, written once per level.
+    def _skeleton(self, entity: Entity) -> DataFrame:
+        """``key:i, RowNumber, ParentRowNumber`` of one level, written once per run.
 
-        Only keys are joined, sorted and staged. Numbers restart nowhere: a child's number counts
-        over its whole level, in the order of its parent's number and its own key.
+        Only keys are joined, sorted and staged, for this level and those above it. Numbers restart
+        nowhere: a child's number counts over its whole level, in the order of its parent's number
+        and its own key.
         """
-        tables: dict[str, DataFrame] = {}
-        for entity in self.export.entities():
-            level, parent = self._projected[entity.name], self.export.parent(entity)
-            if parent is None:
-                bare = level.df.select(
-                    F.lit(0).cast("long").alias(PARENT_ROW), *map(col, level.key_names)
-                )
-                order = level.key_names
-            else:
-                above = self._projected[parent.name].with_df(
-                    tables[parent.name].drop(PARENT_ROW).withColumnRenamed(ROW, PARENT_ROW)
-                )
-                narrow = level.with_df(
-                    level.df.select(*map(col, [*level.key_names, *level.fk_names]))
-                )
-                bare = attach_parent(narrow, above, [PARENT_ROW]).select(
-                    PARENT_ROW, *map(col, level.key_names)
-                )
-                order = [PARENT_ROW, *level.key_names]
-            numbered = dense_number(bare, order, label=entity.name)
-            # Fields are joined back by key, so here a repeated key can never pass.
-            checks.require_unique(numbered, level.key_names, entity.name)
-            tables[entity.name] = numbered
-        return tables
-
-    def _numbered(self, settled: bool) -> dict[str, DataFrame]:
-        frames = {}
-        for entity in self.export.entities():
-            level = self._projected[entity.name]
-            numbers = self._skeleton[entity.name].select(
-                *[col(k).alias(f"up:{k}") for k in level.key_names], ROW, PARENT_ROW
+        if entity.name in self._skeletons:
+            return self._skeletons[entity.name]
+        level, parent = self._projected[entity.name], self.export.parent(entity)
+        own = [col(k) for k in level.key_names]
+        if parent is None:
+            bare = level.df.select(F.lit(0).cast("long").alias(PARENT_ROW), *own)
+            order = level.key_names
+        else:
+            above = self._projected[parent.name].with_df(
+                self._skeleton(parent).drop(PARENT_ROW).withColumnRenamed(ROW, PARENT_ROW)
             )
-            same = [col(k).eqNullSafe(col(f"up:{k}")) for k in level.key_names]
-            joined = self._code_joins.apply(level.with_df(level.df.join(numbers, same)))
-            if settled:
-                joined = settle(joined)
-            helpers = [c for c in joined.df.columns if c.startswith("code:")]
-            frames[entity.name] = joined.df.select(
-                ROW, PARENT_ROW, *[col(f.name) for f in entity.fields], *map(col, helpers)
-            )
-        return frames
+            narrow = level.with_df(level.df.select(*own, *map(col, level.fk_names)))
+            bare = attach_parent(narrow, above, [PARENT_ROW]).select(PARENT_ROW, *own)
+            order = [PARENT_ROW, *level.key_names]
+        numbers = dense_number(bare, order, label=entity.name)
+        # Fields are joined back by key, so here a repeated key can never pass.
+        checks.require_unique(numbers, level.key_names, entity.name)
+        self._skeletons[entity.name] = numbers
+        return numbers
+
+    def _numbered_level(self, entity: Entity) -> Level:
+        """Numbers beside the fields and the codes found by lookups."""
+        level = self._projected[entity.name]
+        numbers = self._skeleton(entity).select(
+            *[col(k).alias(f"up:{k}") for k in level.key_names], ROW, PARENT_ROW
+        )
+        same = [col(k).eqNullSafe(col(f"up:{k}")) for k in level.key_names]
+        return self._code_joins.apply(level.with_df(level.df.join(numbers, same)))
+
+    def numbered_level(self, name: str | None = None) -> DataFrame:
+        """``(RowNumber, ParentRowNumber, fields...)`` of one entity."""
+        entity = self._entity(name)
+        settled = settle(self._numbered_level(entity)).df
+        return settled.select(ROW, PARENT_ROW, *[col(f.name) for f in entity.fields])
 
     def numbered(self) -> dict[str, DataFrame]:
         """``(RowNumber, ParentRowNumber, fields...)`` per entity."""
-        return self._numbered(settled=True)
+        return {e.name: self.numbered_level(e.name) for e in self.export.entities()}
 
     # ---- counts and outputs ----------------------------------------------------------------
 
@@ -251,7 +243,7 @@ class ExportRun:
         entity = self._entity(name)
         if self.export.is_flat:
             return csv.flat_lines(self._coded[entity.name])
-        numbered = self._numbered(settled=False)[entity.name]
+        numbered = self._numbered_level(entity).df
         return csv.bundle_lines(entity, numbered, entity is self.export.root)
 
     def document(self, format: str) -> tuple[DataFrame, list[str]]:
@@ -270,7 +262,8 @@ class ExportRun:
         if kind == "csv" and self.export.is_flat:
             return csv.write_flat(self._coded[self.export.root.name], path)
         if kind == "csv":
-            return csv.write_bundle(self.export, self._numbered(settled=False), path)
+            levels = {e.name: self._numbered_level(e).df for e in self.export.entities()}
+            return csv.write_bundle(self.export, levels, path)
         if kind == "parquet":
             self.nested().write.parquet(path)
             return {r.entity: r.rows for r in self.row_counts().collect()}

@@ -104,7 +104,7 @@ def level_transform(spark, folder):
 
 def numbered(spec, name, *fields):
     def query(spark, folder):
-        level = run(spark, folder, spec).numbered()[name]
+        level = run(spark, folder, spec).numbered_level(name)
         return level.select("RowNumber", "ParentRowNumber", *fields)
 
     return query
