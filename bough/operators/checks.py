@@ -20,11 +20,23 @@ def key_violations(df: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def require_unique(df: DataFrame, keys: list[str], entity: str) -> None:
-    example = key_violations(df, keys).limit(1).collect()
+def violation_notes(df: DataFrame, keys: list[str], entity: str) -> DataFrame:
+    """Violations of any entity in one shape: ``(entity, key, rows)``, the key as text."""
+    return key_violations(df, keys).select(
+        F.lit(entity).alias("entity"),
+        F.concat_ws(", ", *[col(k).cast("string") for k in keys]).alias("key"),
+        "rows",
+    )
+
+
+def require_none(notes: list[DataFrame]) -> None:
+    """Raise for any of the noted violations. All levels are checked in one job, down to one row."""
+    one = F.first(F.struct("entity", "key", "rows"), ignorenulls=True)
+    example = reduce(DataFrame.union, notes).agg(one.alias("note")).first().note
     if example:
-        values = ", ".join(str(v) for v in example[0][: len(keys)])
-        raise DuplicateKeys(f"entity '{entity}': {example[0]['rows']} rows share the key ({values})")
+        raise DuplicateKeys(
+            f"entity '{example.entity}': {example.rows} rows share the key ({example.key})"
+        )
 
 
 def row_counts(levels: dict[str, DataFrame]) -> DataFrame:

@@ -20,13 +20,17 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def sized_broadcast(pairs: DataFrame) -> DataFrame:
-    """``pairs`` with a broadcast hint if its measured size allows one."""
+    """``pairs`` with a broadcast hint if its measured size allows one.
+
+    A larger list is written first: a join against a plain table can split the partition of a hot
+    value, one against the output of an aggregate cannot.
+    """
     size = pairs.agg(
         F.count(F.lit(1)).alias("rows"),
         F.sum(F.octet_length("id") + F.octet_length("code")).alias("bytes"),
     ).first()
     small = size.rows <= BROADCAST_ROWS and (size.bytes or 0) <= BROADCAST_BYTES
-    return F.broadcast(pairs) if small else pairs
+    return F.broadcast(pairs) if small else stage(pairs, "codes")
 
 
 class CodeJoins:

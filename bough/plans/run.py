@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
-from functools import cached_property, reduce
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bough.errors import DuplicateKeys, SetupError
+from bough.errors import SetupError
 from bough.names import PARENT_ROW, ROW, col
 from bough.operators import checks, nesting
 from bough.operators.filters import conjunction
@@ -16,6 +16,7 @@ from bough.operators.levels import (
     Level,
     attach_parent,
     check_key_types,
+    key_order,
     keep_surviving,
     project,
 )
@@ -114,6 +115,12 @@ class ExportRun:
         """Pruned levels with the codes of looked-up fields beside the raw values."""
         return {name: self._code_joins.apply(level) for name, level in self._pruned.items()}
 
+    def _document_pieces(self, kind: str) -> tuple[DataFrame, list[str]]:
+        # Placing a row joins it to its parent, which is all the restricting it needs.
+        style = {"json": document.JsonStyle, "xml": document.XmlStyle}[kind]()
+        coded = {name: self._code_joins.apply(level) for name, level in self._projected.items()}
+        return document.document_pieces(self.export, coded, self._projected, style)
+
     def _entity(self, name: str | None) -> Entity:
         if name is None:
             return self.export.root
@@ -123,21 +130,16 @@ class ExportRun:
         return entity
 
     def _require_unique(self) -> None:
-        """One pass over the keys of all levels of a tree."""
+        """One pass over the keys of all levels of a tree, once per run."""
         if not self.check_keys or self.export.is_flat:
             return
-        found = [
-            checks.key_violations(level.df, level.key_names).select(
-                F.lit(name).alias("entity"),
-                F.concat_ws(", ", *[col(k).cast("string") for k in level.key_names]).alias("key"),
-                "rows",
-            )
-            for name, level in self._surviving.items()
-        ]
-        example = reduce(DataFrame.union, found).limit(1).collect()
-        if example:
-            entity, key, rows = example[0]
-            raise DuplicateKeys(f"entity '{entity}': {rows} rows share the key ({key})")
+        checks.require_none(
+            [
+                checks.violation_notes(level.df, level.key_names, name)
+                for name, level in self._surviving.items()
+            ]
+        )
+        self.check_keys = False
 
     # ---- rows ------------------------------------------------------------------------------
 
@@ -158,7 +160,7 @@ class ExportRun:
         if numbered:
             counted = dense_number(level.df, level.key_names)
             return (counted.orderBy(ROW) if ordered else counted).select(ROW, *fields)
-        df = level.df.orderBy(*map(col, level.key_names)) if ordered else level.df
+        df = level.df.orderBy(*key_order(level)) if ordered else level.df
         return df.select(*fields)
 
     def nested(self, ordered: bool = True, max_subtree_rows: int = MAX_SUBTREE_ROWS) -> DataFrame:
@@ -208,7 +210,7 @@ class ExportRun:
             order = [PARENT_ROW, *level.key_names]
         numbers = dense_number(bare, order, label=entity.name)
         # Fields are joined back by key, so here a repeated key can never pass.
-        checks.require_unique(numbers, level.key_names, entity.name)
+        checks.require_none([checks.violation_notes(numbers, level.key_names, entity.name)])
         self._skeletons[entity.name] = numbers
         return numbers
 
@@ -249,8 +251,7 @@ class ExportRun:
     def document(self, format: str) -> tuple[DataFrame, list[str]]:
         """The pieces of a JSON or XML document and the columns that order them."""
         self._require_unique()
-        style = {"json": document.JsonStyle, "xml": document.XmlStyle}[format]()
-        return document.document_pieces(self.export, self._coded, style)
+        return self._document_pieces(format)
 
     def write(self, path: str, format: str | None = None) -> dict[str, int]:
         """Write the export; returns the rows written per entity.
@@ -267,9 +268,7 @@ class ExportRun:
         if kind == "parquet":
             self.nested().write.parquet(path)
             return {r.entity: r.rows for r in self.row_counts().collect()}
-        self._require_unique()
-        style = {"json": document.JsonStyle, "xml": document.XmlStyle}[kind]()
-        return document.write_document(self.export, self._coded, style, path)
+        return document.write_pieces(self.export, *self.document(kind), path)
 
 
 __all__ = ["ExportRun", "MAX_SUBTREE_ROWS"]

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from bough.functions.render import csv_line, field_text, text
 from bough.names import PARENT_ROW, ROW, code, col
-from bough.operators.levels import Level
+from bough.operators.levels import Level, key_order
 from bough.sinks.writing import ENTITY, write_lines
 from bough.spec import Entity, Export
 
@@ -69,7 +69,7 @@ def write_flat(level: Level, path: str) -> dict[str, int]:
     Rows are sorted before they become text, so that text is made once, in the tasks that write.
     """
     entity, df = level.entity, level.df
-    sorted_rows = _below_header(df).orderBy(STEP, *map(col, level.key_names))
+    sorted_rows = _below_header(df).orderBy(STEP, *key_order(level))
     line = csv_line(field_texts(entity, df.schema))
     return write_lines(_as_lines(sorted_rows, entity, line, False), path, [entity.name], LINE_END)
 

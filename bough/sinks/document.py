@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from bough.functions.render import field_text, json_members, xml_element
 from bough.names import code, col
 from bough.operators.levels import Level, attach_parent
+from bough.operators.staging import stage
 from bough.sinks.writing import ENTITY, write_lines
 from bough.spec import Entity, Export
 
@@ -124,22 +125,13 @@ def xml_body(level: Level, df: DataFrame) -> Column:
 
 @dataclass(frozen=True)
 class _Placed:
-    """A level whose rows carry their place: step and key columns of every ancestor."""
+    """A level whose rows carry their place: step and key columns of every ancestor and their own."""
 
     level: Level
     depth: int
     place: tuple[str, ...]
 
 
-def _own_keys(level: Level, depth: int) -> dict[str, Column]:
-    """Key columns of a depth, one set per type so that sibling entities can share them."""
-    named = {}
-    for i, name in enumerate(level.key_names):
-        dtype = level.df.schema[name].dataType.simpleString()
-        named[f"at:{depth}:{i}:{dtype}"] = col(name)
-    return named
-
-
 def _smallest(level: Level) -> list[Column]:
     """Aggregates for the smallest key, nulls first. A single key is aggregated as it is, which
     hashes; a struct would have to be sorted."""
@@ -181,101 +173,135 @@ def _with_firsts(level: Level, levels: Mapping[str, Level]) -> Level:
     return level.with_df(df)
 
 
-def _with_first_root(level: Level) -> DataFrame:
+def _with_first_root(level: Level) -> Level:
     """The smallest key of the root level, on the one row that has it. A single row is broadcast."""
-    df, own = level.df, F.struct(*map(col, level.key_names))
     first = _smallest_key(level).alias(first_child(level.entity.name))
-    smallest = df.agg(*_smallest(level)).select(first)
-    same = own.eqNullSafe(col(first_child(level.entity.name)))
-    return df.join(F.broadcast(smallest), same, "left")
+    smallest = level.df.agg(*_smallest(level)).select(first)
+    same = _own(level).eqNullSafe(col(first_child(level.entity.name)))
+    return level.with_df(level.df.join(F.broadcast(smallest), same, "left"))
 
 
-def _place(
-    entity: Entity, levels: Mapping[str, Level], above: _Placed | None, index: int, lists: bool
-) -> _Placed:
-    level = levels[entity.name]
-    own = _own_keys(level, 0 if above is None else above.depth + 1)
+def _own(level: Level) -> Column:
+    return F.struct(*map(col, level.key_names))
+
+
+def _place(level: Level, above: _Placed | None, index: int, carried: list[str]) -> _Placed:
+    """Give rows their place: that of their parent, the list they are in, their own key."""
+    depth = 0 if above is None else above.depth + 1
+    keys = {
+        # Sibling entities share a column where their keys have one type.
+        f"at:{depth}:{i}:{level.df.schema[name].dataType.simpleString()}": col(name)
+        for i, name in enumerate(level.key_names)
+    }
     if above is None:
-        depth, place = 0, (step(0), *own)
-        df = level.df.withColumns({step(0): F.lit(_DOC_ROWS), **own})
+        df, where, upper = level.df, _DOC_ROWS, ()
     else:
-        depth = above.depth + 1
-        place = (*above.place, step(depth), *own)
-        carried = [*above.place, *([first_child(entity.name)] if lists else [])]
-        df = attach_parent(level, above.level, carried).withColumns(
-            {step(depth): F.lit(index * _PER_LIST + _LIST_ROWS), **own}
-        )
-    return _Placed(level.with_df(df), depth, place)
+        df = attach_parent(level, above.level, [*above.place, *carried])
+        where, upper = index * _PER_LIST + _LIST_ROWS, above.place
+    df = df.withColumns({step(depth): F.lit(where), **keys})
+    return _Placed(level.with_df(df), depth, (*upper, step(depth), *keys))
 
 
-def _pieces(placed: _Placed, style, export: Export) -> DataFrame:
-    """Every piece one level contributes, with its place, from one pass over the rows."""
+def _row_pieces(placed: _Placed, style, is_first: Column | None) -> DataFrame:
+    """The opening of every row and, where rows can have children, the closing."""
     level, entity, df = placed.level, placed.level.entity, placed.level.df
-    is_first = None
-    if style.lists:
-        if entity is export.root:
-            df = _with_first_root(level)
-        own = F.struct(*map(col, level.key_names))
-        is_first = own.eqNullSafe(col(first_child(entity.name)))
     opening = style.opening(level, df, is_first)
     place = [*map(col, placed.place)]
     if not entity.children:
         return df.select(*place, F.lit(entity.name).alias(ENTITY), opening.alias("text"))
+    closing = F.lit(style.closing(entity))
+    pieces = [
+        _piece(placed, None, opening, F.lit(entity.name)),
+        _piece(placed, F.lit(_ROW_CLOSE), closing, None),
+    ]
+    return df.select(*place, F.inline(F.array(*pieces)))
 
-    next_step = step(placed.depth + 1)
 
-    def piece(at: int | None, text: Column, owner: str | None = None) -> Column:
-        return F.struct(
-            F.lit(at).cast("int").alias(next_step),
-            F.lit(owner).cast("string").alias(ENTITY),
-            text.alias("text"),
-        )
+def _piece(placed: _Placed, at: Column | None, text: Column, owner: Column | None) -> Column:
+    nothing = F.lit(None)
+    return F.struct(
+        (nothing if at is None else at).cast("int").alias(step(placed.depth + 1)),
+        (nothing if owner is None else owner).cast("string").alias(ENTITY),
+        text.alias("text"),
+    )
+
 
-    pieces = [piece(None, opening, entity.name), piece(_ROW_CLOSE, F.lit(style.closing(entity)))]
-    if style.lists:
-        for i, child in enumerate(entity.children):
-            has_rows = col(first_child(child.name)).isNotNull()
-            for at, text in (
-                (_LIST_OPEN, style.list_opening(child)),
-                (_LIST_CLOSE, style.list_closing(child)),
-            ):
-                pieces.append(F.when(has_rows, piece(i * _PER_LIST + at, F.lit(text))))
+def _list_pieces(placed: _Placed, style) -> DataFrame:
+    """The ends of every child list that has rows."""
+    pieces = []
+    for i, child in enumerate(placed.level.entity.children):
+        has_rows = col(first_child(child.name)).isNotNull()
+        for at, text in (
+            (_LIST_OPEN, style.list_opening(child)),
+            (_LIST_CLOSE, style.list_closing(child)),
+        ):
+            piece = _piece(placed, F.lit(i * _PER_LIST + at), F.lit(text), None)
+            pieces.append(F.when(has_rows, piece))
     # A list that is not there leaves a null piece, which comes out as a row without text.
-    return df.select(*place, F.inline(F.array(*pieces))).where(F.col("text").isNotNull())
+    spread = placed.level.df.select(*map(col, placed.place), F.inline(F.array(*pieces)))
+    return spread.where(F.col("text").isNotNull())
 
 
 def document_pieces(
-    export: Export, levels: Mapping[str, Level], style
+    export: Export, levels: Mapping[str, Level], bare: Mapping[str, Level], style
 ) -> tuple[DataFrame, list[str]]:
-    """All pieces of a document and the columns that put them in order."""
+    """All pieces of a document and the columns that put them in order.
+
+    ``levels`` have what is written; ``bare`` are the same rows, used for their keys only.
+    """
     parts: list[DataFrame] = []
-    placed: dict[str, _Placed] = {}
+    seats: dict[str, _Placed] = {}
     indexes = {c.name: i for e in export.entities() for i, c in enumerate(e.children)}
+    deepest = 0
     for entity in export.entities():
-        parent = export.parent(entity)
-        above = placed[parent.name] if parent else None
-        here = _place(entity, levels, above, indexes.get(entity.name, 0), style.lists)
-        if style.lists and entity.children:
-            here = replace(here, level=_with_firsts(here.level, levels))
-        # Children only need the keys and places of their parents, not the fields.
-        placed[entity.name] = here
-        parts.append(_pieces(here, style, export))
+        level, parent = levels[entity.name], export.parent(entity)
+        above = seats[parent.name] if parent else None
+        index = indexes.get(entity.name, 0)
+        is_first, carried = None, []
+        if style.lists:
+            is_first = _own(level).eqNullSafe(col(first_child(entity.name)))
+            carried = [first_child(entity.name)]
+            level = level if parent else _with_first_root(level)
+        placed = _place(level, above, index, carried)
+        deepest = max(deepest, placed.depth)
+        parts.append(_row_pieces(placed, style, is_first))
+        if entity.children:
+            seats[entity.name] = _seats(bare, entity, above, index, style.lists)
+            if style.lists:
+                parts.append(_list_pieces(seats[entity.name], style))
 
     first, last = style.document(export)
     ends = parts[0].sparkSession.createDataFrame(
         [(_DOC_OPEN, first), (_DOC_CLOSE, last)], f"`{step(0)}` int, text string"
     )
     pieces = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [*parts, ends])
-    deepest = max(p.depth for p in placed.values()) + 1
     order = []
-    for depth in range(deepest + 1):
+    for depth in range(deepest + 2):
         if step(depth) in pieces.columns:
             order.append(step(depth))
         order += sorted(c for c in pieces.columns if c.startswith(f"at:{depth}:"))
     return pieces, order
 
 
-def write_document(export: Export, levels: Mapping[str, Level], style, path: str) -> dict[str, int]:
-    pieces, order = document_pieces(export, levels, style)
+def _seats(
+    bare: Mapping[str, Level], entity: Entity, above: _Placed | None, index: int, lists: bool
+) -> _Placed:
+    """Keys and places of the rows that children are tied to, without their fields.
+
+    They are written, so that a deep tree does not work out its upper levels once per level, and
+    so that the join of the children reads a plain table and can split a parent that many share.
+    """
+    level = bare[entity.name]
+    keys = level.df.select(*map(col, [*level.key_names, *level.fk_names]))
+    placed = _place(level.with_df(keys), above, index, [])
+    seated = _with_firsts(placed.level, bare) if lists else placed.level
+    if lists or above is not None:
+        seated = seated.with_df(stage(seated.df.drop(*seated.fk_names), entity.name))
+    return replace(placed, level=seated)
+
+
+def write_pieces(
+    export: Export, pieces: DataFrame, order: list[str], path: str
+) -> dict[str, int]:
     names = [e.name for e in export.entities()]
     return write_lines(pieces.orderBy(*map(col, order)), path, names, "\n")
