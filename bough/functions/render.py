@@ -54,36 +54,24 @@ def _decimal_text(value: Column, dtype: T.DecimalType) -> Column:
 
 
 def _floating_text(value: Column, limit: int) -> Column:
-    """Shortest digits that read back: ``42``, ``0.5``, ``1E+16``, ``1.5E-07``."""
+    """Shortest digits that read back: ``42``, ``0.5``, ``1E+16``, ``1.5E-07``.
+
+    Spark's own text has an exponent outside 0.001 to 10 million; much of that range is spelled out
+    here. The few branches keep the generated code small enough to be compiled.
+    """
     plain = value.cast("string")
-    short = F.regexp_replace(plain, r"\.0$", "")
-    sign = F.when(plain.startswith("-"), "-").otherwise("")
-    mantissa = F.regexp_replace(F.substring_index(plain, "E", 1), "^-", "")
-    digits = F.regexp_replace(F.regexp_replace(mantissa, r"\.", ""), "(?<=.)0+$", "")
-    # Text without an exponent never takes this branch; the pattern keeps the cast quiet there.
-    exponent = F.regexp_extract(plain, "E(-?[0-9]+)$", 1).try_cast("int")
-    power = F.abs(exponent).cast("string")
-    count = F.length(digits)
-    whole = exponent + 1
-    scientific = F.concat(
-        F.substring(digits, 1, 1),
-        F.when(count > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), count))).otherwise(""),
-        F.when(exponent < 0, "E-").otherwise("E+"),
-        F.lpad(power, F.greatest(F.lit(2), F.length(power)), F.lit("0")),
-    )
-    spelled = (
-        F.when((whole > F.greatest(count, F.lit(limit))) | (whole < -3), scientific)
-        .when(whole <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -whole), digits))
-        .when(count <= whole, F.rpad(digits, whole, F.lit("0")))
-        .otherwise(
-            F.concat(
-                F.substring(digits, F.lit(1), whole),
-                F.lit("."),
-                F.substring(digits, whole + 1, count),
-            )
-        )
+    exponent = F.substring_index(plain, "E", -1).try_cast("int")
+    digits = F.length(F.ltrim(F.substring_index(plain, "E", 1), F.lit("-"))) - 1
+    spelled_out = (exponent == -4) | ((exponent > 0) & (exponent < F.greatest(digits, F.lit(limit))))
+    # 17 digits before the point and 21 after it hold every such value exactly.
+    spelled = F.regexp_replace(plain.try_cast("decimal(38,21)").cast("string"), r"\.?0+$", "")
+    signed = F.regexp_replace(F.replace(plain, F.lit(".0E"), F.lit("E")), "E([0-9])", "E+$1")
+    padded = F.regexp_replace(signed, "([+-])([0-9])$", "$10$2")
+    return (
+        F.when(~plain.contains("E"), F.regexp_replace(plain, r"\.0$", ""))
+        .when(spelled_out, spelled)
+        .otherwise(padded)
     )
-    return F.when(plain.contains("E"), F.concat(sign, spelled)).otherwise(short)
 
 
 def csv_field(value: Column) -> Column:

@@ -29,7 +29,7 @@ from bough.sources.tables import given_tables, scan
 from bough.spec import Entity, Export
 
 # A nested row is built inside one task, so its size is measured against this first.
-MAX_SUBTREE_ROWS = 1_000_000
+MAX_SUBTREE_ROWS = 4_000_000
 
 
 class ExportRun:
