@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bough.errors import DuplicateKeys
+from bough.errors import DuplicateKeys, SubtreeTooLarge
 from bough.names import col
 
 
@@ -30,13 +30,24 @@ def violation_notes(df: DataFrame, keys: list[str], entity: str) -> DataFrame:
 
 
 def require_none(notes: list[DataFrame]) -> None:
-    """Raise for any of the noted violations. All levels are checked in one job, down to one row."""
+    """Raise for any of the noted violations. All are looked for in one job that returns one row.
+
+    A note without a key is about the size of a subtree.
+    """
+    if not notes:
+        return
     one = F.first(F.struct("entity", "key", "rows"), ignorenulls=True)
     example = reduce(DataFrame.union, notes).agg(one.alias("note")).first().note
-    if example:
-        raise DuplicateKeys(
-            f"entity '{example.entity}': {example.rows} rows share the key ({example.key})"
+    if example is None:
+        return
+    if example.key is None:
+        raise SubtreeTooLarge(
+            f"a nested row of '{example.entity}' would hold {example.rows} rows; write a json or "
+            "xml document or a csv bundle instead, or raise the limit"
         )
+    raise DuplicateKeys(
+        f"entity '{example.entity}': {example.rows} rows share the key ({example.key})"
+    )
 
 
 def row_counts(levels: dict[str, DataFrame]) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from bough.errors import FilterError
 from bough.functions.parse import parse
 from bough.names import col
+from bough.operators.staging import small_rows
 from bough.spec import Field, Filter
 
 
@@ -45,8 +46,8 @@ class BoundFilter:
 
 def _texts(spark: SparkSession, values: list[str], as_value) -> list[str | None]:
     """Evaluate an expression over the few supplied values, keeping their order."""
-    listed = spark.range(1).select(F.posexplode(F.array(*[F.lit(v) for v in values])))
-    rows = listed.select("pos", as_value(F.col("col")).cast("string").alias("text")).collect()
+    given = small_rows(spark, list(enumerate(values)), "pos int, raw string")
+    rows = given.select("pos", as_value(F.col("raw")).cast("string").alias("text")).collect()
     return [row.text for row in sorted(rows, key=lambda r: r.pos)]
 
 

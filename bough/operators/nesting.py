@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bough.errors import SubtreeTooLarge
 from bough.names import PARENT_ROW, ROW, col, fk, key
 from bough.operators.levels import Level
 from bough.spec import Entity, Export
@@ -111,13 +110,12 @@ def subtree_rows(export: Export, levels: Mapping[str, Level]) -> DataFrame:
     return sizes(export.root)
 
 
-def require_fitting(export: Export, levels: Mapping[str, Level], most: int) -> None:
-    biggest = subtree_rows(export, levels).agg(F.max("rows").alias("rows")).first().rows or 0
-    if biggest > most:
-        raise SubtreeTooLarge(
-            f"a nested row of '{export.root.name}' would hold {biggest} rows, more than {most}; "
-            "write a json or xml document or a csv bundle instead, or raise the limit"
-        )
+def oversized_notes(export: Export, levels: Mapping[str, Level], most: int) -> DataFrame:
+    """The largest subtree if it has more than ``most`` rows, in the shape of key violations."""
+    largest = subtree_rows(export, levels).agg(F.max("rows").alias("rows"))
+    return largest.where(F.col("rows") > most).select(
+        F.lit(export.root.name).alias("entity"), F.lit(None).cast("string").alias("key"), "rows"
+    )
 
 
 def numbered_levels(export: Export, tables: Mapping[str, DataFrame]) -> dict[str, Level]:

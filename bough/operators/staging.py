@@ -1,4 +1,4 @@
-"""Written intermediate tables, for results that several later plans read."""
+"""Written intermediate tables for results that several later plans read, and tiny given ones."""
 
 from __future__ import annotations
 
@@ -12,6 +12,11 @@ from bough.errors import SetupError
 SETTING = "spark.checkpoint.dir"
 
 
+def small_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A handful of rows from the driver in one partition, whatever the cluster's parallelism."""
+    return spark.createDataFrame(rows, schema).coalesce(1)
+
+
 def staging_root(spark: SparkSession) -> str:
     """The shared folder the session names.
 

@@ -129,16 +129,20 @@ class ExportRun:
             raise SetupError(f"no entity '{name}' in export '{self.export.name}'")
         return entity
 
-    def _require_unique(self) -> None:
-        """One pass over the keys of all levels of a tree, once per run."""
-        if not self.check_keys or self.export.is_flat:
+    def _check_tree(self, max_subtree_rows: int | None = None) -> None:
+        """One pass over the keys of a tree: unique in every level, and subtrees of a size that a
+        nested row can hold."""
+        if self.export.is_flat:
             return
-        checks.require_none(
-            [
+        notes = []
+        if self.check_keys:
+            notes += [
                 checks.violation_notes(level.df, level.key_names, name)
                 for name, level in self._surviving.items()
             ]
-        )
+        if max_subtree_rows is not None:
+            notes.append(nesting.oversized_notes(self.export, self._pruned, max_subtree_rows))
+        checks.require_none(notes)
         self.check_keys = False
 
     # ---- rows ------------------------------------------------------------------------------
@@ -179,9 +183,7 @@ class ExportRun:
         return df.withColumnRenamed("row:", "xml")
 
     def _nest(self, levels, body, ordered: bool, most: int) -> DataFrame:
-        self._require_unique()
-        if not self.export.is_flat:
-            nesting.require_fitting(self.export, self._pruned, most)
+        self._check_tree(most)
         nested = nesting.nest(self.export, levels, body, ordered)
         return nesting.unpack(nested) if body is None else nested.select("row:")
 
@@ -250,7 +252,7 @@ class ExportRun:
 
     def document(self, format: str) -> tuple[DataFrame, list[str]]:
         """The pieces of a JSON or XML document and the columns that order them."""
-        self._require_unique()
+        self._check_tree()
         return self._document_pieces(format)
 
     def write(self, path: str, format: str | None = None) -> dict[str, int]:
@@ -264,7 +266,8 @@ class ExportRun:
             return csv.write_flat(self._coded[self.export.root.name], path)
         if kind == "csv":
             levels = {e.name: self._numbered_level(e).df for e in self.export.entities()}
-            return csv.write_bundle(self.export, levels, path)
+            totals = {e.name: self._skeleton(e).count() for e in self.export.entities()}
+            return csv.write_bundle(self.export, levels, totals, path)
         if kind == "parquet":
             self.nested().write.parquet(path)
             return {r.entity: r.rows for r in self.row_counts().collect()}

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from bough.functions.render import csv_line, field_text, text
 from bough.names import PARENT_ROW, ROW, code, col
 from bough.operators.levels import Level, key_order
+from bough.operators.staging import small_rows
 from bough.sinks.writing import ENTITY, write_lines
 from bough.spec import Entity, Export
 
@@ -74,13 +75,18 @@ def write_flat(level: Level, path: str) -> dict[str, int]:
     return write_lines(_as_lines(sorted_rows, entity, line, False), path, [entity.name], LINE_END)
 
 
-def write_bundle(export: Export, numbered: Mapping[str, DataFrame], path: str) -> dict[str, int]:
-    """``path/{Entity}.csv/`` for every entity, a header even where there are no rows."""
+def write_bundle(
+    export: Export, numbered: Mapping[str, DataFrame], totals: Mapping[str, int], path: str
+) -> dict[str, int]:
+    """``path/{Entity}.csv/`` for every entity, a header even where there are no rows.
+
+    ``totals`` are the row counts, which are the highest numbers.
+    """
     counts: dict[str, int] = {}
     for entity in export.entities():
         df = numbered[entity.name]
         line = bundle_line(entity, df.schema, entity is export.root)
-        lines = _as_lines(_in_number_order(df), entity, line, True)
+        lines = _as_lines(_in_number_order(df, totals[entity.name]), entity, line, True)
         folder = f"{path.rstrip('/')}/{entity.name}.csv"
         counts |= write_lines(lines, folder, [entity.name], LINE_END)
     return counts
@@ -88,13 +94,12 @@ def write_bundle(export: Export, numbered: Mapping[str, DataFrame], path: str) -
 
 def _below_header(df: DataFrame) -> DataFrame:
     """Rows and, in front of them, one empty row that will become the header."""
-    head = df.sparkSession.createDataFrame([(0,)], f"`{STEP}` int")
+    head = small_rows(df.sparkSession, [(0,)], f"`{STEP}` int")
     return df.withColumn(STEP, F.lit(1)).unionByName(head, allowMissingColumns=True)
 
 
-def _in_number_order(df: DataFrame) -> DataFrame:
+def _in_number_order(df: DataFrame, total: int) -> DataFrame:
     """Numbers are dense, so each row's partition follows from its number: no sampling pass."""
-    total = df.agg(F.max(ROW).alias("rows")).first().rows or 0
     most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     files = max(1, min(most, -(-total // FILE_ROWS)))
     per_file = max(1, -(-total // files))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from bough.functions.render import field_text, json_members, xml_element
 from bough.names import code, col
 from bough.operators.levels import Level, attach_parent
-from bough.operators.staging import stage
+from bough.operators.staging import small_rows, stage
 from bough.sinks.writing import ENTITY, write_lines
 from bough.spec import Entity, Export
 
@@ -271,8 +271,10 @@ def document_pieces(
                 parts.append(_list_pieces(seats[entity.name], style))
 
     first, last = style.document(export)
-    ends = parts[0].sparkSession.createDataFrame(
-        [(_DOC_OPEN, first), (_DOC_CLOSE, last)], f"`{step(0)}` int, text string"
+    ends = small_rows(
+        parts[0].sparkSession,
+        [(_DOC_OPEN, first), (_DOC_CLOSE, last)],
+        f"`{step(0)}` int, text string",
     )
     pieces = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [*parts, ends])
     order = []

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from bough.errors import UnknownCode
 from bough.functions.render import text
 from bough.names import col
+from bough.operators.staging import small_rows
 
 # The usual column names of a code table and its code type table.
 ID_COLUMN = "TblCodeID"
@@ -70,9 +71,8 @@ class CodeList:
         Where a list repeats a code, the greatest id is taken: numerically for whole numbers.
         """
         spark = self.pairs.sparkSession
-        wanted = spark.createDataFrame(
-            [(v, v.lower()) for v in dict.fromkeys(values)], "value string, folded string"
-        )
+        pairs = [(v, v.lower()) for v in dict.fromkeys(values)]
+        wanted = small_rows(spark, pairs, "value string, folded string")
         folded = self.pairs.select("id", F.lower("code").alias("folded"))
         rank = F.struct(F.col("id").try_cast("long"), F.col("id"))
         found = (
