@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from bough.errors import SetupError
 from bough.names import col, fk, fks, key, keys
+from bough.operators.staging import row_hash
 from bough.spec import Entity
 
 
@@ -76,7 +77,7 @@ def _tied(child: Level, parent: Level) -> Column:
 def key_order(level: Level) -> list[Column]:
     """Key order for rows whose keys nobody checked. Rows that share a key are told apart by a hash
     of the row, so that a key with a large share of the rows still spreads over many tasks."""
-    return [*map(col, level.key_names), F.xxhash64(*map(col, level.df.columns))]
+    return [*map(col, level.key_names), row_hash(level.df)]
 
 
 def keep_surviving(child: Level, parent: Level) -> Level:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bough.names import ROW, col
-from bough.operators.staging import stage
+from bough.operators.staging import row_hash, stage
 
 _PLACE_BITS = 33  # monotonically_increasing_id keeps the place in the task in its low 33 bits
 
@@ -22,8 +22,7 @@ def dense_number(df: DataFrame, order: list[str], name: str = ROW, label: str =
     Rows that tie on ``order`` are told apart by a hash of the whole row, so that one value
     holding a large share of the rows still spreads over many tasks.
     """
-    hashable = [col(c) for c in df.columns]
-    ranked = df.orderBy(*[col(c) for c in order], F.xxhash64(*hashable))
+    ranked = df.orderBy(*[col(c) for c in order], row_hash(df))
     staged = stage(
         ranked.select(
             "*",

@@ -1,13 +1,16 @@
-"""Written intermediate tables for results that several later plans read, and tiny given ones."""
+"""Written intermediate tables for results that several later plans read, and other small helpers."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bough.errors import SetupError
+from bough.names import col
 
 SETTING = "spark.checkpoint.dir"
 
@@ -17,6 +20,12 @@ def small_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame
     return spark.createDataFrame(rows, schema).coalesce(1)
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash of the plain columns of a row, to tell rows apart that share a sort key."""
+    nested = (T.MapType, T.ArrayType, T.StructType)
+    return F.xxhash64(*[col(f.name) for f in df.schema if not isinstance(f.dataType, nested)])
+
+
 def staging_root(spark: SparkSession) -> str:
     """The shared folder the session names.
 
