@@ -8,10 +8,9 @@ from pyspark.sql import types as T
 
 from bough.names import quoted
 
-# Output patterns, and the shortest digit count at which floating-point text
-# switches to the exponent form.
-DATE = "yyyy-MM-dd"
-DATE_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSS"
+# Fraction digits of a date-time, the pattern of an offset, and the shortest digit
+# count at which floating-point text switches to the exponent form.
+FRACTION_DIGITS = 7
 OFFSET = "XXX"
 DOUBLE_DIGITS = 15
 FLOAT_DIGITS = 7
@@ -26,12 +25,8 @@ _STAMPS = (T.TimestampType, T.TimestampNTZType)
 
 def text(value: Column, dtype: T.DataType, declared: str = "String") -> Column:
     """Invariant text of a value; null stays null. ``declared`` only matters for dates."""
-    if isinstance(dtype, T.DateType):
-        return F.date_format(value, DATE if declared == "Date" else DATE_TIME)
-    if isinstance(dtype, T.TimestampNTZType):
-        return F.date_format(value, DATE if declared == "Date" else DATE_TIME)
-    if isinstance(dtype, T.TimestampType):
-        return F.date_format(value, DATE if declared == "Date" else DATE_TIME + OFFSET)
+    if isinstance(dtype, (T.DateType, *_STAMPS)):
+        return _day(value) if declared == "Date" else _date_time(value, dtype, trimmed=False)
     if isinstance(dtype, T.BinaryType):
         return F.base64(value)
     if isinstance(dtype, T.DecimalType):
@@ -42,6 +37,30 @@ def text(value: Column, dtype: T.DataType, declared: str = "String") -> Column:
     return value.cast("string")
 
 
+def _day(value: Column) -> Column:
+    return F.substring(value.cast("string"), 1, 10)
+
+
+def _date_time(value: Column, dtype: T.DataType, trimmed: bool) -> Column:
+    """ISO text with seven fraction digits, or with as many as are not zero.
+
+    Taken from the plain text of the value: formatting would pass a value without a zone through
+    the session's zone and move it where that zone skips an hour.
+    """
+    plain = value.cast("string")
+    clock = F.replace(F.substring(plain, 1, 19), F.lit(" "), F.lit("T"))
+    if isinstance(dtype, T.DateType):
+        clock, fraction = F.concat(plain, F.lit("T00:00:00")), F.lit("")
+    else:
+        fraction = F.substring(plain, 21, 6)
+    if trimmed:
+        digits = F.when(fraction == "", "").otherwise(F.concat(F.lit("."), fraction))
+    else:
+        digits = F.concat(F.lit("."), F.rpad(fraction, FRACTION_DIGITS, "0"))
+    zone = [F.date_format(value, OFFSET)] if isinstance(dtype, T.TimestampType) else []
+    return F.concat(clock, digits, *zone)
+
+
 def _decimal_text(value: Column, dtype: T.DecimalType) -> Column:
     """Digits with the declared scale, also where the session prints tiny values as 1E-9."""
     plain = value.cast("string")
@@ -108,25 +127,10 @@ def json_string(value: Column) -> Column:
     return F.when(value.isNull(), "null").otherwise(F.btrim(F.to_json(F.array(value)), F.lit("[]")))
 
 
-def json_date_time(value: Column, dtype: T.DataType) -> Column:
-    """ISO text without the zeros that end the fraction."""
-    stamp = F.regexp_replace(F.date_format(value, DATE_TIME), r"\.?0+$", "")
-    # A fraction of zeros is gone by now; seconds such as :00 must not go with it.
-    whole = F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss")
-    trimmed = F.when(F.length(stamp) <= F.length(whole), whole).otherwise(stamp)
-    if isinstance(dtype, T.TimestampType):
-        return F.concat(trimmed, F.date_format(value, OFFSET))
-    return trimmed
-
-
 def _json_stringy(value: Column, dtype: T.DataType, declared: str) -> Column | None:
     """The Spark value that ``to_json`` prints exactly, or None where it would not."""
-    if isinstance(dtype, (*_STAMPS, T.DateType)) and declared == "Date":
-        return text(value, dtype, declared)
-    if isinstance(dtype, T.DateType):
-        return F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss")
-    if isinstance(dtype, _STAMPS):
-        return json_date_time(value, dtype)
+    if isinstance(dtype, (T.DateType, *_STAMPS)):
+        return _day(value) if declared == "Date" else _date_time(value, dtype, trimmed=True)
     if isinstance(dtype, (T.BooleanType, *_WHOLE)):
         return value
     if isinstance(dtype, (T.DecimalType, *_FLOATING)):

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 ROW = "RowNumber"
 PARENT_ROW = "ParentRowNumber"
-REAL_KEY = "RealKey"
 
 
 def quoted(name: str) -> str:

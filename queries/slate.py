@@ -248,8 +248,8 @@ def parse_text_types(spark, folder):
         "kind": ("Int32", F.col("event_type")),
         "money": ("Decimal", F.col("value").cast("string")),
         "flag": ("Boolean", F.upper((F.col("event_type") == "click").cast("string"))),
-        "at": ("DateTime", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")),
-        "day": ("Date", F.date_format("ts", "yyyy-MM-dd")),
+        "at": ("DateTime", F.replace(F.col("ts").cast("string"), F.lit(" "), F.lit("T"))),
+        "day": ("Date", F.substring(F.col("ts").cast("string"), 1, 10)),
     }
     columns = [F.col("event_id")]
     for name, (declared, raw) in texts.items():

@@ -29,7 +29,8 @@ def test_sample_is_valid():
 
 
 def test_document_members_and_choices_ignore_case():
-    document = {"NAME": "x", "Root": {"Name": "A", "TABLE": "t", "keycolumn": "k", "fields": [{"name": "f", "type": "int32"}]}}
+    fields = [{"name": "f", "type": "int32"}]
+    document = {"NAME": "x", "Root": {"Name": "A", "TABLE": "t", "keycolumn": "k", "fields": fields}}
     export = Export.from_dict(document).check()
     assert export.root.fields[0].type == "Int32"
 

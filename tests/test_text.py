@@ -156,6 +156,18 @@ def test_time_zone_offsets(spark):
     assert row[1] == '"2026-06-09T23:02:03.5Z"'
 
 
+def test_hours_that_a_zone_skips(spark):
+    """A value without a zone keeps its clock reading whatever the session's zone."""
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        stamp = F.lit("2026-03-08 02:30:00").cast("timestamp_ntz")
+        kind = T.TimestampNTZType()
+        row = spark.range(1).select(text(stamp, kind), json_value(stamp, kind)).first()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert tuple(row) == ("2026-03-08T02:30:00.0000000", '"2026-03-08T02:30:00"')
+
+
 def test_json_members_mix_runs_and_single_values(spark):
     df = spark.createDataFrame([("}", 1.0, None, 45, "hit")], "a string, b double, c string, d int, e string")
     found = F.when(F.col("d") == 45, F.col("e"))

@@ -190,7 +190,8 @@ def test_bundle_reader_types_and_errors(spark, tmp_path):
     order_run(spark).write(str(tmp_path), "csv")
     text = ORDERS["root"]["children"][0]["fields"]
     wrong = [dict(f, type="Int32") if f["name"] == "Sku" else f for f in text]
-    spec = ORDERS | {"root": ORDERS["root"] | {"children": [ORDERS["root"]["children"][0] | {"fields": wrong}]}}
+    line = ORDERS["root"]["children"][0] | {"fields": wrong}
+    spec = ORDERS | {"root": ORDERS["root"] | {"children": [line]}}
     lenient = read_bundle(spark, str(tmp_path), Export.from_dict(spec), strict=False)
     assert [r.Sku for r in lenient["Line"].collect()] == [None] * 3
     strict = read_bundle(spark, str(tmp_path), Export.from_dict(spec))
@@ -283,7 +284,7 @@ def test_numbers_spread_a_hot_parent(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
-def reference_tree(parents, children, grandchildren):
+def expected_tree(parents, children, grandchildren):
     """The nested answer by hand, in plain Python."""
     def kids(rows, key):
         return sorted((r for r in rows if r["p"] is not None and r["p"] == key), key=lambda r: r["k"])
@@ -323,7 +324,7 @@ def test_outputs_agree_with_brute_force(spark, tmp_path, seed):
 
     export = Export("x", entity("A", "a", entity("B", "b", entity("C", "c")), entity("D", "c")))
     run = ExportRun(spark, export, tables)
-    want = reference_tree(a, b, c)
+    want = expected_tree(a, b, c)
 
     run.write(str(tmp_path / "j"), "json")
     assert json.loads(file_text(tmp_path / "j")) == want
