@@ -10,7 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from bough.llm.decontamination import leaks
 from bough.llm.packing import pack, token_pieces
+from bough.llm.repeats import repeats
+from bough.llm.simhash import as_hex, near_duplicates
 from bough.llm.token_counts import token_counts
 from bough.llm.token_files import read_token_files, write_token_files
 from bough.operators.staging import staging_path
@@ -27,6 +30,10 @@ def op1_token_counts(spark, folder):
     return counts.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op3_benchmark_decontamination(spark, folder):
+    return leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op5_token_files(spark, folder):
     documents = table(spark, folder, "documents")
     shards = write_token_files(documents, BYTE_BPE, staging_path(spark, "token-files"), end_id=0)
@@ -37,14 +44,32 @@ def op5_token_files(spark, folder):
     return read_token_files(spark, shards, crc, T.LongType()).withColumnRenamed("ids", "ids_crc32")
 
 
+def op6_simhash_near_dedup(spark, folder):
+    found = near_duplicates(table(spark, folder, "documents"))
+    return found.withColumn("fingerprint", as_hex("fingerprint"))
+
+
 def op8_best_fit_packing(spark, folder):
     pieces = token_pieces(table(spark, folder, "documents"), BYTE_BPE, capacity=1024, end_id=2)
     return pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), capacity=1024)
 
 
+def op9_suffix_array_dedup(spark, folder):
+    return repeats(table(spark, folder, "documents")).select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op5_token_files": op5_token_files,
+    "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_suffix_array_dedup": op9_suffix_array_dedup,
 }
 ORACLES: dict[str, str] = {}
