@@ -14,6 +14,7 @@ from bough.llm.decontamination import leaks
 from bough.llm.packing import pack, token_pieces
 from bough.llm.repeats import repeats
 from bough.llm.simhash import as_hex, near_duplicates
+from bough.llm.syncmers import edit_trial
 from bough.llm.token_counts import token_counts
 from bough.llm.token_files import read_token_files, write_token_files
 from bough.operators.staging import staging_path
@@ -30,6 +31,10 @@ def op1_token_counts(spark, folder):
     return counts.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op2_syncmer_fingerprints(spark, folder):
+    return edit_trial(table(spark, folder, "documents"))
+
+
 def op3_benchmark_decontamination(spark, folder):
     return leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -66,6 +71,7 @@ def op9_suffix_array_dedup(spark, folder):
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_syncmer_fingerprints": op2_syncmer_fingerprints,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op5_token_files": op5_token_files,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
