@@ -17,6 +17,7 @@ from bough.llm.simhash import as_hex, near_duplicates
 from bough.llm.syncmers import edit_trial
 from bough.llm.token_counts import token_counts
 from bough.llm.token_files import read_token_files, write_token_files
+from bough.llm.toxicity import fit_toxicity, held_out, toxicity
 from bough.operators.staging import staging_path
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -69,6 +70,17 @@ def op9_suffix_array_dedup(spark, folder):
     )
 
 
+def op10_toxicity(spark, folder):
+    documents = table(spark, folder, "documents")
+    model = fit_toxicity(documents, table(spark, folder, "labels"))
+    return toxicity(documents, model).select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_syncmer_fingerprints": op2_syncmer_fingerprints,
@@ -77,5 +89,6 @@ QUERIES = {
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLES: dict[str, str] = {}
