@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bough.llm.decontamination import leaks
+from bough.llm.language import fit_language, languages
+from bough.llm.main_text import fit_labeller, main_text
 from bough.llm.packing import pack, token_pieces
 from bough.llm.repeats import repeats
 from bough.llm.simhash import as_hex, near_duplicates
@@ -40,6 +42,12 @@ def op3_benchmark_decontamination(spark, folder):
     return leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op4_html_main_text(spark, folder):
+    pages = table(spark, folder, "pages")
+    texts = main_text(pages, fit_labeller(pages), keep=("url",))
+    return texts.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op5_token_files(spark, folder):
     documents = table(spark, folder, "documents")
     shards = write_token_files(documents, BYTE_BPE, staging_path(spark, "token-files"), end_id=0)
@@ -55,6 +63,12 @@ def op6_simhash_near_dedup(spark, folder):
     return found.withColumn("fingerprint", as_hex("fingerprint"))
 
 
+def op7_language_id(spark, folder):
+    documents = table(spark, folder, "documents")
+    found = languages(documents, fit_language(documents))
+    return found.withColumn("held_out", held_out(F.col("doc_id")))
+
+
 def op8_best_fit_packing(spark, folder):
     pieces = token_pieces(table(spark, folder, "documents"), BYTE_BPE, capacity=1024, end_id=2)
     return pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), capacity=1024)
@@ -85,8 +99,10 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_syncmer_fingerprints": op2_syncmer_fingerprints,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
+    "op4_html_main_text": op4_html_main_text,
     "op5_token_files": op5_token_files,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op7_language_id": op7_language_id,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_toxicity": op10_toxicity,

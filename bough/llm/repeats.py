@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 
 from bough.llm.batches import id_and_text, id_type, map_arrow, slices, text_key
 from bough.llm.suffix_array import repeated_windows
+from bough.names import col
 from bough.operators.staging import stage
 
 #: Distinct contexts of an anchor that one task sorts together.
@@ -102,17 +103,30 @@ def occurrences(text: bytes, length: int, hashes: WindowHashes):
         yield grams[anchors[firsts]], contexts, firsts + begin, windows
 
 
-def repeats(df: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeats(
+    df: DataFrame,
+    length: int = 400,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    keep: tuple[str, ...] = (),
+    as_text: bool = False,
+) -> DataFrame:
     """What remains of every text when each byte goes that a repeated string covers.
 
     A string of ``length`` UTF-8 bytes is repeated if it starts anywhere else in the corpus too,
     the same text included; all its occurrences go. Returns ``id_col``, ``n_bytes``, ``removed``
-    (the maximal removed runs as an array of (start, end) in bytes) and ``kept`` (binary). Null is
-    the empty text. Rows that are repeated, with or without the same id, are documents of their
+    (the maximal removed runs as an array of (begin, end) in bytes) and ``kept`` (binary, or with
+    ``as_text`` text, in which characters stay whole that a run cuts), after the columns in ``keep``.
+    Null is the empty text. Rows that are repeated, with or without the same id, are documents of their
     own, so their texts repeat. An empty table gives no rows; other columns are left out.
     """
     source = id_and_text(df, id_col, text_col)
     keyed = source.select("id", *text_key("text"), "text")
+    carried = df.select(
+        col(id_col).alias("id"), F.coalesce(col(text_col), F.lit("")).alias("text"),
+        *[col(c).alias(f"keep{i}") for i, c in enumerate(keep)],
+    )
+    carried = carried.select("*", *text_key("text"))
     found = stage(_occurrences(keyed, length), "repeat-anchors")
     contexts = found.groupBy(*_CONTEXT).agg(
         F.count(F.lit(1)).alias("times"), *[F.first(c).alias(c) for c in ("id", "k1", "k2", "start")]
@@ -139,7 +153,7 @@ def repeats(df: DataFrame, length: int = 400, id_col: str = "doc_id", text_col:
         .groupBy("k1", "k2")
         .agg(F.collect_list("span").alias("spans"))
     )
-    return _kept(keyed.join(covered, ["k1", "k2"], "left"), id_col)
+    return _kept(carried.join(covered, ["k1", "k2"], "left"), id_col, keep, as_text)
 
 
 def _span(begin, end):
@@ -288,13 +302,27 @@ def _counted_spans(cut: DataFrame, length: int) -> DataFrame:
     return hits.groupBy(*_CONTEXT).agg(F.collect_list(_span(place, place + length)).alias("spans"))
 
 
-def _kept(joined: DataFrame, id_col: str) -> DataFrame:
+def without(held: bytes, runs: list[tuple[int, int]]) -> bytes:
+    """What is left of UTF-8 text without the runs, where characters that a run cuts stay whole."""
+    parts, at = [], 0
+    for begin, end in runs:
+        while begin < end and held[begin] & 0xC0 == 0x80:
+            begin += 1
+        while end > begin and end < len(held) and held[end] & 0xC0 == 0x80:
+            end -= 1
+        parts.append(held[at:begin])
+        at = end
+    return b"".join([*parts, held[at:]])
+
+
+def _kept(joined: DataFrame, id_col: str, keep: tuple[str, ...], as_text: bool) -> DataFrame:
     schema = T.StructType(
-        [
-            T.StructField(id_col, id_type(joined)),
+        [T.StructField(id_col, id_type(joined))]
+        + [T.StructField(c, joined.schema[f"keep{i}"].dataType) for i, c in enumerate(keep)]
+        + [
             T.StructField("n_bytes", T.LongType()),
             T.StructField("removed", _SPANS),
-            T.StructField("kept", T.BinaryType()),
+            T.StructField("kept", T.StringType() if as_text else T.BinaryType()),
         ]
     )
 
@@ -308,9 +336,13 @@ def _kept(joined: DataFrame, id_col: str) -> DataFrame:
                 if spans:
                     ends = np.array([(s["begin"], s["end"]) for s in spans], dtype=np.int64)
                     runs = merged(ends[:, 0], ends[:, 1])
-                at = [0, *(x for run in runs for x in run), len(held)]
-                kept.append(b"".join(held[a:b] for a, b in zip(at[::2], at[1::2])))
+                if as_text:
+                    kept.append(without(held, runs).decode())
+                else:
+                    at = [0, *(x for run in runs for x in run), len(held)]
+                    kept.append(b"".join(held[a:b] for a, b in zip(at[::2], at[1::2])))
                 removed.append([{"begin": a, "end": b} for a, b in runs])
-            yield {id_col: piece.column("id"), "n_bytes": sizes, "removed": removed, "kept": kept}
+            own = {c: piece.column(f"keep{i}") for i, c in enumerate(keep)}
+            yield {id_col: piece.column("id"), **own, "n_bytes": sizes, "removed": removed, "kept": kept}
 
-    return map_arrow(joined.select("id", "text", "spans"), work, schema)
+    return map_arrow(joined.select("id", "text", "spans", *[f"keep{i}" for i in range(len(keep))]), work, schema)

@@ -20,6 +20,7 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -342,10 +343,10 @@ def toxicity(df: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_c
 
 def score_of(text: Column | str, model: ToxicityModel) -> Column:
     """The score of a column of texts, to filter rows by."""
-    import pandas as pd
+    known: dict[str, float] = {}  # every task has its own
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.scores([t or "" for t in texts], {}))
+        return pd.Series(model.scores([t or "" for t in texts], known))
 
     return score(text)
