@@ -13,13 +13,14 @@ import json
 import os
 import re
 from collections.abc import Iterable
+from functools import lru_cache
 
 import numpy as np
 
 #: Bytes of text in one call of the library.
 CALL_BYTES = 1 << 20
-#: Characters of the remembered parts, after which a task forgets them; a cache, not a limit.
-REMEMBERED_CHARS = 6_000_000
+#: Characters of the remembered parts, after which a worker forgets them; a cache, not a limit.
+REMEMBERED_CHARS = 8_000_000
 #: New parts that go to the library as one text.
 JOINED_PARTS = 20_000
 
@@ -29,8 +30,14 @@ _ODD_SPACES = re.compile(f"[{_WHITE}] ")
 _SAFE = re.compile(r"(?<=\S)(?= )")
 
 
+@lru_cache(maxsize=2)
+def encoder_of(path: str) -> TextEncoder:
+    """The encoder of a file, kept in a Python worker from task to task with all it has learnt."""
+    return TextEncoder(path)
+
+
 class TextEncoder:
-    """Encodes texts without begin, end or other added tokens; one per task."""
+    """Encodes texts without begin, end or other added tokens."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")

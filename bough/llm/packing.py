@@ -6,7 +6,9 @@ Only how many pieces there are of every length matters for the plan, and there a
 1. From the longest length down, look for lengths that fill the rest of a sequence exactly: one
    length equal to the gap, else a pair, else a triple that sums to it. A combination is consumed
    as often as the counts of its lengths allow.
-2. What has no exact complement is packed best fit, longest first, again many at a time.
+2. What has no exact complement is packed best fit, longest first, again many at a time. Where
+   exact fits have used up what these residuals would need, the last ones made are undone and
+   their pieces packed with the residuals, if that takes fewer sequences.
 
 The plan is a list of runs: so many pieces of one length, from that rank on, go to these sequences
 at that offset. Pieces get their rank among equal lengths by prefix sums over the tasks that wrote
@@ -25,11 +27,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bough.llm.batches import id_and_text, id_type, map_arrow, slices
-from bough.llm.encoding import TextEncoder
+from bough.llm.encoding import encoder_of
 from bough.operators.staging import stage
 
 Pattern = tuple[tuple[int, ...], int]
 
+#: Shares of the exact pairs and triples with which plans are tried; of equals the first is taken.
+KEPT = [1, 0.75, 0.5, 0.25, 0.125, 0.0625, 0]
+
 
 def token_pieces(
     df: DataFrame,
@@ -57,7 +62,7 @@ def token_pieces(
     )
 
     def cut(batches):
-        encoder = TextEncoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         end = np.array([] if end_id is None else [end_id], "<u4")
         for batch in slices(batches):
             rows, piece, start, length, ids = [], [], [], [], []
@@ -144,7 +149,17 @@ def plan(counts: dict[int, int], capacity: int) -> list[Pattern]:
             for x, n in used.items():
                 left[x] -= times * n
             patterns.append((lengths, times))
-    return patterns + best_fit(left, capacity)
+    # Pairs and triples use up short lengths; singles cannot be bettered.
+    singles = [p for p in patterns if len(p[0]) <= 2]
+    several = [p for p in patterns if len(p[0]) > 2]
+    plans = []
+    for share in KEPT:
+        kept = int(len(several) * share)
+        again = left.copy()
+        for lengths, times in several[kept:]:
+            np.add.at(again, list(lengths), times)
+        plans.append(singles + several[:kept] + best_fit(again, capacity))
+    return min(plans, key=lambda patterns: sum(times for _, times in patterns))
 
 
 def complement(left: np.ndarray, gap: int) -> tuple[int, ...] | None:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from bough.llm.batches import id_and_text, id_type, map_arrow, slices
-from bough.llm.encoding import TextEncoder
+from bough.llm.encoding import encoder_of
 
 
 def token_counts(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -28,7 +28,7 @@ def token_counts(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
     )
 
     def count(batches):
-        encoder = TextEncoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         for piece in slices(batches):
             texts = piece.column("text")
             yield {

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bough.llm.batches import id_and_text, map_arrow, slices
-from bough.llm.encoding import TextEncoder
+from bough.llm.encoding import encoder_of
 from bough.operators.staging import stage
 
 _SHARD = T.StructType(
@@ -64,7 +64,7 @@ def write_token_files(
         name = f"{run}-{context.partitionId():06d}-{context.taskAttemptId()}"
         for piece in slices(batches):
             if files is None:
-                encoder = TextEncoder(tokenizer)
+                encoder = encoder_of(tokenizer)
                 files = _Folder(folder)
                 out = files.create(f"{name}.bin")
             ids = encoder.ids(piece.column("text").to_pylist())
