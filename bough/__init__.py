@@ -10,6 +10,7 @@ from bough.errors import (
 )
 from bough.operators.nesting import rebuild
 from bough.operators.numbering import dense_number
+from bough.operators.staging import staged_here
 from bough.plans.run import ExportRun
 from bough.sources.bundle import read_bundle
 from bough.sources.codes import CodeList, FunctionLookup, code_list
@@ -38,4 +39,5 @@ __all__ = [
     "parquet_tables",
     "read_bundle",
     "rebuild",
+    "staged_here",
 ]

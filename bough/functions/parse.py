@@ -21,7 +21,8 @@ GUID = (
     r"^(?i)([0-9a-f]{32}|[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}"
     r"|\{[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}\}|\([0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}\))$"
 )
-DECIMAL = (38, 10)
+# The precision and scale of decimals whose reader names none.
+DECIMAL = (38, 18)
 
 
 def spark_type(declared: str, decimal: tuple[int, int] = DECIMAL) -> T.DataType:
@@ -47,7 +48,8 @@ def parse(raw: Column, declared: str, decimal: tuple[int, int] = DECIMAL) -> Col
     if declared in ("Int32", "Int64"):
         return F.when(raw.rlike(WHOLE), trimmed.try_cast(target))
     if declared == "Decimal":
-        return F.when(raw.rlike(NUMBER), trimmed.try_cast(target))
+        fits = raw.rlike(NUMBER) & (fraction_digits(trimmed) <= decimal[1])
+        return F.when(fits, trimmed.try_cast(target))
     if declared == "Boolean":
         return F.when(raw.rlike(BOOLEAN), F.lower(trimmed) == "true")
     if declared == "Date":
@@ -66,6 +68,22 @@ def parse(raw: Column, declared: str, decimal: tuple[int, int] = DECIMAL) -> Col
     return F.when(trimmed.rlike(GUID), dashed)
 
 
+def fraction_digits(number: Column) -> Column:
+    """How many digits after the point a number's text needs to be exact; zeros at its end are
+    not needed, and an exponent moves the point."""
+    mantissa = F.regexp_extract(number, r"^[+-]?([0-9.]*)", 1)
+    exponent = F.regexp_extract(number, r"[eE]([+-]?[0-9]+)$", 1)
+    fraction = F.regexp_extract(mantissa, r"\.([0-9]*)$", 1)
+    digits = F.regexp_replace(mantissa, r"\.", "")
+    needed = F.rtrim(digits, F.lit("0"))
+    zeros = F.length(digits) - F.length(needed)
+    # An exponent beyond a long leaves null, which no comparison accepts.
+    moved = F.when(exponent == "", F.lit(0).cast("long")).otherwise(exponent.try_cast("long"))
+    return F.when(needed == "", F.lit(0).cast("long")).otherwise(
+        F.length(fraction) - zeros - moved
+    )
+
+
 def parse_text(raw: Column, declared: str, decimal: tuple[int, int] = DECIMAL) -> Column:
     """``struct(value, ok)``. Null is fine; a text that does not fit has ``ok`` false."""
     value = parse(raw, declared, decimal)

@@ -138,14 +138,26 @@ def _json_stringy(value: Column, dtype: T.DataType, declared: str) -> Column | N
     return text(value, dtype, declared)
 
 
-def json_value(value: Column, dtype: T.DataType, declared: str = "String") -> Column:
-    """One JSON value: numbers and booleans bare, everything else a string, null spelled out."""
+def json_value(
+    value: Column, dtype: T.DataType, declared: str = "String", label: str = "value"
+) -> Column:
+    """One JSON value: numbers and booleans bare, everything else a string, null spelled out.
+
+    JSON has no number that is not finite: one fails the run, whose message names the field.
+    """
     if isinstance(dtype, (T.BooleanType, T.DecimalType, *_WHOLE, *_FLOATING)):
-        return F.coalesce(text(value, dtype, declared), F.lit("null"))
+        written = F.coalesce(text(value, dtype, declared), F.lit("null"))
+        if isinstance(dtype, _FLOATING):
+            finite = value.isNull() | (~F.isnan(value) & (F.abs(value) < F.lit(float("inf"))))
+            wrong = F.concat(F.lit(f"{label}: JSON has no number "), written)
+            return F.when(finite, written).otherwise(F.raise_error(wrong))
+        return written
     return json_string(_json_stringy(value, dtype, declared))
 
 
-def json_members(fields: list[tuple[str, Column, T.DataType, str, Column | None]]) -> Column:
+def json_members(
+    fields: list[tuple[str, Column, T.DataType, str, Column | None]], owner: str = "row"
+) -> Column:
     """``"a":1,"b":"x"`` for (name, value, type, declared type, code found by a lookup).
 
     Neighbours that ``to_json`` prints exactly share one call. A found code is text while a
@@ -171,7 +183,7 @@ def json_members(fields: list[tuple[str, Column, T.DataType, str, Column | None]
             run.append(direct.alias(name))
             continue
         close_run()
-        raw = json_value(value, dtype, declared)
+        raw = json_value(value, dtype, declared, f"entity '{owner}', field '{name}'")
         if found is not None:
             raw = F.when(found.isNotNull(), json_string(found)).otherwise(raw)
         pieces.append(F.concat(F.lit(f'"{name}":'), raw))

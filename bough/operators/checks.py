@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from bough.errors import DuplicateKeys, SubtreeTooLarge
@@ -34,10 +34,7 @@ def require_none(notes: list[DataFrame]) -> None:
 
     A note without a key is about the size of a subtree.
     """
-    if not notes:
-        return
-    one = F.first(F.struct("entity", "key", "rows"), ignorenulls=True)
-    example = reduce(DataFrame.union, notes).agg(one.alias("note")).first().note
+    example = first_note(notes)
     if example is None:
         return
     if example.key is None:
@@ -50,6 +47,14 @@ def require_none(notes: list[DataFrame]) -> None:
     )
 
 
+def first_note(notes: list[DataFrame]) -> Row | None:
+    """One of the violations, or None; one job looks for all and returns one row."""
+    if not notes:
+        return None
+    one = F.first(F.struct("entity", "key", "rows"), ignorenulls=True)
+    return reduce(DataFrame.union, notes).agg(one.alias("note")).first().note
+
+
 def row_counts(levels: dict[str, DataFrame]) -> DataFrame:
     """``(entity, rows)`` for every level, levels without rows included."""
     counts = [

@@ -1,25 +1,33 @@
 """Predicates from supplied filter values.
 
 Values become typed literals while the plan is built, so a bad value fails early and every
-predicate can reach the scan.
+predicate can reach the scan. Long lists, and values that are a table, are joined instead.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from decimal import Decimal
 from functools import reduce
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bough.errors import FilterError
-from bough.functions.parse import parse
+from bough.functions.parse import NUMBER, parse
 from bough.names import col
-from bough.operators.staging import small_rows
+from bough.operators.staging import small_rows, stage
 from bough.spec import Field, Filter
 
+#: More values than this are joined rather than written into the plan.
+LISTED_VALUES = 2000
+#: Values are broadcast up to this many; more are joined by shuffle.
+BROADCAST_VALUES = 1_000_000
+VALUE = "value:"
+WIDEST = 38
+
 
 @dataclass(frozen=True)
 class Literals:
@@ -37,11 +45,12 @@ class Literals:
 
 @dataclass(frozen=True)
 class BoundFilter:
-    """A declared filter with the literals it compares to."""
+    """A declared filter with the literals it compares to, or a table of values to be among."""
 
     filter: Filter
     field: Field
     literals: Literals
+    values: DataFrame | None = None
 
 
 def _texts(spark: SparkSession, values: list[str], as_value) -> list[str | None]:
@@ -63,33 +72,101 @@ def typed_literals(
         dtype = column_type
         texts = _texts(spark, values, lambda c: c.try_cast(column_type))
     else:
-        typed = {
-            "String": T.StringType(),
-            "Int32": T.IntegerType(),
-            "Int64": T.LongType(),
-            "Boolean": T.BooleanType(),
-            "Date": T.TimestampNTZType(),
-            "DateTime": T.TimestampNTZType(),
-            "Guid": T.StringType(),
-            "Decimal": T.DecimalType(38, 18),
-        }
-        dtype = typed[declared]
+        dtype = _type_of(declared, column_type)
         if declared == "String":
             texts = list(values)
         elif declared == "Decimal":
-            texts = _decimal_texts(spark, values)
+            texts = _decimal_texts(values)
         else:
-            texts = _texts(spark, values, lambda c: parse(c, declared))
+            texts = _texts(spark, values, lambda c: parse(c, declared).cast(dtype))
     for value, found in zip(values, texts):
         if found is None:
             raise FilterError(f"filter '{flt.name}': '{value}' is not a valid {declared}")
     return Literals(tuple(texts), dtype)
 
 
-def _decimal_texts(spark: SparkSession, values: list[str]) -> list[str | None]:
-    """Exact digits at the scale they were given in, so that a column keeps its own type."""
-    fits = _texts(spark, values, lambda c: parse(c, "Decimal", (38, 9)))
-    return [f"{Decimal(v.strip()):f}" if ok is not None else None for v, ok in zip(values, fits)]
+def _type_of(declared: str, column_type: T.DataType) -> T.DataType:
+    """The type that a filter's values are compared as. A date is midnight, but for a column of
+    dates it stays one, so that the comparison is between like types and reaches the scan."""
+    if declared == "Date" and isinstance(column_type, T.DateType):
+        return T.DateType()
+    return {
+        "String": T.StringType(),
+        "Int32": T.IntegerType(),
+        "Int64": T.LongType(),
+        "Boolean": T.BooleanType(),
+        "Date": T.TimestampNTZType(),
+        "DateTime": T.TimestampNTZType(),
+        "Guid": T.StringType(),
+        "Decimal": T.DecimalType(38, 18),
+    }[declared]
+
+
+def _decimal_texts(values: list[str]) -> list[str | None]:
+    """Exact digits at the scale they were given in, so that a column keeps its own type; None for
+    what is no number or needs more digits than the widest decimal has."""
+    pattern = re.compile(NUMBER)
+    return [_exact(v.strip()) if pattern.match(v) else None for v in values]
+
+
+def _exact(text: str) -> str | None:
+    try:
+        number = Decimal(text)
+        _, digits, exponent = number.as_tuple()
+    except ArithmeticError:
+        return None
+    if not any(digits):
+        return "0"
+    kept = "".join(map(str, digits)).strip("0")
+    exponent += len(digits) - len("".join(map(str, digits)).rstrip("0"))
+    scale = max(0, -exponent)
+    whole = max(0, len(kept.lstrip("0")) + exponent)
+    # Bounded before it is written out: an exponent can be of any size.
+    return f"{number:.{scale}f}" if scale <= WIDEST and whole + scale <= WIDEST else None
+
+
+def value_table(
+    flt: Filter, given: DataFrame, column_type: T.DataType, collation: str | None = None
+) -> DataFrame:
+    """Distinct typed values of an In filter as a table, from the texts in the only column of
+    ``given``; they are read on the executors, and one that does not fit is an error.
+
+    Values that a column of ``column_type`` cannot hold match nothing and are left out.
+    """
+    (name,) = given.columns
+    raw = given.select(col(name).cast("string").alias("raw")).where("raw is not null")
+    declared = flt.value_type
+    if declared == "String":
+        typed = F.col("raw") if isinstance(column_type, T.StringType) else F.col("raw").try_cast(column_type)
+    else:
+        typed = parse(F.col("raw"), declared)
+    read = stage(raw.select("raw", typed.alias("typed")), "filter-values")
+    wrong = read.where("typed is null").first()
+    if wrong is not None:
+        raise FilterError(f"filter '{flt.name}': '{wrong.raw}' is not a valid {declared}")
+    if read.isEmpty():
+        raise FilterError(f"filter '{flt.name}' takes at least one value")
+    value = F.col("typed")
+    if isinstance(column_type, T.StringType):
+        value = value.cast("string")
+        if collation and declared != "Guid":
+            value = F.collate(value, collation)
+    elif not isinstance(column_type, T.DatetimeType):
+        held = value.try_cast(column_type)
+        value = F.when(held == value, held)
+    table = read.select(value.alias(VALUE)).where(f"`{VALUE}` is not null").distinct()
+    return F.broadcast(table) if read.count() <= BROADCAST_VALUES else table
+
+
+def among(df: DataFrame, bound: BoundFilter, column_type: T.DataType) -> DataFrame:
+    """Rows whose value is in the table of a bound filter."""
+    value = col(bound.field.source)
+    if isinstance(column_type, T.StringType):
+        if bound.filter.value_type == "Guid":
+            value = F.lower(value)
+        elif bound.field.collation:
+            value = F.collate(value, bound.field.collation)
+    return df.join(bound.values, value == col(VALUE), "left_semi")
 
 
 def predicate(bound: BoundFilter, column_type: T.DataType) -> Column:
@@ -99,10 +176,23 @@ def predicate(bound: BoundFilter, column_type: T.DataType) -> Column:
     literals = bound.literals.columns()
     if isinstance(column_type, T.StringType):
         if flt.value_type == "Guid":
-            value = F.lower(value)
+            if flt.operator in ("Equals", "In"):
+                return _guid_among(value, bound.literals.texts)
+            value = F.lower(value) if literals else value
         elif bound.field.collation:
             value = F.collate(value, bound.field.collation)
             literals = [F.collate(v, bound.field.collation) for v in literals]
+    return _compared(flt, value, literals)
+
+
+def _guid_among(value: Column, texts: tuple[str, ...]) -> Column:
+    """Equality whatever the case of the letters. Every spelling of a GUID lies between its
+    spelling in capitals and that in small letters, which the scan can use."""
+    low, high = min(t.upper() for t in texts), max(texts)
+    return value.between(low, high) & F.lower(value).isin(list(texts))
+
+
+def _compared(flt: Filter, value: Column, literals: list[Column]) -> Column:
     match flt.operator:
         case "Equals":
             return value == literals[0]
@@ -124,5 +214,6 @@ def predicate(bound: BoundFilter, column_type: T.DataType) -> Column:
 def conjunction(bound: list[BoundFilter], schema: T.StructType) -> Column | None:
     """All filters of one entity together, or None where it has none."""
     types = {f.name.lower(): f.dataType for f in schema}
-    conditions = [predicate(b, types[b.field.source.lower()]) for b in bound]
+    listed = [b for b in bound if b.values is None]
+    conditions = [predicate(b, types[b.field.source.lower()]) for b in listed]
     return reduce(Column.__and__, conditions) if conditions else None

@@ -3,19 +3,20 @@
 Each level is grouped under its parent's key before it meets the parent, so parent columns are
 never copied onto child rows and every level is shuffled once.
 
-A nested row holds its whole subtree by definition. ``subtree_rows`` measures that before a plan
-collects anything; the document and bundle sinks hold one record at a time and have no such limit.
+A nested row holds its whole subtree by definition. ``subtree_rows`` measures that on request, before
+a plan collects anything; the document and bundle sinks hold one record at a time and have no such limit.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bough.names import PARENT_ROW, ROW, col, fk, key
+from bough.operators import checks
 from bough.operators.levels import Level
 from bough.spec import Entity, Export
 
@@ -139,7 +140,40 @@ def numbered_levels(export: Export, tables: Mapping[str, DataFrame]) -> dict[str
 
 
 def rebuild(export: Export, tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Nested rows from numbered levels, in root order."""
-    return unpack(nest(export, numbered_levels(export, tables), ordered=True))
+    """Nested rows from numbered levels, in root order. A number that two rows of a level have is
+    an error. A root's subtree must fit a task, as in any nested row."""
+    levels = numbered_levels(export, tables)
+    checks.require_none(
+        [checks.violation_notes(v.df, v.key_names, name) for name, v in levels.items()]
+    )
+    return unpack(nest(export, levels, ordered=True))
+
+
+def write_nested(export: Export, nested: DataFrame, path: str) -> dict[str, int]:
+    """Write nested rows as Parquet; the rows of every entity are counted in the tasks that write."""
+    seen = Observation()
+    counts = [F.coalesce(n, F.lit(0)).alias(name) for name, n in _sizes(export.root)]
+    nested.observe(seen, *counts).write.parquet(path)
+    return dict(seen.get)
+
 
+def _sizes(root: Entity) -> list[tuple[str, Column]]:
+    """Per entity an aggregate over nested root rows that counts its rows."""
+
+    def held(rows: Column, path: tuple[str, ...]) -> Column:
+        """How many rows lie at the end of a path of lists below an array of rows."""
+        if not path:
+            return F.size(rows).cast("long")
+        each = F.transform(rows, lambda row: held(row[path[0]], path[1:]))
+        return F.aggregate(each, F.lit(0).cast("long"), lambda a, b: a + b)
+
+    found = [(root.name, F.count(F.lit(1)))]
+
+    def walk(entity: Entity, path: tuple[str, ...]) -> None:
+        for child in entity.children:
+            below = (*path, child.name)
+            found.append((child.name, F.sum(held(col(below[0]), below[1:]))))
+            walk(child, below)
 
+    walk(root, ())
+    return found

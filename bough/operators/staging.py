@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,23 +29,48 @@ def row_hash(df: DataFrame) -> Column:
 
 
 def staging_root(spark: SparkSession) -> str:
-    """The shared folder the session names.
+    """The shared folder that the session names.
 
-    Only a local session without the setting falls back to a temporary folder; executors on
-    other machines could not see one.
+    Only a session whose executors are threads of the driver may do without; it gets a temporary
+    folder. Other executors could not see one.
     """
     context = spark.sparkContext
-    root = spark.conf.get(SETTING, None) or context.getCheckpointDir()
-    if root is None and context.master.startswith("local"):
-        root = tempfile.mkdtemp(prefix="bough-")
-        context.setCheckpointDir(root)
+    root = spark.conf.get(SETTING, None) or context.getCheckpointDir() or _own_folder.get(context.applicationId)
+    if root is None and re.fullmatch(r"local(\[[^\[\]]*\])?", context.master):
+        root = _own_folder[context.applicationId] = tempfile.mkdtemp(prefix="bough-")
     if root:
         return root.rstrip("/")
     raise SetupError(f"set {SETTING} to a folder that every executor can reach")
 
 
+_own_folder: dict[str, str] = {}
+
+
 def staging_path(spark: SparkSession, label: str) -> str:
-    return f"{staging_root(spark)}/bough/{label}-{uuid.uuid4().hex}"
+    path = f"{staging_root(spark)}/bough/{label}-{uuid.uuid4().hex}"
+    for kept in _watching:
+        kept.append(path)
+    return path
+
+
+_watching: list[list[str]] = []
+
+
+@contextmanager
+def staged_here(spark: SparkSession):
+    """Removes, at the end of the block, what was staged inside it. Results that read it have to
+    be written or collected by then."""
+    paths: list[str] = []
+    _watching.append(paths)
+    try:
+        yield
+    finally:
+        _watching.remove(paths)
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        settings = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in paths:
+            place = hadoop(path)
+            place.getFileSystem(settings).delete(place, True)
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:

@@ -4,47 +4,48 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from bough.errors import FilterError, SetupError, UnknownCode
-from bough.operators.filters import BoundFilter, typed_literals
+from bough.operators.filters import LISTED_VALUES, BoundFilter, Literals, typed_literals, value_table
 from bough.spec import Export, Filter
 
 # Fixed values.
-MAX_IN_VALUES = 2000
 FORMATS = ("json", "csv", "xml", "parquet")
 DEFAULT_FORMAT = "json"
 
 
 def bind(
     export: Export, supplied: Mapping[str, object], reserved: Iterable[str] = ()
-) -> dict[str, list[str]]:
-    """Supplied values by declared filter name. Names match without case; an unknown one is an
-    error, because a filter that is silently dropped would export rows nobody asked for."""
-    declared = {f.name.lower(): f.name for f in export.filters}
-    skip = {r.lower() for r in reserved}
-    bound: dict[str, list[str]] = {}
-    unknown = []
-    for name, value in supplied.items():
-        if name.lower() in skip:
-            continue
-        if name.lower() not in declared:
-            unknown.append(name)
-            continue
-        target = declared[name.lower()]
-        if target in bound:
-            raise FilterError(f"filter '{target}' is supplied twice")
-        bound[target] = _as_texts(value)
-    if unknown:
-        known = ", ".join(f.name for f in export.filters) or "none"
-        raise FilterError(f"unknown filter(s): {', '.join(unknown)}; this export has: {known}")
-    return bound
-
-
-def _as_texts(value: object) -> list[str]:
+) -> dict[str, list[str] | DataFrame]:
+    """What was given for each declared filter, under the filter's own name.
+
+    Case does not matter in names. ``reserved`` names belong to someone else; any other name has
+    to be declared, since leaving out a misspelt filter would let all rows through.
+    """
+    own = {f.name.lower(): f.name for f in export.filters}
+    given: dict[str, list[str]] = {}
+    for name in supplied:
+        given.setdefault(name.lower(), []).append(name)
+    for name in {r.lower() for r in reserved}:
+        given.pop(name, None)
+    strange = [spelt for name in given.keys() - own.keys() for spelt in given[name]]
+    if strange:
+        raise FilterError(
+            f"no such filter: {', '.join(sorted(strange))} (declared: {', '.join(own.values()) or 'none'})"
+        )
+    repeated = [own[name] for name, spellings in given.items() if len(spellings) > 1]
+    if repeated:
+        raise FilterError(f"given twice under different spellings: {', '.join(repeated)}")
+    return {own[name]: _as_texts(supplied[spelt]) for name, (spelt,) in given.items()}
+
+
+def _as_texts(value: object) -> list[str] | DataFrame:
     if value is None:
         return []
+    if isinstance(value, DataFrame):
+        return value
     if isinstance(value, (list, tuple)):
         return [str(v) for v in value]
     return [str(value)]
@@ -53,7 +54,7 @@ def _as_texts(value: object) -> list[str]:
 def resolve(
     spark: SparkSession,
     export: Export,
-    supplied: Mapping[str, list[str]],
+    supplied: Mapping[str, list[str] | DataFrame],
     lookups: Mapping[str, object],
     schemas: Mapping[str, T.StructType],
 ) -> dict[str, list[BoundFilter]]:
@@ -66,22 +67,46 @@ def resolve(
             continue
         entity = export.entity(flt.entity)
         field = entity.field(flt.field)
-        values = _checked_values(flt, supplied[flt.name])
-        if values and flt.request_lookup:
-            values = _looked_up(flt, values, lookups)
         types = {f.name.lower(): f.dataType for f in schemas[entity.name]}
-        literals = typed_literals(spark, flt, values, types[field.source.lower()])
-        by_entity.setdefault(entity.name, []).append(BoundFilter(flt, field, literals))
+        column_type = types[field.source.lower()]
+        values = supplied[flt.name]
+        if isinstance(values, DataFrame) or (flt.operator == "In" and len(values) > LISTED_VALUES):
+            found = BoundFilter(flt, field, Literals((), column_type), _table(spark, flt, field, values, lookups, column_type))
+        else:
+            values = _checked_values(flt, values)
+            if values and flt.request_lookup:
+                values = _looked_up(flt, values, lookups)
+            found = BoundFilter(flt, field, typed_literals(spark, flt, values, column_type))
+        by_entity.setdefault(entity.name, []).append(found)
     return by_entity
 
 
+def _table(spark: SparkSession, flt: Filter, field, values, lookups, column_type: T.DataType) -> DataFrame:
+    """The values of an In filter as a table: a given one, or a list too long to write into a plan."""
+    if flt.operator != "In":
+        raise FilterError(f"filter '{flt.name}' ({flt.operator}) takes no table of values")
+    if isinstance(values, DataFrame):
+        if len(values.columns) != 1:
+            raise FilterError(f"filter '{flt.name}': a table of values has one column")
+        table = values
+    else:
+        table = spark.createDataFrame([(v,) for v in dict.fromkeys(values)], "value string")
+    if flt.request_lookup:
+        lookup = _request_lookup(flt, lookups)
+        try:
+            table = lookup.ids_table(table)
+        except UnknownCode as unknown:
+            raise FilterError(f"filter '{flt.name}': {unknown}") from unknown
+    return value_table(flt, table, column_type, field.collation)
+
+
 def _checked_values(flt: Filter, values: list[str]) -> list[str]:
     if flt.operator in ("IsNull", "IsNotNull"):
         return []
     count = len(values)
     if flt.operator == "In":
-        if not 1 <= count <= MAX_IN_VALUES:
-            raise FilterError(f"filter '{flt.name}' takes 1 to {MAX_IN_VALUES} values, not {count}")
+        if not count:
+            raise FilterError(f"filter '{flt.name}' takes at least one value")
         return values
     needed = 2 if flt.operator == "Between" else 1
     if count != needed:
@@ -89,10 +114,15 @@ def _checked_values(flt: Filter, values: list[str]) -> list[str]:
     return values
 
 
-def _looked_up(flt: Filter, values: list[str], lookups: Mapping[str, object]) -> list[str]:
+def _request_lookup(flt: Filter, lookups: Mapping[str, object]):
     lookup = lookups.get(flt.request_lookup.lower())
     if lookup is None or (hasattr(lookup, "request") and lookup.request is None):
         raise SetupError(f"filter '{flt.name}' needs request lookup '{flt.request_lookup}'")
+    return lookup
+
+
+def _looked_up(flt: Filter, values: list[str], lookups: Mapping[str, object]) -> list[str]:
+    lookup = _request_lookup(flt, lookups)
     try:
         ids = lookup.ids_of(values)
     except UnknownCode as unknown:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from dataclasses import replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from bough.errors import SetupError
 from bough.names import PARENT_ROW, ROW, col
 from bough.operators import checks, nesting
-from bough.operators.filters import conjunction
+from bough.operators.filters import among, conjunction
 from bough.operators.levels import (
     Level,
     attach_parent,
@@ -22,24 +23,27 @@ from bough.operators.levels import (
 )
 from bough.operators.lookups import CodeJoins, settle
 from bough.operators.numbering import dense_number
+from bough.operators.staging import stage
 from bough.plans.request import bind, output_format, require_lookups, resolve
 from bough.sinks import csv, document
 from bough.sources.codes import CodeList
 from bough.sources.tables import given_tables, scan
 from bough.spec import Entity, Export
 
-# A nested row is built inside one task, so its size is measured against this first.
-MAX_SUBTREE_ROWS = 4_000_000
-
 
 class ExportRun:
-    """Checked on construction; every method then returns a lazy DataFrame or writes one output.
+    """Checked on construction; every method then returns a DataFrame or writes one output.
+
+    What needs checked keys, numbers, document places or a Python lookup runs jobs while its plan
+    is built and writes small tables to the staging folder. ``with staged_here(spark):`` around a
+    run and its outputs removes them at the end.
 
     ``tables`` is a mapping of DataFrames or a reader from :mod:`bough.sources.tables`.
     ``filters`` maps filter names to a value or a list of values, as text.
     ``lookups`` maps names to ``(id, code)`` DataFrames, CodeLists or FunctionLookups.
     ``transform`` is applied to the raw rows of every level: ``(entity name, df) -> df``.
-    ``check_keys`` looks for rows of a tree level that share a key, which would be ambiguous.
+    ``check_keys`` looks for rows of a tree level that share a key, which would be ambiguous;
+    documents and numbers of a tree always do.
     """
 
     def __init__(
@@ -70,8 +74,14 @@ class ExportRun:
         self._projected: dict[str, Level] = {}
         for entity in self.export.entities():
             table = sources[entity.name]
-            condition = conjunction(bound.get(entity.name, []), table.schema)
+            chosen = bound.get(entity.name, [])
+            condition = conjunction(chosen, table.schema)
+            types = {f.name.lower(): f.dataType for f in table.schema}
+            joined = [b for b in chosen if b.values is not None]
+            for b in joined:
+                table = among(table, b, types[b.field.source.lower()])
             level = project(entity, table, condition)
+            level = replace(level, narrowed=level.narrowed or bool(joined))
             if transform is not None:
                 level = level.with_df(transform(entity.name, level.df))
                 self._require_columns(level)
@@ -81,6 +91,7 @@ class ExportRun:
                 check_key_types(level, self._projected[parent.name])
         self._code_joins = CodeJoins(self.lookups)
         self._skeletons: dict[str, DataFrame] = {}
+        self._keys_are_unique = False
 
     @staticmethod
     def _require_columns(level: Level) -> None:
@@ -129,21 +140,24 @@ class ExportRun:
             raise SetupError(f"no entity '{name}' in export '{self.export.name}'")
         return entity
 
-    def _check_tree(self, max_subtree_rows: int | None = None) -> None:
-        """One pass over the keys of a tree: unique in every level, and subtrees of a size that a
-        nested row can hold."""
+    def _check_tree(self, max_subtree_rows: int | None = None, always: bool = False) -> None:
+        """Keys of a tree are unique in every level; subtrees have at most as many rows as asked.
+
+        Keys are looked at as they are scanned, without a join. Only if some repeat does it matter
+        whether those rows survive.
+        """
         if self.export.is_flat:
             return
-        notes = []
-        if self.check_keys:
-            notes += [
-                checks.violation_notes(level.df, level.key_names, name)
-                for name, level in self._surviving.items()
-            ]
+        if (self.check_keys or always) and not self._keys_are_unique:
+            if checks.first_note(self._key_notes(self._projected)) is not None:
+                checks.require_none(self._key_notes(self._surviving))
+            self._keys_are_unique = True
         if max_subtree_rows is not None:
-            notes.append(nesting.oversized_notes(self.export, self._pruned, max_subtree_rows))
-        checks.require_none(notes)
-        self.check_keys = False
+            checks.require_none([nesting.oversized_notes(self.export, self._pruned, max_subtree_rows)])
+
+    @staticmethod
+    def _key_notes(levels: Mapping[str, Level]) -> list[DataFrame]:
+        return [checks.violation_notes(v.df, v.key_names, name) for name, v in levels.items()]
 
     # ---- rows ------------------------------------------------------------------------------
 
@@ -167,22 +181,27 @@ class ExportRun:
         df = level.df.orderBy(*key_order(level)) if ordered else level.df
         return df.select(*fields)
 
-    def nested(self, ordered: bool = True, max_subtree_rows: int = MAX_SUBTREE_ROWS) -> DataFrame:
-        """One row per root: fields, then an array of structs per child entity."""
+    def nested(self, ordered: bool = True, max_subtree_rows: int | None = None) -> DataFrame:
+        """One row per root: fields, then an array of structs per child entity.
+
+        A root's whole subtree is one row and must fit a task; ``max_subtree_rows`` makes larger
+        ones an error before any is built, at the cost of a pass over the keys. Documents and CSV
+        bundles have no such bound.
+        """
         levels = {name: settle(level) for name, level in self._coded.items()}
         return self._nest(levels, None, ordered, max_subtree_rows)
 
-    def json_rows(self, ordered: bool = True, max_subtree_rows: int = MAX_SUBTREE_ROWS) -> DataFrame:
+    def json_rows(self, ordered: bool = True, max_subtree_rows: int | None = None) -> DataFrame:
         """One JSON object per root, as the column ``json``."""
         df = self._nest(self._coded, document.json_body, ordered, max_subtree_rows)
         return df.withColumnRenamed("row:", "json")
 
-    def xml_rows(self, ordered: bool = True, max_subtree_rows: int = MAX_SUBTREE_ROWS) -> DataFrame:
+    def xml_rows(self, ordered: bool = True, max_subtree_rows: int | None = None) -> DataFrame:
         """One XML element per root, as the column ``xml``."""
         df = self._nest(self._coded, document.xml_body, ordered, max_subtree_rows)
         return df.withColumnRenamed("row:", "xml")
 
-    def _nest(self, levels, body, ordered: bool, most: int) -> DataFrame:
+    def _nest(self, levels, body, ordered: bool, most: int | None) -> DataFrame:
         self._check_tree(most)
         nested = nesting.nest(self.export, levels, body, ordered)
         return nesting.unpack(nested) if body is None else nested.select("row:")
@@ -238,8 +257,23 @@ class ExportRun:
     # ---- counts and outputs ----------------------------------------------------------------
 
     def row_counts(self) -> DataFrame:
-        """``(entity, rows)`` of this run."""
-        return checks.row_counts({name: level.df for name, level in self._surviving.items()})
+        """``(entity, rows)`` of this run.
+
+        Goes down the tree once: a level's surviving keys are written for its children, so that
+        every table is read once and every level joined once.
+        """
+        kept: dict[str, Level] = {}
+        counted: dict[str, DataFrame] = {}
+        for entity in self.export.entities():
+            level, parent = self._projected[entity.name], self.export.parent(entity)
+            bare = level.with_df(level.df.select(*map(col, [*level.key_names, *level.fk_names])))
+            rows = bare if parent is None else keep_surviving(bare, kept[parent.name])
+            counted[entity.name] = rows.df
+            if entity.children:
+                keys = stage(rows.df.select(*map(col, level.key_names)), entity.name)
+                kept[entity.name] = level.with_df(keys)
+                counted[entity.name] = keys
+        return checks.row_counts(counted)
 
     def csv_lines(self, name: str | None = None) -> DataFrame:
         """CSV records without the header: ``text`` of a flat export, ``(RowNumber, text)`` of one
@@ -252,7 +286,8 @@ class ExportRun:
 
     def document(self, format: str) -> tuple[DataFrame, list[str]]:
         """The pieces of a JSON or XML document and the columns that order them."""
-        self._check_tree()
+        # Pieces are put in place by keys, so repeated ones would mix up two rows' children.
+        self._check_tree(always=True)
         return self._document_pieces(format)
 
     def write(self, path: str, format: str | None = None) -> dict[str, int]:
@@ -269,9 +304,8 @@ class ExportRun:
             totals = {e.name: self._skeleton(e).count() for e in self.export.entities()}
             return csv.write_bundle(self.export, levels, totals, path)
         if kind == "parquet":
-            self.nested().write.parquet(path)
-            return {r.entity: r.rows for r in self.row_counts().collect()}
+            return nesting.write_nested(self.export, self.nested(), path)
         return document.write_pieces(self.export, *self.document(kind), path)
 
 
-__all__ = ["ExportRun", "MAX_SUBTREE_ROWS"]
+__all__ = ["ExportRun"]

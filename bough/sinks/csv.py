@@ -6,6 +6,8 @@ CR LF. The header is one more line that sorts first.
 
 from __future__ import annotations
 
+import math
+
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -24,8 +26,9 @@ KEY = "_key"
 PARENT_KEY = "_parentKey"
 LINE_END = "\r\n"
 STEP = "step:"
-# A bundle file is not split below this many rows.
-FILE_ROWS = 10_000
+#: About how many bytes a bundle file holds. A file is one task's work, written or read back.
+FILE_BYTES = 16 << 20
+MEASURED_ROWS = 1000
 
 
 def field_texts(entity: Entity, schema: T.StructType) -> list[Column]:
@@ -86,7 +89,8 @@ def write_bundle(
     for entity in export.entities():
         df = numbered[entity.name]
         line = bundle_line(entity, df.schema, entity is export.root)
-        lines = _as_lines(_in_number_order(df, totals[entity.name]), entity, line, True)
+        arranged = _in_number_order(df, totals[entity.name], _row_bytes(df, line))
+        lines = _as_lines(arranged, entity, line, True)
         folder = f"{path.rstrip('/')}/{entity.name}.csv"
         counts |= write_lines(lines, folder, [entity.name], LINE_END)
     return counts
@@ -98,16 +102,22 @@ def _below_header(df: DataFrame) -> DataFrame:
     return df.withColumn(STEP, F.lit(1)).unionByName(head, allowMissingColumns=True)
 
 
-def _in_number_order(df: DataFrame, total: int) -> DataFrame:
-    """Numbers are dense, so each row's partition follows from its number: no sampling pass."""
-    most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    files = max(1, min(most, -(-total // FILE_ROWS)))
+def _in_number_order(df: DataFrame, total: int, row_bytes: float) -> DataFrame:
+    """Numbers are dense, so each row's partition follows from its number: no sampling pass. How
+    many files there are depends on the rows and their size alone."""
+    files = max(1, math.ceil(total * row_bytes / FILE_BYTES))
     per_file = max(1, -(-total // files))
     target = F.floor((F.coalesce(col(ROW), F.lit(1)) - 1) / per_file).cast("int")
     spread = _below_header(df).repartitionById(files, target)
     return spread.sortWithinPartitions(STEP, ROW)
 
 
+def _row_bytes(df: DataFrame, line: Column) -> float:
+    """The mean size of the first records that a few tasks come up with."""
+    first = df.select(F.octet_length(line).alias("size")).limit(MEASURED_ROWS)
+    return first.agg(F.avg("size")).first()[0] or 1.0
+
+
 def _as_lines(rows: DataFrame, entity: Entity, line: Column, bundled: bool) -> DataFrame:
     is_head = col(STEP) == 0
     return rows.select(

@@ -12,13 +12,13 @@ from collections.abc import Mapping
 from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bough.functions.render import field_text, json_members, xml_element
 from bough.names import code, col
 from bough.operators.levels import Level, attach_parent
-from bough.operators.staging import small_rows, stage
+from bough.operators.staging import row_hash, small_rows, stage
 from bough.sinks.writing import ENTITY, write_lines
 from bough.spec import Entity, Export
 
@@ -89,7 +89,8 @@ def members(level: Level, df: DataFrame) -> Column:
                 col(code(f.name)) if code(f.name) in df.columns else None,
             )
             for f in level.entity.fields
-        ]
+        ],
+        level.entity.name,
     )
 
 
@@ -173,12 +174,24 @@ def _with_firsts(level: Level, levels: Mapping[str, Level]) -> Level:
     return level.with_df(df)
 
 
+FIRST_ROOT = "first row:"
+
+
 def _with_first_root(level: Level) -> Level:
-    """The smallest key of the root level, on the one row that has it. A single row is broadcast."""
-    first = _smallest_key(level).alias(first_child(level.entity.name))
-    smallest = level.df.agg(*_smallest(level)).select(first)
-    same = _own(level).eqNullSafe(col(first_child(level.entity.name)))
-    return level.with_df(level.df.join(F.broadcast(smallest), same, "left"))
+    """Marks the row that comes first, and only that one.
+
+    Root keys may repeat in a flat export. Rows with the smallest key are told apart by a hash of
+    the row, as in sorting, and rows that are equal in that too by counting them; only such copies
+    of the very first row meet in a task, which holds one at a time.
+    """
+    place = F.struct(*map(col, level.key_names), row_hash(level.df).alias("hash:"))
+    smallest = level.df.agg(F.min(place).alias(FIRST_ROOT))
+    marked = level.df.join(F.broadcast(smallest), place.eqNullSafe(col(FIRST_ROOT)), "left")
+    alike = Window.partitionBy(FIRST_ROOT).orderBy(FIRST_ROOT)
+    least = col(FIRST_ROOT).isNotNull()
+    firsts = marked.where(least).withColumn(FIRST_ROOT, F.row_number().over(alike) == 1)
+    others = marked.where(~least).withColumn(FIRST_ROOT, F.lit(False))
+    return level.with_df(firsts.union(others))
 
 
 def _own(level: Level) -> Column:
@@ -261,7 +274,8 @@ def document_pieces(
         if style.lists:
             is_first = _own(level).eqNullSafe(col(first_child(entity.name)))
             carried = [first_child(entity.name)]
-            level = level if parent else _with_first_root(level)
+            if parent is None:
+                level, is_first = _with_first_root(level), col(FIRST_ROOT)
         placed = _place(level, above, index, carried)
         deepest = max(deepest, placed.depth)
         parts.append(_row_pieces(placed, style, is_first))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,21 +19,24 @@ def read_bundle(
     export: Export,
     decimal: tuple[int, int] = DECIMAL,
     strict: bool = True,
+    decimals: Mapping[tuple[str, str], tuple[int, int]] | None = None,
 ) -> dict[str, DataFrame]:
     """``(RowNumber, ParentRowNumber, fields...)`` per entity of a bundle at ``path``.
 
     Fields come back as their declared types; a looked-up field holds codes and stays text. A text
-    that does not fit its type stops a strict read and is null in a lenient one. Empty means null.
+    that does not fit its type stops a strict read and is null in a lenient one; a decimal fits if all
+    its digits do. ``decimal`` is the precision and scale of decimals, ``decimals`` of those of single
+    fields by (entity, field). Empty means null.
     Line breaks inside values make a file one unit of work, so the files are the parallelism.
     """
     return {
-        e.name: _read_level(spark, f"{path.rstrip('/')}/{e.name}.csv", e, e is export.root, decimal, strict)
+        e.name: _read_level(spark, f"{path.rstrip('/')}/{e.name}.csv", e, e is export.root, decimal, strict, decimals or {})
         for e in export.entities()
     }
 
 
 def _read_level(
-    spark: SparkSession, folder: str, entity: Entity, is_root: bool, decimal, strict: bool
+    spark: SparkSession, folder: str, entity: Entity, is_root: bool, decimal, strict: bool, decimals
 ) -> DataFrame:
     names = [KEY, *([PARENT_KEY] if entity.parent_key_columns else [])]
     names += [f.name for f in entity.fields]
@@ -43,7 +48,7 @@ def _read_level(
     rows = raw.where(col(KEY) != KEY)
 
     def typed(name: str, declared: str) -> Column:
-        parsed = parse_text(col(name), declared, decimal)
+        parsed = parse_text(col(name), declared, decimals.get((entity.name, name), decimal))
         if not strict:
             return parsed["value"]
         wrong = F.concat(

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from bough.errors import UnknownCode
 from bough.functions.render import text
 from bough.names import col
-from bough.operators.staging import small_rows
+from bough.operators.staging import small_rows, stage
 
 # The usual column names of a code table and its code type table.
 ID_COLUMN = "TblCodeID"
@@ -71,21 +71,36 @@ class CodeList:
         Where a list repeats a code, the greatest id is taken: numerically for whole numbers.
         """
         spark = self.pairs.sparkSession
-        pairs = [(v, v.lower()) for v in dict.fromkeys(values)]
-        wanted = small_rows(spark, pairs, "value string, folded string")
-        folded = self.pairs.select("id", F.lower("code").alias("folded"))
-        rank = F.struct(F.col("id").try_cast("long"), F.col("id"))
-        found = (
-            folded.join(F.broadcast(wanted), "folded")
-            .groupBy("value")
-            .agg(F.max_by("id", rank).alias("id"))
-        )
-        ids = {row.value: row.id for row in found.collect()}
+        wanted = small_rows(spark, [(v,) for v in dict.fromkeys(values)], "value string")
+        found = self._found(wanted, F.broadcast)
+        ids = {row.value: row.id for row in found.where("id is not null").collect()}
         for value in values:
             if value not in ids:
                 raise UnknownCode(f"'{value}' is not in {self.label}")
         return ids
 
+    def ids_table(self, values: DataFrame) -> DataFrame:
+        """The same for the texts in the only column of a table, as a table of ids."""
+        (name,) = values.columns
+        wanted = values.select(col(name).cast("string").alias("value")).where("value is not null").distinct()
+        found = stage(self._found(wanted), "filter-codes")
+        unknown = found.where("id is null").first()
+        if unknown is not None:
+            raise UnknownCode(f"'{unknown.value}' is not in {self.label}")
+        return found.select("id")
+
+    def _found(self, wanted: DataFrame, hint=lambda df: df) -> DataFrame:
+        """``(value, id)``, the id null where no code has the text. Both sides fold case alike."""
+        wanted = wanted.withColumn("folded", F.lower("value"))
+        folded = self.pairs.select("id", F.lower("code").alias("folded"))
+        rank = F.struct(F.col("id").try_cast("long"), F.col("id"))
+        best = (
+            folded.join(hint(wanted.select("folded").distinct()), "folded", "left_semi")
+            .groupBy("folded")
+            .agg(F.max_by("id", rank).alias("id"))
+        )
+        return wanted.join(best, "folded", "left").select("value", "id")
+
 
 class FunctionLookup:
     """A lookup written in Python.
@@ -118,3 +133,15 @@ class FunctionLookup:
 
     def ids_of(self, values: list[str]) -> dict[str, str]:
         return {value: self.request(value) for value in dict.fromkeys(values)}
+
+    def ids_table(self, values: DataFrame) -> DataFrame:
+        """The stored texts of a table of values; ``request`` runs on the executors."""
+        (name,) = values.columns
+        request = self.request
+
+        @F.pandas_udf("string")
+        def stored(texts: pd.Series) -> pd.Series:
+            return texts.map(request)
+
+        wanted = values.select(col(name).cast("string").alias("value")).where("value is not null")
+        return wanted.distinct().select(stored("value").alias("id"))

@@ -6,7 +6,7 @@ column pruning reach the scan.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Collection, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,16 +56,20 @@ def jdbc_tables(
     url: str,
     options: Mapping[str, str] | None = None,
     partitioning: Mapping[str, Mapping[str, str]] | None = None,
+    one_connection: Collection[str] = (),
     quote: tuple[str, str] = ('"', '"'),
 ) -> Reader:
     """Tables of a relational database.
 
     ``partitioning`` gives a table's ``partitionColumn``, ``lowerBound``, ``upperBound`` and
-    ``numPartitions``; without them Spark reads a table through one connection.
+    ``numPartitions``. A table without them would be read by one task; that has to be wanted, by
+    naming it in ``one_connection``.
     """
     first, last = quote
 
     def read(schema: str | None, table: str) -> DataFrame:
+        if table not in (partitioning or {}) and table not in one_connection:
+            raise SetupError(f"table '{table}' needs partitioning, or to be named in one_connection")
         parts = [schema, table] if schema else [table]
         name = ".".join(first + p.replace(last, last * 2) + last for p in parts)
         reader = spark.read.format("jdbc").option("url", url).option("dbtable", name)
