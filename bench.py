@@ -3,6 +3,7 @@
 import json
 import os
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -23,7 +24,8 @@ def main() -> None:
         .config("spark.sql.shuffle.partitions", CPUS)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
-        .config("spark.driver.memory", "20g")
+        .config("spark.driver.memory", "12g")
+        .config("spark.checkpoint.dir", Path(tempfile.mkdtemp(prefix="bough-bench-")).as_uri())
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

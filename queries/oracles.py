@@ -74,6 +74,7 @@ DOCUMENT_MEMBERS = (
 )
 LABEL_MEMBERS = "'{\"Quality\":' || quality || ',\"Toxic\":' || toxic || '}'"
 
+LONG = "(event_id % 1000) || '1234567.' || lpad(CAST(user_id AS VARCHAR), 18, '0')"
 GEO_NUMBERS = """
 WITH r AS (SELECT r_regionkey, row_number() OVER (ORDER BY r_regionkey) AS rn FROM region),
 n AS (
@@ -357,6 +358,19 @@ FROM customer LEFT JOIN (
     "filter_by_readable_value": """
 SELECT c_custkey AS "CustKey", n_name AS "Nation" FROM customer JOIN nation ON c_nationkey = n_nationkey
 WHERE lower(n_name) IN ('nation_3', 'nation_20')""",
+    "custom_request_lookup": """
+SELECT c_custkey AS "CustKey", 'No. ' || c_nationkey AS "Nation" FROM customer WHERE c_nationkey IN (3, 20)""",
+    "filter_in_large": orders("o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 40)"),
+    "parse_long_decimals": f"""
+SELECT event_id, CAST(CAST({LONG} AS DECIMAL(38, 18)) AS VARCHAR) AS long, TRUE AS long_ok,
+  '-1.' || lpad(CAST(user_id AS VARCHAR), 18, '0') AS small, TRUE AS small_ok,
+  CAST(NULL AS VARCHAR) AS over, FALSE AS over_ok
+FROM events""",
+    "flat_csv_file": f"""
+SELECT 'DocId,Lang,Source,Text' AS text UNION ALL
+SELECT doc_id || ',' || {csv("lang")} || ',' || {csv("source")} || ',' || {csv("text")} FROM documents""",
+    "parquet_file": nested_orders(),
+    "json_flat_repeated_keys": f"SELECT '{{' || {LINE_MEMBERS} || '}}' AS json FROM lineitem",
     "custom_lookup_udf": """
 SELECT o_orderkey AS "OrderKey", CASE o_orderstatus WHEN 'F' THEN 'finished' WHEN 'O' THEN 'open'
   ELSE o_orderstatus END AS "Status" FROM orders""",

@@ -58,6 +58,12 @@ def filtered_gaps(**filters):
     return query
 
 
+def filter_in_large(spark, folder):
+    """More values than a plan should list, as a table that is joined."""
+    large = table(spark, folder, "lineitem").where("l_quantity >= 40").select("l_orderkey")
+    return run(spark, folder, specs.FLAT_ORDERS, filters={"keys": large}).rows()
+
+
 # ---- levels ------------------------------------------------------------------------------------
 
 
@@ -219,6 +225,20 @@ def custom_lookup_udf(spark, folder):
     return run(spark, folder, specs.ORDERS_BY_STATUS, lookups={"words": words}).rows()
 
 
+def custom_request_lookup(spark, folder):
+    """Python reads filter values and writes codes."""
+    nations = FunctionLookup(
+        render=lambda ids: "No. " + ids, request=lambda given: given.lower().removeprefix("nation_")
+    )
+    return run(
+        spark,
+        folder,
+        specs.CUSTOMERS_BY_NATION,
+        lookups={"nations": nations},
+        filters={"Nation": ["nation_3", "Nation_20"]},
+    ).rows()
+
+
 # ---- text --------------------------------------------------------------------------------------
 
 
@@ -258,6 +278,23 @@ def parse_text_types(spark, folder):
     return events.select(*columns)
 
 
+def parse_long_decimals(spark, folder):
+    """28 digits are read exactly; a text with more digits after the point than there is room for
+    does not fit."""
+    events = table(spark, folder, "events")
+    fraction = F.lpad(F.col("user_id").cast("string"), 18, "0")
+    whole = F.concat((F.col("event_id") % 1000).cast("string"), F.lit("1234567"))
+    columns = [F.col("event_id")]
+    for name, raw in (
+        ("long", F.concat(whole, F.lit("."), fraction)),
+        ("small", F.concat(F.lit("-1"), fraction, F.lit("e-18"))),
+        ("over", F.concat(whole, F.lit("."), fraction, F.lit("1"))),
+    ):
+        parsed = parse_text(raw, "Decimal", (38, 18))
+        columns += [parsed["value"].cast("string").alias(name), parsed["ok"].alias(f"{name}_ok")]
+    return events.select(*columns)
+
+
 def csv_lines_flat(spark, folder):
     return run(spark, folder, specs.DOCUMENTS).csv_lines().select("text")
 
@@ -301,6 +338,30 @@ def document_pieces(format, spec):
     return query
 
 
+# ---- finished outputs --------------------------------------------------------------------------
+
+
+def flat_csv_file(spark, folder):
+    """The lines of a written file, its header among them."""
+    path = staging_path(spark, "flat-csv")
+    run(spark, folder, specs.DOCUMENTS).write(path, "csv")
+    return spark.read.option("lineSep", "\r\n").text(path).withColumnRenamed("value", "text")
+
+
+def parquet_file(spark, folder):
+    path = staging_path(spark, "nested-parquet")
+    run(spark, folder, specs.CUSTOMER_ORDERS).write(path, "parquet")
+    return exploded_orders(spark.read.parquet(path))
+
+
+def json_flat_repeated_keys(spark, folder):
+    """The records of a written document whose key repeats, each without the comma before it."""
+    path = staging_path(spark, "flat-json")
+    run(spark, folder, specs.LINES_BY_ORDER).write(path, "json")
+    lines = spark.read.text(path).where(~F.col("value").isin("[", "]"))
+    return lines.select(F.regexp_replace("value", "^,", "").alias("json"))
+
+
 QUERIES = {
     "flat_export": flat_export,
     "composite_key_export": composite_key_export,
@@ -309,6 +370,7 @@ QUERIES = {
     "filter_gte": filtered_orders(minTotal="250000.50"),
     "filter_lte": filtered_orders(until="1997-06-30"),
     "filter_between": filtered_orders(dates=["1996-01-01", "1996-12-31"]),
+    "filter_in_large": filter_in_large,
     "filter_is_null": filtered_gaps(noStatus=None),
     "filter_is_not_null": filtered_gaps(anyStatus=None),
     "filter_conjunction": filtered_orders(status="O", minTotal="1e5", until="1998-12-31"),
@@ -335,8 +397,13 @@ QUERIES = {
     "lookup_in_json": lookup_in_json,
     "filter_by_readable_value": filter_by_readable_value,
     "custom_lookup_udf": custom_lookup_udf,
+    "custom_request_lookup": custom_request_lookup,
     "render_text_types": render_text_types,
     "parse_text_types": parse_text_types,
+    "parse_long_decimals": parse_long_decimals,
+    "flat_csv_file": flat_csv_file,
+    "parquet_file": parquet_file,
+    "json_flat_repeated_keys": json_flat_repeated_keys,
     "csv_lines_flat": csv_lines_flat,
     "csv_bundle_root": csv_bundle("Document"),
     "csv_bundle_child": csv_bundle("Label"),

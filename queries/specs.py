@@ -55,6 +55,7 @@ ORDER_FILTERS = [
     flt("minTotal", "Order", "Total", "GreaterThanOrEqual", "Decimal"),
     flt("until", "Order", "OrderDate", "LessThanOrEqual", "Date"),
     flt("dates", "Order", "OrderDate", "Between", "Date"),
+    flt("keys", "Order", "OrderKey", "In", "Int64"),
     flt("noStatus", "Order", "Status", "IsNull"),
     flt("anyStatus", "Order", "Status", "IsNotNull"),
 ]
@@ -74,6 +75,11 @@ def lines_entity():
     return entity("Line", "lineitem", LINE_KEY, fields, "l_orderkey")
 
 
+# An order's lines share this key.
+LINES_BY_ORDER = {
+    "name": "lines",
+    "root": lines_entity() | {"keyColumn": "l_orderkey", "parentKeyColumn": None},
+}
 FLAT_ORDERS = {
     "name": "orders",
     "root": entity("Order", "orders", "o_orderkey", ORDER_FIELDS),
