@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from decimal import Decimal
+from decimal import ROUND_CEILING, ROUND_FLOOR, Decimal, localcontext
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -173,6 +173,9 @@ def predicate(bound: BoundFilter, column_type: T.DataType) -> Column:
     """The condition of one filter on its source column, with SQL's three-valued logic."""
     flt = bound.filter
     value = col(bound.field.source)
+    exact = isinstance(column_type, (T.DecimalType, T.IntegralType))
+    if bound.literals.texts and flt.value_type == "Decimal" and exact:
+        return _exactly_compared(flt, value, [Decimal(t) for t in bound.literals.texts], column_type)
     literals = bound.literals.columns()
     if isinstance(column_type, T.StringType):
         if flt.value_type == "Guid":
@@ -185,6 +188,47 @@ def predicate(bound: BoundFilter, column_type: T.DataType) -> Column:
     return _compared(flt, value, literals)
 
 
+def _exactly_compared(flt: Filter, value: Column, numbers: list[Decimal], column_type: T.DataType) -> Column:
+    """Decimals against a column of exact numbers, in the column's own type: a common type could be
+    too narrow for the digits of both, and rounding one of them would change the answer."""
+    if isinstance(column_type, T.DecimalType):
+        unit = Decimal(1).scaleb(-column_type.scale)
+        top = Decimal(10) ** (column_type.precision - column_type.scale) - unit
+        bottom = -top
+    else:
+        bits = {"tinyint": 8, "smallint": 16, "int": 32, "bigint": 64}[column_type.simpleString()]
+        unit, top, bottom = Decimal(1), Decimal(2 ** (bits - 1) - 1), Decimal(-(2 ** (bits - 1)))
+
+    def held(number: Decimal, rounding: str) -> Decimal:
+        with localcontext(prec=2 * WIDEST + 2):
+            return number.quantize(unit, rounding)
+
+    def literal(number: Decimal) -> Column:
+        return F.lit(f"{number:f}").cast(column_type)
+
+    def from_(number: Decimal) -> Column:
+        least = held(number, ROUND_CEILING)
+        if least > top:
+            return F.lit(False)
+        return value >= literal(max(least, bottom))
+
+    def to(number: Decimal) -> Column:
+        most = held(number, ROUND_FLOOR)
+        if most < bottom:
+            return F.lit(False)
+        return value <= literal(min(most, top))
+
+    match flt.operator:
+        case "GreaterThanOrEqual":
+            return from_(numbers[0])
+        case "LessThanOrEqual":
+            return to(numbers[0])
+        case "Between":
+            return from_(numbers[0]) & to(numbers[1])
+    same = [n for n in numbers if held(n, ROUND_FLOOR) == n and bottom <= n <= top]
+    return value.isin([literal(n) for n in same]) if same else F.lit(False)
+
+
 def _guid_among(value: Column, texts: tuple[str, ...]) -> Column:
     """Equality whatever the case of the letters. Every spelling of a GUID lies between its
     spelling in capitals and that in small letters, which the scan can use."""

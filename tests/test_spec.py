@@ -6,11 +6,11 @@ import pytest
 
 from bough import Entity, Export, Field, Filter, SpecError
 from bough.spec import valid_name
-from fixtures import ORDERS
+from fixtures import STATIONS
 
 
 def changed(edit):
-    document = copy.deepcopy(ORDERS)
+    document = copy.deepcopy(STATIONS)
     edit(document)
     return Export.from_dict(document)
 
@@ -22,10 +22,11 @@ def only_problem(edit):
 
 
 def test_sample_is_valid():
-    export = Export.from_dict(ORDERS).check()
-    assert [e.name for e in export.entities()] == ["Order", "Line"]
-    assert export.entity("LINE").field("sku").source == "Sku"
-    assert export.parent(export.entity("Line")) is export.root
+    export = Export.from_dict(STATIONS).check()
+    assert {e.name for e in export.entities()} == {"Station", "Sensor", "Reading", "Visit"}
+    assert export.entity("VISIT").field("wHO").source == "who"
+    assert export.parent(export.entity("Visit")) is export.root
+    assert export.parent(export.entity("Reading")) is export.entity("Sensor")
 
 
 def test_document_members_and_choices_ignore_case():
@@ -63,18 +64,18 @@ def test_good_names(name):
         (lambda d: d["root"]["children"][0].update(parentKeyColumn=None), "parent key"),
         (lambda d: d["root"]["children"][0].update(parentKeyColumn="\x00"), "parent key"),
         (lambda d: d["root"]["children"][0].update(fields=[]), "no fields"),
-        (lambda d: d["root"]["children"][0].update(name="order"), "twice"),
-        (lambda d: d["root"]["children"][0]["fields"].append({"name": "SKU"}), "twice"),
+        (lambda d: d["root"]["children"][0].update(name="station"), "twice"),
+        (lambda d: d["root"]["children"][0]["fields"].append({"name": "KIND"}), "twice"),
         (lambda d: d["root"]["fields"].append({"name": "rownumber"}), "reserved"),
         (lambda d: d["root"]["fields"].append({"name": "RealKey"}), "reserved"),
-        (lambda d: d["root"]["fields"].append({"name": "line"}), "child entity"),
+        (lambda d: d["root"]["fields"].append({"name": "visit"}), "child entity"),
         (lambda d: d["root"]["fields"].append({"name": ""}), "no name"),
         (lambda d: d["root"]["fields"].append({"name": "a b"}), "XML name"),
         (lambda d: d["root"]["fields"].append({"name": "x", "type": "Float"}), "unknown type"),
         (lambda d: d["root"]["fields"].append({"name": "x", "column": ""}), "required"),
         (lambda d: d["filters"].append({"name": ""}), "no name"),
         (lambda d: d["filters"].append({"name": "f", "entity": "No", "field": "x"}), "unknown entity"),
-        (lambda d: d["filters"].append({"name": "f", "entity": "Order", "field": "x"}), "no field"),
+        (lambda d: d["filters"].append({"name": "f", "entity": "Station", "field": "x"}), "no field"),
         (lambda d: d["filters"].append(dict(d["filters"][0])), "twice"),
         (lambda d: d["filters"][0].update(operator="Like"), "unknown operator"),
         (lambda d: d["filters"][0].update(valueType="Money"), "unknown value type"),

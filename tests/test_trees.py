@@ -4,6 +4,7 @@ import json
 import random
 import xml.etree.ElementTree as ET
 from decimal import Decimal
+from pathlib import Path
 
 import pyarrow.parquet as pq
 import pytest
@@ -19,15 +20,18 @@ from bough import (
     dense_number,
     read_bundle,
     rebuild,
+    staged_here,
 )
 from bough.operators.checks import key_violations
 from bough.operators.nesting import subtree_rows
-from fixtures import ORDERS, countries, file_text, order_tables
+from bough.operators.staging import staging_root
+from bough.sinks import csv
+from fixtures import SENSOR, STATIONS, climates, file_text, station_tables
 
 
-def order_run(spark, filters=None, **options):
-    lookups = {"countries": countries(spark)}
-    return ExportRun(spark, ORDERS, order_tables(spark), filters, lookups, **options)
+def station_run(spark, filters=None, **options):
+    lookups = {"climates": climates(spark)}
+    return ExportRun(spark, STATIONS, station_tables(spark), filters, lookups, **options)
 
 
 def tags(row):
@@ -54,149 +58,205 @@ def numbered(spark, **levels):
     return {name: spark.createDataFrame(rows, schema) for name, rows in levels.items()}
 
 
-def test_rebuild_depth_four(spark):
-    export = tagged("A", [("B", [("C", [("D", [])])])])
+def test_rebuild_uneven_branches(spark):
+    """Branches of different depth below one root, lists without rows, and a root on its own."""
+    export = tagged("City", [("Street", [("House", [("Room", [])]), ("Lamp", [])]), ("Park", [])])
     levels = numbered(
         spark,
-        A=[(1, 0, "a1"), (2, 0, "a2")],
-        B=[(1, 1, "b1"), (2, 1, "b2"), (3, 2, "b3")],
-        C=[(1, 1, "c1"), (2, 3, "c2"), (3, 3, "c3")],
-        D=[(1, 2, "d1")],
+        City=[(2, 0, "west"), (1, 0, "east"), (3, 0, "bare")],
+        Street=[(3, 2, "oak"), (1, 1, "elm"), (2, 1, "fir")],
+        House=[(2, 3, "no7"), (1, 3, "no5")],
+        Room=[(1, 2, "attic"), (2, 2, "cellar")],
+        Lamp=[(1, 1, "tall")],
+        Park=[(1, 2, "green")],
     )
     rows = rebuild(export, levels).collect()
-    assert [tags(r) for r in rows] == ["a1[b1[c1] b2]", "a2[b3[c2[d1] c3]]"]
+    assert [tags(r) for r in rows] == ["east[elm[tall] fir]", "west[oak[no5 no7[attic cellar]] green]", "bare"]
+    assert rows[2].Street == [] and rows[2].Park == []
+    assert rebuild(export, {name: df.limit(0) for name, df in levels.items()}).collect() == []
 
 
-def test_rebuild_siblings(spark):
-    export = tagged("Order", [("Line", []), ("Shipment", [])])
-    levels = numbered(
-        spark,
-        Order=[(1, 0, "o1"), (2, 0, "o2")],
-        Line=[(1, 1, "l1"), (2, 2, "l2"), (3, 2, "l3")],
-        Shipment=[(1, 2, "s1")],
-    )
-    assert [tags(r) for r in rebuild(export, levels).collect()] == ["o1[l1]", "o2[l2 l3 s1]"]
-
-
-def test_rebuild_childless_and_empty(spark):
-    export = tagged("Order", [("Line", [])])
-    orders = [(1, 0, "o1"), (2, 0, "o2"), (3, 0, "o3")]
-    levels = numbered(spark, Order=orders, Line=[(1, 1, "l1"), (2, 3, "l2")])
-    rows = rebuild(export, levels).collect()
-    assert [tags(r) for r in rows] == ["o1[l1]", "o2", "o3[l2]"]
-    assert rows[1].Line == []
-    assert rebuild(export, numbered(spark, Order=[], Line=[])).collect() == []
+def test_rebuild_needs_unique_numbers(spark):
+    export = tagged("City", [("Park", [])])
+    with pytest.raises(DuplicateKeys, match="City"):
+        rebuild(export, numbered(spark, City=[(1, 0, "a"), (1, 0, "b")], Park=[(1, 1, "p")]))
 
 
 def test_transform(spark):
     def louder(name, df):
-        return df.withColumn("Sku", F.lower("Sku")) if name == "Line" else df
+        return df.withColumn("Kind", F.upper("Kind")) if name == "Sensor" else df
 
-    first = order_run(spark, transform=louder).nested().first()
-    assert [line.Sku for line in first.Line] == ["kb-201", "ch-770"]
+    first = station_run(spark, transform=louder).nested().first()
+    assert [sensor.Kind for sensor in first.Sensor] == ["WIND", "RAIN"]
 
 
 def test_nested(spark):
-    rows = order_run(spark).nested().collect()
-    assert [r.OrderNumber for r in rows] == ["ORD-2001", "ORD-2002"]
-    assert [(x.LineNumber, x.Sku, x.Quantity) for x in rows[0].Line] == [
-        (1, "KB-201", 1),
-        (2, "CH-770", 4),
+    rows = station_run(spark).nested().collect()
+    assert [(r.Title, r.Climate, r.Height) for r in rows] == [
+        ("Fjordkant", "MARITIME", Decimal("12.500")),
+        ("Hochmoor", "ALPINE", Decimal("845.250")),
+        ("Salzpfanne", None, Decimal("-3.125")),
     ]
-    assert rows[1].Country is None and rows[1].Total == Decimal("42.00")
+    assert [[(s.Kind, s.Slot, [x.Value for x in s.Reading]) for s in r.Sensor] for r in rows] == [
+        [("wind", 2, [Decimal("7.10")]), ("rain", 1, [None, Decimal("0.40")])],
+        [],
+        [(None, 1, [Decimal("1.60")])],
+    ]
+    assert [[v.Who for v in r.Visit] for r in rows] == [[], [None, "Ada"], ["Bo"]]
+
+
+COUNTS = {"Station": 3, "Sensor": 3, "Reading": 4, "Visit": 3}
 
 
 def test_json_document(spark, tmp_path):
-    assert order_run(spark).write(str(tmp_path / "out")) == {"Order": 2, "Line": 3}
-    first, second = json.loads(file_text(tmp_path / "out"))
-    assert list(first) == ["OrderNumber", "OrderDate", "Country", "Total", "Line"]
-    assert first["OrderDate"] == "2026-06-10" and first["Country"] == "DK"
-    assert [len(first["Line"]), len(second["Line"])] == [2, 1]
-    assert second["Country"] is None
-    assert '"Total":42.00' in file_text(tmp_path / "out")
+    assert station_run(spark).write(str(tmp_path / "out")) == COUNTS
+    first, second, third = json.loads(file_text(tmp_path / "out"))
+    assert list(first) == ["Title", "Opened", "Climate", "Height", "Sensor"]
+    assert first["Opened"] == "2011-03-05" and first["Climate"] == "MARITIME"
+    assert list(second) == ["Title", "Opened", "Climate", "Height", "Visit"]
+    assert first["Sensor"][1] == {"Kind": "rain", "Slot": 1, "Reading": [{"Value": None}, {"Value": 0.4}]}
+    assert third["Climate"] is None and third["Visit"] == [{"Who": "Bo"}]
+    assert '"Height":12.500' in file_text(tmp_path / "out")
 
 
 def test_xml_document(spark, tmp_path):
-    order_run(spark).write(str(tmp_path / "out"), "xml")
+    station_run(spark).write(str(tmp_path / "out"), "xml")
     root = ET.fromstring(file_text(tmp_path / "out"))
-    assert root.tag == "orders"
-    assert [e.tag for e in root] == ["Order", "Order"]
-    assert [len(e.findall("Line")) for e in root] == [2, 1]
-    empty = root[1].find("Country")
+    assert root.tag == "network" and [e.tag for e in root] == ["Station"] * 3
+    assert [len(e.findall("Sensor/Reading")) for e in root] == [3, 0, 1]
+    empty = root[1].find("Visit/Who")
     assert empty.text is None and empty.attrib == {"nil": "true"}
-    assert root[0].find("Line/Sku").text == "KB-201"
+    assert root[0].find("Sensor/Kind").text == "wind"
 
 
 @pytest.mark.parametrize("format, text", [("json", "[\n]\n"), ("xml", None)])
 def test_empty_documents(spark, tmp_path, format, text):
-    nothing = order_run(spark, {"orderNumber": "none"})
-    assert nothing.write(str(tmp_path / "out"), format) == {"Order": 0, "Line": 0}
+    nothing = station_run(spark, {"title": "nowhere"})
+    assert nothing.write(str(tmp_path / "out"), format) == dict.fromkeys(COUNTS, 0)
     written = file_text(tmp_path / "out")
     assert written == text or len(ET.fromstring(written)) == 0
 
 
+def flat(**root):
+    return STATIONS | {"filters": [], "root": STATIONS["root"] | {"children": []} | root}
+
+
 def test_flat_csv(spark, tmp_path):
-    spec = ORDERS | {"filters": []}
-    fields = [{"name": "OrderNumber"}, {"name": "Total", "type": "Decimal"}]
-    spec["root"] = ORDERS["root"] | {"fields": fields, "children": []}
-    run = ExportRun(spark, spec, order_tables(spark))
-    assert run.write(str(tmp_path / "out"), "csv") == {"Order": 2}
-    want = "OrderNumber,Total\r\nORD-2001,512.25\r\nORD-2002,42.00\r\n"
-    assert file_text(tmp_path / "out") == want
+    fields = [{"name": "Title", "column": "title"}, {"name": "Height", "column": "height", "type": "Decimal"}]
+    run = ExportRun(spark, flat(fields=fields), station_tables(spark))
+    assert run.write(str(tmp_path / "out"), "csv") == {"Station": 3}
+    lines = ["Title,Height", "Fjordkant,12.500", "Hochmoor,845.250", "Salzpfanne,-3.125", ""]
+    assert file_text(tmp_path / "out") == "\r\n".join(lines)
+
+
+@pytest.mark.parametrize("format", ["json", "xml"])
+def test_flat_documents_with_repeated_keys(spark, tmp_path, format):
+    """Every row is there once and the document is valid, also where rows are equal in everything."""
+    rows = [(1, "a"), (1, "b"), (1, "a"), (1, "a"), (2, "c"), (2, "c"), (None, "n"), (None, "n")]
+    for name, own in (("with", rows), ("without", rows[:6]), ("none", [])):
+        table = spark.createDataFrame(own, "k int, v string").repartition(5)
+        spec = {"name": "x", "root": {"name": "A", "table": "t", "keyColumn": "k", "fields": [{"name": "v"}]}}
+        ExportRun(spark, spec, {"t": table}).write(str(tmp_path / name), format)
+        text = file_text(tmp_path / name)
+        got = [r["v"] for r in json.loads(text)] if format == "json" else [e.find("v").text for e in ET.fromstring(text)]
+        assert sorted(got) == sorted(v for _, v in own)
+
+
+def test_numbers_that_json_has_not(spark, tmp_path):
+    spec = {"name": "x", "root": {"name": "A", "table": "t", "keyColumn": "k", "fields": [{"name": "v"}]}}
+    for i, bad in enumerate((float("nan"), float("-inf"))):
+        run = ExportRun(spark, spec, {"t": spark.createDataFrame([(1, 0.5), (2, bad), (3, None)], "k int, v double")})
+        with pytest.raises(Exception, match="entity 'A', field 'v': JSON has no number"):
+            run.write(str(tmp_path / str(i)), "json")
+        run.write(str(tmp_path / f"csv{i}"), "csv")
 
 
 def test_csv_bundle(spark, tmp_path):
-    order_run(spark).write(str(tmp_path), "csv")
-    orders = "_key,OrderNumber,OrderDate,Country,Total\r\n"
-    orders += "1,ORD-2001,2026-06-10,DK,512.25\r\n2,ORD-2002,2026-06-11,,42.00\r\n"
-    assert file_text(tmp_path / "Order.csv") == orders
-    lines = "_key,_parentKey,LineNumber,Sku,Quantity\r\n"
-    lines += "1,1,1,KB-201,1\r\n2,1,2,CH-770,4\r\n3,2,1,MS-115,1\r\n"
-    assert file_text(tmp_path / "Line.csv") == lines
+    station_run(spark).write(str(tmp_path), "csv")
+    want = {
+        "Station": [
+            "_key,Title,Opened,Climate,Height", "1,Fjordkant,2011-03-05,MARITIME,12.500",
+            "2,Hochmoor,2014-09-21,ALPINE,845.250", "3,Salzpfanne,2011-03-06,,-3.125",
+        ],
+        "Sensor": ["_key,_parentKey,Kind,Slot", "1,1,wind,2", "2,1,rain,1", "3,3,,1"],
+        "Reading": ["_key,_parentKey,Value", "1,1,7.10", "2,2,", "3,2,0.40", "4,3,1.60"],
+        "Visit": ["_key,_parentKey,Who", "1,2,", "2,2,Ada", "3,3,Bo"],
+    }
+    for name, lines in want.items():
+        assert file_text(tmp_path / f"{name}.csv") == "\r\n".join([*lines, ""])
 
 
 def test_empty_bundle_has_headers(spark, tmp_path):
-    order_run(spark, {"orderNumber": "none"}).write(str(tmp_path), "csv")
-    assert file_text(tmp_path / "Line.csv") == "_key,_parentKey,LineNumber,Sku,Quantity\r\n"
-    levels = read_bundle(spark, str(tmp_path), Export.from_dict(ORDERS))
-    assert [df.count() for df in levels.values()] == [0, 0]
+    station_run(spark, {"title": "nowhere"}).write(str(tmp_path), "csv")
+    assert file_text(tmp_path / "Visit.csv") == "_key,_parentKey,Who\r\n"
+    levels = read_bundle(spark, str(tmp_path), Export.from_dict(STATIONS))
+    assert [df.count() for df in levels.values()] == [0] * 4
 
 
 def test_root_with_parent_key_has_an_empty_column(spark, tmp_path):
-    root = ORDERS["root"] | {"parentKeyColumn": "Country"}
+    root = STATIONS["root"] | {"parentKeyColumn": "climate"}
     run = ExportRun(
-        spark, ORDERS | {"root": root}, order_tables(spark), lookups={"countries": countries(spark)}
+        spark, STATIONS | {"root": root}, station_tables(spark), lookups={"climates": climates(spark)}
     )
     run.write(str(tmp_path), "csv")
-    assert file_text(tmp_path / "Order.csv").split("\r\n")[:2] == [
-        "_key,_parentKey,OrderNumber,OrderDate,Country,Total",
-        "1,,ORD-2001,2026-06-10,DK,512.25",
+    assert file_text(tmp_path / "Station.csv").split("\r\n")[:2] == [
+        "_key,_parentKey,Title,Opened,Climate,Height",
+        "1,,Fjordkant,2011-03-05,MARITIME,12.500",
     ]
 
 
+@pytest.mark.parametrize("partitions", ["2", "50"])
+def test_bundle_files_depend_on_the_rows_alone(spark, tmp_path, monkeypatch, partitions):
+    monkeypatch.setattr(csv, "FILE_BYTES", 2_000)
+    table = spark.range(1000).selectExpr("id AS k", "'some text' AS v")
+    spec = {"name": "x", "root": {"name": "A", "table": "t", "keyColumn": "k", "fields": [{"name": "v"}],
+            "children": [{"name": "B", "table": "t", "keyColumn": "k", "parentKeyColumn": "k", "fields": [{"name": "v"}]}]}}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        ExportRun(spark, spec, {"t": table}).write(str(tmp_path), "csv")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    files = [p for p in (tmp_path / "A.csv").iterdir() if p.name.startswith("part-")]
+    assert len(files) == 7  # 13 bytes a row
+
+
 def test_parquet(spark, tmp_path):
-    assert order_run(spark).write(str(tmp_path / "p"), "parquet") == {"Order": 2, "Line": 3}
-    back = spark.read.parquet(str(tmp_path / "p")).orderBy("OrderNumber").collect()
-    assert back == order_run(spark).nested().collect()
+    assert station_run(spark).write(str(tmp_path / "p"), "parquet") == COUNTS
+    back = spark.read.parquet(str(tmp_path / "p")).orderBy("Title").collect()
+    assert back == station_run(spark).nested().collect()
 
 
 def test_row_counts_and_children_of_filtered_parents(spark):
-    run = order_run(spark, {"country": "DK"})
-    assert {r.entity: r.rows for r in run.row_counts().collect()} == {"Order": 1, "Line": 2}
-    assert sorted(r.Sku for r in run.level("line").collect()) == ["CH-770", "KB-201"]
+    run = station_run(spark, {"climate": "maritime"})
+    assert {r.entity: r.rows for r in run.row_counts().collect()} == {"Station": 1, "Sensor": 2, "Reading": 3, "Visit": 0}
+    assert sorted(r.Kind for r in run.level("sensor").collect()) == ["rain", "wind"]
 
 
 def test_bundle_reader_types_and_errors(spark, tmp_path):
-    order_run(spark).write(str(tmp_path), "csv")
-    text = ORDERS["root"]["children"][0]["fields"]
-    wrong = [dict(f, type="Int32") if f["name"] == "Sku" else f for f in text]
-    line = ORDERS["root"]["children"][0] | {"fields": wrong}
-    spec = ORDERS | {"root": ORDERS["root"] | {"children": [line]}}
-    lenient = read_bundle(spark, str(tmp_path), Export.from_dict(spec), strict=False)
-    assert [r.Sku for r in lenient["Line"].collect()] == [None] * 3
-    strict = read_bundle(spark, str(tmp_path), Export.from_dict(spec))
-    with pytest.raises(Exception, match="Sku"):
-        strict["Line"].collect()
+    station_run(spark).write(str(tmp_path), "csv")
+    wrong = [dict(f, type="Int32") if f["name"] == "Kind" else f for f in SENSOR["fields"]]
+    root = STATIONS["root"] | {"children": [SENSOR | {"fields": wrong}]}
+    spec = Export.from_dict(STATIONS | {"root": root})
+    lenient = read_bundle(spark, str(tmp_path), spec, strict=False)
+    assert [r.Kind for r in lenient["Sensor"].collect()] == [None] * 3
+    with pytest.raises(Exception, match="Kind"):
+        read_bundle(spark, str(tmp_path), spec)["Sensor"].collect()
+
+
+def test_long_decimals_survive_a_bundle(spark, tmp_path):
+    values = [Decimal("1.123456789012345678"), Decimal("-98765432109876543210.000000000000000001"), None]
+    table = spark.createDataFrame(list(enumerate(values)), "k int, v decimal(38,18)")
+    part = {"table": "t", "keyColumn": "k", "fields": [{"name": "v", "type": "Decimal"}]}
+    spec = {"name": "x", "root": part | {"name": "A", "children": [part | {"name": "B", "parentKeyColumn": "k"}]}}
+    run = ExportRun(spark, spec, {"t": table})
+    run.write(str(tmp_path), "csv")
+    back = read_bundle(spark, str(tmp_path), run.export)
+    assert [r.v for r in back["A"].orderBy("RowNumber").collect()] == values
+    narrow = read_bundle(spark, str(tmp_path), run.export, decimals={("B", "v"): (38, 10)})
+    assert narrow["A"].where("v is not null").count() == 2
+    with pytest.raises(Exception, match="entity 'B', field 'v'"):
+        narrow["B"].collect()
 
 
 def test_text_survives_a_bundle(spark, tmp_path):
@@ -225,27 +285,43 @@ def test_text_survives_a_bundle(spark, tmp_path):
 
 
 def test_duplicate_keys_fail_trees_only(spark):
-    tables = order_tables(spark)
-    tables["OrderLines"] = tables["OrderLines"].replace(3, 7, "LineId")
-    lookups = {"countries": countries(spark)}
-    run = ExportRun(spark, ORDERS, tables, lookups=lookups)
+    tables = station_tables(spark)
+    tables["visits"] = tables["visits"].replace(2, 1, "visit_no")
+    lookups = {"climates": climates(spark)}
+    run = ExportRun(spark, STATIONS, tables, lookups=lookups)
     for action in (run.nested, run.json_rows, run.numbered, lambda: run.document("xml")):
-        with pytest.raises(DuplicateKeys, match="Line"):
+        with pytest.raises(DuplicateKeys, match="Visit"):
             action()
-    assert key_violations(tables["OrderLines"], ["LineId"]).collect()[0].rows == 2
-    # Children of parents that did not survive are not staged, so they cannot clash.
-    assert len(ExportRun(spark, ORDERS, tables, {"country": "SE"}, lookups).nested().collect()) == 0
-    flat = ORDERS | {"root": ORDERS["root"] | {"children": [], "keyColumn": "Country"}}
-    assert ExportRun(spark, flat, tables, lookups=lookups).rows(numbered=True).count() == 2
+    assert key_violations(tables["visits"], ["visit_no"]).collect()[0].rows == 2
+    # Rows whose parent did not survive cannot clash.
+    kept = ExportRun(spark, STATIONS, tables, {"climate": "MARITIME"}, lookups)
+    assert len(kept.nested().collect()) == 1
+    unchecked = ExportRun(spark, STATIONS, tables, lookups=lookups, check_keys=False)
+    with pytest.raises(DuplicateKeys, match="Visit"):
+        unchecked.document("json")
+    root = ExportRun(spark, flat(keyColumn="climate"), tables, lookups=lookups)
+    assert root.rows(numbered=True).count() == 3
 
 
 def test_subtree_limit(spark):
-    run = order_run(spark)
+    run = station_run(spark)
     rows = {r["key:0"]: r.rows for r in subtree_rows(run.export, run._pruned).collect()}
-    assert rows == {20: 3, 30: 2}
+    assert rows == {4: 6, 6: 3, 9: 4}
     with pytest.raises(SubtreeTooLarge):
-        run.nested(max_subtree_rows=2)
-    assert run.nested(max_subtree_rows=3).count() == 2
+        run.nested(max_subtree_rows=5)
+    assert run.nested(max_subtree_rows=6).count() == 3
+
+
+def test_staged_tables_go_on_request(spark, tmp_path):
+    def staged():
+        root = Path(staging_root(spark).removeprefix("file:"))
+        return set((root / "bough").glob("*")) if (root / "bough").exists() else set()
+
+    before = staged()
+    with staged_here(spark):
+        station_run(spark).write(str(tmp_path / "c"), "csv")
+        assert staged() > before
+    assert staged() == before
 
 
 def test_dense_numbers_with_ties_and_nulls(spark):
