@@ -16,7 +16,6 @@ those whose ids hash lowest, of texts up to ``SAMPLE_BYTES`` each. Scoring reads
 from __future__ import annotations
 
 import re
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -44,9 +43,12 @@ _INSULTS = frozenset(INSULTS)
 PREFIXES, SUFFIXES = (3, 4, 5, 6), (4, 6)
 _WORD = re.compile(r"\w+")
 _SHOUT = re.compile(r"\b[^\W\d_a-z]{3,}!{1,}")
-#: How purely a lexicon's term occurs in toxic rows, and how much more often, as twice the log of the
-#: likelihood ratio: so high that hardly any of the many terms of a sample gets there by chance.
-PURITY, SIGNIFICANT = 0.9, 16.0
+#: How purely a term of a lexicon or the classifier occurs in toxic rows, and how much more often, as
+#: twice the log of the likelihood ratio: so high that hardly any of the many terms of a sample gets
+#: there by chance.
+PURITY, SIGNIFICANT = 0.98, 20.0
+#: What pulls the classifier's weights towards zero.
+SPARSE = 3e-4
 
 
 def held_out(id_: Column) -> Column:
@@ -100,30 +102,58 @@ class Voters:
         ]
 
 
-def mine(texts: list[str], labels: np.ndarray) -> Voters:
+class Terms:
+    """The words of texts and their parts, numbered; each text as its distinct term numbers."""
+
+    def __init__(self, texts: list[str]):
+        numbers: dict[tuple[str, str], int] = {}
+        known: dict[str, np.ndarray] = {}
+        self.rows: list[np.ndarray] = []
+        for text in texts:
+            words = sorted(distinct_words(text))
+            for word in words:
+                if word not in known:
+                    own = [numbers.setdefault(part, len(numbers)) for part in parts(word)]
+                    known[word] = np.array(own, dtype=np.int32)
+            listed = np.concatenate([known[w] for w in words]) if words else np.zeros(0, dtype=np.int32)
+            self.rows.append(np.unique(listed))
+        self.names = list(numbers)
+
+    def counts(self, weights: np.ndarray) -> np.ndarray:
+        """The sum over texts that have a term of the texts' weights."""
+        out = np.zeros(len(self.names))
+        for row, weight in zip(self.rows, weights.tolist()):
+            if weight:
+                out[row] += weight
+        return out
+
+
+def mine(terms: Terms, marked: np.ndarray, labels: np.ndarray) -> Voters:
     """Lexicons of terms that occur in toxic rows and hardly in clean ones."""
-    counts = [Counter(), Counter()]
-    for text, label in zip(texts, labels):
-        counts[int(label)].update({part for word in distinct_words(text) for part in parts(word)})
-    n1, n0 = max(1, int(labels.sum())), max(1, int((1 - labels).sum()))
     lexicons: dict[str, set[str]] = {
         kind: set() for kind in ("word", *(f"start{n}" for n in PREFIXES), *(f"end{n}" for n in SUFFIXES))
     }
-    for (kind, part), toxic in counts[1].items():
-        clean = counts[0][kind, part]
-        p1, p0 = toxic / n1, clean / n0
-        if kind in lexicons and p1 >= PURITY * (p1 + p0) and excess(toxic, clean, n1, n0) >= SIGNIFICANT:
+    one, nought = marked & (labels == 1), marked & (labels == 0)
+    toxic, clean = terms.counts(one.astype(float)), terms.counts(nought.astype(float))
+    n1, n0 = max(1, int(one.sum())), max(1, int(nought.sum()))
+    p1, p0 = toxic / n1, clean / n0
+    for i in np.flatnonzero((p1 >= PURITY * (p1 + p0)) & (excess(toxic, clean, n1, n0) >= SIGNIFICANT)):
+        kind, part = terms.names[i]
+        if kind in lexicons:
             lexicons[kind].add(part)
     return Voters(lexicons)
 
 
-def excess(toxic: float, clean: float, n1: float, n0: float) -> float:
-    """Twice the log-likelihood ratio of a term that is more frequent in toxic rows, else 0."""
-    if toxic * n0 <= clean * n1:
-        return 0.0
+def excess(toxic: np.ndarray, clean: np.ndarray, n1: float, n0: float) -> np.ndarray:
+    """Twice the log-likelihood ratio of terms that are more frequent in toxic rows, else 0."""
     p = (toxic + clean) / (n1 + n0)
-    cells = ((toxic, n1 * p), (n1 - toxic, n1 * (1 - p)), (clean, n0 * p), (n0 - clean, n0 * (1 - p)))
-    return 2 * sum(seen * np.log(seen / expected) for seen, expected in cells if seen > 0 and expected > 0)
+    out = np.zeros(len(p))
+    for seen, expected in (
+        (toxic, n1 * p), (n1 - toxic, n1 * (1 - p)), (clean, n0 * p), (n0 - clean, n0 * (1 - p))
+    ):
+        some = (seen > 0) & (expected > 0)
+        out[some] += 2 * seen[some] * np.log(seen[some] / expected[some])
+    return np.where(toxic * n0 > clean * n1, out, 0.0)
 
 
 class LabelModel:
@@ -241,7 +271,8 @@ def train(texts: list[str], labels: list[int | None]) -> ToxicityModel:
     """A model from texts of which some are labelled 1 or 0 and the others None."""
     marked = np.array([x is not None for x in labels], dtype=bool)
     given = np.array([0 if x is None else int(x) for x in labels], dtype=np.int64)
-    voters = mine([t for t, x in zip(texts, marked) if x], given[marked])
+    terms = Terms(texts)
+    voters = mine(terms, marked, given)
     votes = np.array([voters.votes(t) for t in texts], dtype=np.int64).reshape(len(texts), len(voters.names))
     human = np.where(marked, np.where(given == 1, TOXIC, CLEAN), ABSTAIN)
     names = [*voters.names, "labels"]
@@ -252,7 +283,7 @@ def train(texts: list[str], labels: list[int | None]) -> ToxicityModel:
     start = np.column_stack([votes, human, human, human])
     posterior = model.fit(start)
     posterior = np.where(marked & (np.abs(posterior - given) > 0.99), 0.5, posterior)
-    weights, bias = _linear(texts, posterior)
+    weights, bias = _linear(terms, posterior)
     keep = range(len(names))
     return ToxicityModel(
         weights, bias,
@@ -261,36 +292,34 @@ def train(texts: list[str], labels: list[int | None]) -> ToxicityModel:
     )
 
 
-def _linear(texts: list[str], target: np.ndarray, steps: int = 300, rate: float = 0.5) -> tuple[dict, float]:
+def _linear(terms: Terms, target: np.ndarray, steps: int = 300, rate: float = 0.5) -> tuple[dict, float]:
     """Logistic regression on soft labels over the terms that set the classes apart."""
-    toxic, every = Counter(), Counter()
-    rows = [{f"{kind}:{part}" for w in distinct_words(t) for kind, part in parts(w)} for t in texts]
-    for terms, y in zip(rows, target.tolist()):
-        every.update(terms)
-        if y > 0.01:
-            for term in terms:
-                toxic[term] += y
-    n, n1 = len(texts), float(target.sum())
+    n, n1 = len(target), float(target.sum())
     n0 = n - n1
-    index: dict[str, int] = {}
-    for term in sorted(every):
-        y = toxic.get(term, 0.0)
-        if excess(y, every[term] - y, n1, n0) >= SIGNIFICANT:
-            index[term] = len(index)
-    pairs = [(i, index[t]) for i, terms in enumerate(rows) for t in sorted(terms) if t in index]
-    at, term = (np.array(x, dtype=np.int64) for x in zip(*pairs)) if pairs else (np.zeros(0, np.int64),) * 2
+    toxic = terms.counts(target)
+    clean = terms.counts(np.ones(n)) - toxic
+    p1, p0 = toxic / max(n1, 1), clean / max(n0, 1)
+    chosen = np.flatnonzero((p1 >= PURITY * (p1 + p0)) & (excess(toxic, clean, n1, n0) >= SIGNIFICANT))
+    chosen = sorted(chosen.tolist(), key=lambda i: terms.names[i])
+    index = {":".join(terms.names[i]): k for k, i in enumerate(chosen)}
+    place = np.full(len(terms.names), -1)
+    place[chosen] = np.arange(len(chosen))
+    kept = [place[row][place[row] >= 0] for row in terms.rows]
+    at = np.repeat(np.arange(n), [len(x) for x in kept])
+    term = np.concatenate(kept) if kept else np.zeros(0, dtype=np.int64)
     w, bias = np.zeros(len(index)), float(np.log((n1 + 1) / (n0 + 1)))
-    # Adam on the mean loss of classes that weigh the same, with a little decay.
+    # Adam on the mean loss of classes that weigh the same.
     balance = np.where(target > 0.5, 0.5 / max(n1, 1), 0.5 / max(n0, 1))
     state = np.zeros((2, len(w) + 1))
     for step in range(1, steps + 1):
         z = bias + np.bincount(at, weights=w[term], minlength=n)
         error = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - target) * balance
-        gradient = np.append(np.bincount(term, weights=error[at], minlength=len(w)) + 1e-5 * w, error.sum())
+        gradient = np.append(np.bincount(term, weights=error[at], minlength=len(w)) + SPARSE, error.sum())
         state[0] = 0.9 * state[0] + 0.1 * gradient
         state[1] = 0.99 * state[1] + 0.01 * gradient**2
         move = rate / step**0.5 * (state[0] / (1 - 0.9**step)) / (np.sqrt(state[1] / (1 - 0.99**step)) + 1e-8)
-        w, bias = w - move[:-1], bias - move[-1]
+        # The terms were chosen because they speak for toxic, so none gets a weight against it.
+        w, bias = np.maximum(w - move[:-1], 0), bias - move[-1]
     return {t: float(w[i]) for t, i in index.items()}, float(bias)
 
 
