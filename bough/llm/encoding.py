@@ -20,7 +20,7 @@ import numpy as np
 #: Bytes of text in one call of the library.
 CALL_BYTES = 1 << 20
 #: Characters of the remembered parts, after which a worker forgets them; a cache, not a limit.
-REMEMBERED_CHARS = 8_000_000
+REMEMBERED_CHARS = 5_000_000
 #: New parts that go to the library as one text.
 JOINED_PARTS = 20_000
 
