@@ -148,12 +148,13 @@ def edit_trial(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     source = id_and_text(df, id_col, text_col)
     ordered = source.orderBy(F.col("id").asc_nulls_first(), F.xxhash64("text"))
+    # Fingerprints stay bytes while they are written, which is smaller than their text.
     result = [
         T.StructField(id_col, id_type(source)),
         T.StructField("n_chars", T.LongType()),
         T.StructField("edited_sha256", T.StringType()),
-        T.StructField("fingerprint", T.StringType()),
-        T.StructField("edited_fingerprint", T.StringType()),
+        T.StructField("fingerprint", T.BinaryType()),
+        T.StructField("edited_fingerprint", T.BinaryType()),
         T.StructField("near_edited", T.DoubleType()),
         T.StructField("near_next", T.DoubleType()),
     ]
@@ -206,14 +207,17 @@ def edit_trial(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 yield dict(zip(names, map(list, zip(*rows))))
 
     done = written.where("`task:` is null").select(*[F.col(f"`{n}`") for n in names])
-    return done.union(map_arrow(pairs, finish, T.StructType(result)))
+    both = done.union(map_arrow(pairs, finish, T.StructType(result)))
+    # As packed() gives them: in one line.
+    named = {c: F.translate(F.base64(c), "\r\n", "") for c in ("fingerprint", "edited_fingerprint")}
+    return both.withColumns(named)
 
 
 def _compared(id_, text: str, print_: np.ndarray, donor: str, donor_print: np.ndarray) -> tuple:
     other = edited(text, donor)
     other_print = print_ if other == text else sketch(other)
     return (
-        id_, len(text), sha256(other.encode()).hexdigest(), packed(print_), packed(other_print),
+        id_, len(text), sha256(other.encode()).hexdigest(), print_.tobytes(), other_print.tobytes(),
         likeness(print_, other_print), likeness(print_, donor_print),
     )
 

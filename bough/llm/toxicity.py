@@ -278,10 +278,10 @@ def train(texts: list[str], labels: list[int | None]) -> ToxicityModel:
     names = [*voters.names, "labels"]
     if not len(texts):
         return ToxicityModel({}, -4.0, {}, {})
-    # Each human label stands for three voters at the start, so that the classes keep their sense.
+    # People vote three times, so that the hidden classes are the ones they mean.
     model = LabelModel()
-    start = np.column_stack([votes, human, human, human])
-    posterior = model.fit(start)
+    posterior = model.fit(np.column_stack([votes, human, human, human]))
+    # Where all voters together overturn a person, neither teaches the classifier anything.
     posterior = np.where(marked & (np.abs(posterior - given) > 0.99), 0.5, posterior)
     weights, bias = _linear(terms, posterior)
     keep = range(len(names))
