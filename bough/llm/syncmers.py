@@ -4,8 +4,10 @@ A run of K code points is a closed syncmer when the least of the hashes of its i
 code points lies at its first or last place. Whether it does depends on the run alone, so the same
 passage gives the same anchors in every text. K is 16 and S 5; texts of under 64 code points, which
 have hardly any such runs, use shorter ones. A fingerprint holds the ``SKETCH`` anchors
-of the whole text with the least hashes and their places; it has the same size for any text. Two fingerprints are compared on the least hashes of both together: anchors that both
-have count if they can be matched in the same order in both texts.
+of the whole text with the least hashes and their places; it has the same size for any text. Two
+fingerprints are compared on the least hashes of both together: anchors that both have count if they
+can be matched in the same order in both texts. Fingerprints of different scales have no anchor in
+common; texts are at hand in ``edit_trial``, which compares such two on the scale of the shorter one.
 """
 
 from __future__ import annotations
@@ -32,10 +34,15 @@ _PRINT = np.dtype([("hash", "<u4"), ("place", "<u4")])
 _EMPTY = np.zeros(0, dtype=_PRINT)
 
 
-def anchors(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and places of the closed syncmers among code points; a text without one is an
-    anchor as a whole, the empty text has none."""
-    k, s = next((k, s) for k, s, below in SCALES if below is None or len(points) < below)
+def scale(length: int) -> int:
+    """Which of ``SCALES`` a text of so many code points has."""
+    return next(i for i, (_, _, below) in enumerate(SCALES) if below is None or length < below)
+
+
+def anchors(points: np.ndarray, at: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and places of the closed syncmers among code points, on the text's own scale or that
+    of number ``at``; a text without one is an anchor as a whole, the empty text has none."""
+    k, s, _ = SCALES[scale(len(points)) if at is None else at]
     n = len(points) - k + 1
     if n > 0:
         inner = _joined([points[i : i + len(points) - s + 1] for i in range(s)])
@@ -55,8 +62,8 @@ def sketch(text: str) -> np.ndarray:
     return _sketch(_points(text))
 
 
-def _sketch(points: np.ndarray) -> np.ndarray:
-    hashes, places = anchors(points)
+def _sketch(points: np.ndarray, at: int | None = None) -> np.ndarray:
+    hashes, places = anchors(points, at)
     # An anchor that comes again counts again, as its second, third and so on occurrence.
     order = np.argsort(hashes, kind="stable")
     hashes, places = hashes[order], places[order]
@@ -100,8 +107,20 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return 2 * shared / (1 + shared)
 
 
+def text_likeness(a: str, b: str, a_print: np.ndarray | None = None, b_print: np.ndarray | None = None) -> float:
+    """``likeness`` of two texts on the scale of the shorter one, where their own scales differ.
+
+    The fingerprints on the texts' own scales may be given.
+    """
+    x, y = scale(len(a)), scale(len(b))
+    if x == y:
+        return likeness(sketch(a) if a_print is None else a_print, sketch(b) if b_print is None else b_print)
+    return likeness(_sketch(_points(a), min(x, y)), _sketch(_points(b), min(x, y)))
+
+
 def likeness_of(a: Column | str, b: Column | str) -> Column:
-    """``likeness`` of two columns of packed fingerprints; null where either is null."""
+    """``likeness`` of two columns of packed fingerprints; null where either is null. It is 0 where
+    their texts have different scales, for which ``text_likeness`` needs the texts."""
 
     @F.pandas_udf("double")
     def compare(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -218,7 +237,7 @@ def _compared(id_, text: str, print_: np.ndarray, donor: str, donor_print: np.nd
     other_print = print_ if other == text else sketch(other)
     return (
         id_, len(text), sha256(other.encode()).hexdigest(), print_.tobytes(), other_print.tobytes(),
-        likeness(print_, other_print), likeness(print_, donor_print),
+        text_likeness(text, other, print_, other_print), text_likeness(text, donor, print_, donor_print),
     )
 
 
