@@ -133,10 +133,10 @@ ORACLES: dict[str, str] = {
     "op12_hard_negatives": """
 WITH usable AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
-    list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS v
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
   FROM embeddings
   WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS (
   SELECT a.vec_id AS anchor_id, a.label AS own, r.vec_id, r.label,
     list_inner_product(a.v, r.v)::BIGINT AS score
@@ -161,7 +161,7 @@ WITH RECURSIVE split AS (
 ), sets AS (
   SELECT doc_id, CASE WHEN len(words) = 0 THEN []::VARCHAR[]
     WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(words) - 2), i -> array_to_string(words[i:i + 3], ' '))) END AS held
+    ELSE list_distinct(list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' '))) END AS held
   FROM split
 ), shingles AS (
   SELECT doc_id, len(held) AS n, unnest(held) AS shingle FROM sets

@@ -190,7 +190,7 @@ def test_zones_leave_blocks_out(spark):
     centres = np.array([[9.0, 0, 0], [0, 9.0, 0], [0, 0, 9.0]])
     rows = [(i, (centres[i % 3] + rng.normal(size=3) * 0.1).tolist(), i % 2) for i in range(600)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
-    whole = negatives_module._whole(df, F.col("vec_id") == 0, "vec_id", "embedding", "label", 256)
+    whole = negatives_module._whole(df, F.col("vec_id") == 300, "vec_id", "embedding", "label", 256)
     ends = (min(min(r[1]) for r in rows) * 256 // 1, max(max(r[1]) for r in rows) * 256 // 1)
     blocks = negatives_module._blocks(whole, 3, tuple(map(int, ends)), 16, 5)
     asked = [(r.row, r.id, r.label, r.cells, r.fifth) for r in negatives_module._anchors(blocks, 3).collect()]
