@@ -10,8 +10,11 @@ with a probability of (1 - 0.8 ** 6) ** 64 = 4e-9.
 
 Buckets do not give all their pairs but stars: each member is held against a centre, and what reaches
 the similarity on the full sets is an edge. What edges connect needs no more comparing. A bucket
-whose members are not connected yet is given more centres in the next round, and in the last round all
-that are left, so no link is lost that a bucket shows. Equal sets are one node throughout.
+whose members are not connected yet is given more centres in a second round. What then is left in
+crowded buckets is settled by the sets themselves: of two sets that link, under one order of all shingles,
+one of the first n - 0.8 n + 1 of either is common to both. The order goes by how many of the sets left hold a
+shingle, rare ones first, so a set with shingles of its own meets few others or none, and none is
+left out. Equal sets are one node throughout.
 """
 
 from __future__ import annotations
@@ -35,8 +38,8 @@ LINKED = 80
 BANDS, ROWS = 64, 6
 #: Members of a bucket up to which each is a centre at once.
 FEW = 8
-#: Centres of a larger bucket by round, about; at last all its members.
-CENTRES = (1, 32, 1024, None)
+#: Centres of a larger bucket by round, about.
+CENTRES = (1, 4)
 
 _BINS = BANDS * ROWS
 _BOUNDS = np.array([-(-(i << 64) // _BINS) for i in range(_BINS)], dtype=np.uint64)
@@ -196,20 +199,23 @@ def _sets(source: DataFrame, wanted: DataFrame) -> DataFrame:
 def _connected(held: DataFrame, sets: DataFrame, linked: int) -> DataFrame:
     """``node`` and ``root`` of all nodes that have a link."""
     held = held.withColumn("root", F.col("node"))
-    links, roots, before = None, None, 0
-    for centres in CENTRES:
-        pairs = stage(_star_pairs(held, before, centres, linked), "minhash-pairs")
-        found = stage(verified(pairs, sets, linked), "minhash-links")
-        links = found if links is None else stage(links.union(found), "minhash-all-links")
-        roots = stage(components(links), "minhash-roots")
-        if centres is None:
-            break
-        before = centres
+    links = None
+    for i, centres in enumerate(CENTRES):
+        pairs = stage(_star_pairs(held, i, centres, linked), "minhash-pairs")
+        links, roots = _with_links(links, verified(pairs, sets, linked))
         now = held.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        held = stage(_open(now, max(before, FEW)), "minhash-buckets")
+        held = stage(_open(now, max(centres, FEW)), "minhash-buckets")
         if held.isEmpty():
-            break
-    return roots
+            return roots
+    left = held.select("node", "root").distinct()
+    pairs = stage(_prefix_pairs(left.join(sets, "node"), linked), "minhash-pairs")
+    return _with_links(links, verified(pairs, sets, linked))[1]
+
+
+def _with_links(links: DataFrame | None, more: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All links so far and the components they make."""
+    found = stage(more if links is None else links.union(more), "minhash-links")
+    return found, stage(components(found), "minhash-roots")
 
 
 def _open(held: DataFrame, seen: int) -> DataFrame:
@@ -218,19 +224,51 @@ def _open(held: DataFrame, seen: int) -> DataFrame:
     return held.join(ends.where((F.col("lo") < F.col("hi")) & (F.col("most") > seen)).select("key"), "key", "left_semi")
 
 
-def _star_pairs(held: DataFrame, before: int, centres: int | None, linked: int) -> DataFrame:
+def _prefix_pairs(left: DataFrame, linked: int) -> DataFrame:
+    """Pairs of ``left`` (``node, root, held``) that nothing connects yet and that can link: they share a
+    shingle of both prefixes. Shingles that only one of the sets has take up room in its prefix, no more.
+
+    How much two sets must have in common follows from both sizes, so where both places of a shared shingle
+    are known, a prefix ends as early as the other set allows.
+    """
+    left = stage(left.select("node", "root", F.size("held").alias("n"), "held"), "minhash-left")
+    each = left.select("node", F.explode("held").alias("shingle"))
+    holders = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1")
+    shared = each.join(holders, "shingle").groupBy("node").agg(
+        F.array_sort(F.collect_list(F.struct("holders", "shingle"))).alias("shared")
+    )
+    # ceil(linked * n / 100) are common to all that link, so all but one fewer of these may come last.
+    room = F.expr(f"n - cast(({linked} * cast(n as long) + 99) div 100 as int) + 1 - (n - size(shared))")
+    first = left.drop("held").join(shared, "node").withColumn("room", room).where("room > 0")
+    placed = F.posexplode(F.expr("slice(shared, 1, room)")).alias("at", "one")
+    rows = first.select("node", "root", "n", (F.col("n") - F.size("shared")).alias("own"), placed)
+    place = (F.col("own") + F.col("at")).alias("place")
+    rows = stage(rows.select("node", "root", "n", place, "one.shingle"), "minhash-prefixes")
+    ends = rows.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+    rows = rows.join(ends.select("shingle"), "shingle", "left_semi")
+    other = rows.select("shingle", *[F.col(a).alias(b) for a, b in _HUB.items()])
+    common = F.expr(f"cast(({linked} * cast(n + hub_n as long) + {99 + linked}) div {100 + linked} as int)")
+    early = (F.col("place") <= F.col("n") - common) & (F.col("hub_place") <= F.col("hub_n") - common)
+    met = rows.join(other, "shingle").where(_fit(linked) & (F.col("node") < F.col("hub")) & early)
+    return met.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+
+
+_HUB = {"node": "hub", "n": "hub_n", "root": "hub_root", "place": "hub_place"}
+
+
+def _fit(linked: int) -> Column:
+    return (100 * F.least("n", "hub_n") >= linked * F.greatest("n", "hub_n")) & (F.col("root") != F.col("hub_root"))
+
+
+def _star_pairs(held: DataFrame, round_: int, centres: int, linked: int) -> DataFrame:
     """Pairs of a member and a centre of one bucket that nothing connects yet and whose sizes fit."""
-    place = F.col("u") * F.col("members")
-    if not before:
+    if round_:
+        hubs = held.where(F.col("u") * F.col("members") < centres)
+    else:
         least = held.groupBy("key").agg(F.min(F.struct("u", "node")).alias("least"))
         hubs = held.join(least, "key").where((F.col("members") <= FEW) | (F.col("node") == F.col("least.node")))
-    elif centres is not None:
-        hubs = held.where(place < centres)
-    else:
-        hubs = held
     hubs = hubs.select("key", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("root").alias("hub_root"))
-    fit = (100 * F.least("n", "hub_n") >= linked * F.greatest("n", "hub_n")) & (F.col("root") != F.col("hub_root"))
-    met = held.join(hubs, "key").where(fit)
+    met = held.join(hubs, "key").where(_fit(linked))
     return met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
