@@ -1,44 +1,24 @@
 """Dense row numbers 1..N over a whole DataFrame without moving it through one task.
 
-A window without a partition would put every row into a single task. Here the rows are range
-sorted across the cluster and written; each task's row count gives the offset of the next task,
-and a row's number is its task's offset plus its place inside the task.
+A window without a partition would put every row into a single task. Here ranges are cut and counted
+from the ordering columns alone (:mod:`bough.operators.ranges`); then the rows move once, to their
+range, and a row's number is what earlier ranges hold plus its place in its own. Nothing is written.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from bough.names import ROW, col
-from bough.operators.staging import row_hash, stage
+from bough.names import ROW
+from bough.operators.ranges import DenseOrder, row_bytes
 
-_PLACE_BITS = 33  # monotonically_increasing_id keeps the place in the task in its low 33 bits
 
-
-def dense_number(df: DataFrame, order: list[str], name: str = ROW, label: str = "numbers") -> DataFrame:
-    """``df`` with a long column ``name`` that counts rows in the order of ``order``.
+def dense_number(df: DataFrame, order: list[str], name: str = ROW, size: float | None = None) -> DataFrame:
+    """``df`` with a long column ``name`` in front that counts rows in the order of ``order``.
 
     Rows that tie on ``order`` are told apart by a hash of the whole row, so that one value
-    holding a large share of the rows still spreads over many tasks.
+    holding a large share of the rows still spreads over many tasks. The table is read more than once and
+    must not change meanwhile. ``size`` is about how many bytes a row has; it is measured if not given.
     """
-    ranked = df.orderBy(*[col(c) for c in order], row_hash(df))
-    staged = stage(
-        ranked.select(
-            "*",
-            F.spark_partition_id().alias("task:"),
-            F.monotonically_increasing_id().bitwiseAND((1 << _PLACE_BITS) - 1).alias("place:"),
-        ),
-        label,
-    )
-    # One row per task that wrote the table, so the running sum and the broadcast stay small
-    # whatever the number of rows.
-    counts = staged.groupBy("task:").agg(F.count(F.lit(1)).alias("rows:"))
-    before = Window.orderBy("task:").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        "task:", F.coalesce(F.sum("rows:").over(before), F.lit(0)).alias("offset:")
-    )
-    return staged.join(F.broadcast(offsets), "task:").select(
-        (F.col("offset:") + F.col("place:") + 1).cast("long").alias(name),
-        *[col(c) for c in df.columns],
-    )
+    measured = DenseOrder.measured(df, order, row_bytes(df) if size is None else size)
+    return measured.number(df, order, name)

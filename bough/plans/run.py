@@ -23,6 +23,7 @@ from bough.operators.levels import (
 )
 from bough.operators.lookups import CodeJoins, settle
 from bough.operators.numbering import dense_number
+from bough.operators.ranges import DenseOrder, row_bytes
 from bough.operators.staging import stage
 from bough.plans.request import bind, output_format, require_lookups, resolve
 from bough.sinks import csv, document
@@ -91,6 +92,7 @@ class ExportRun:
                 check_key_types(level, self._projected[parent.name])
         self._code_joins = CodeJoins(self.lookups)
         self._skeletons: dict[str, DataFrame] = {}
+        self._orders: dict[str, DenseOrder] = {}
         self._keys_are_unique = False
 
     @staticmethod
@@ -170,7 +172,7 @@ class ExportRun:
     def rows(self, ordered: bool = True, numbered: bool = False) -> DataFrame:
         """The root level alone, in key order: a flat export.
 
-        Numbers cost a sorted copy of the rows in the staging folder, so they are made on request.
+        Numbers are made on request: ranges of the rows are counted first, from their keys alone.
         """
         root = self.export.root
         level = settle(self._code_joins.apply(self._projected[root.name]))
@@ -208,41 +210,61 @@ class ExportRun:
 
     # ---- numbered levels -------------------------------------------------------------------
 
-    def _skeleton(self, entity: Entity) -> DataFrame:
-        """``key:i, RowNumber, ParentRowNumber`` of one level, written once per run.
+    def _bare(self, entity: Entity) -> tuple[DataFrame, list[str]]:
+        """``ParentRowNumber, key:i`` of the surviving rows of one level, and what orders them."""
+        level, parent = self._projected[entity.name], self.export.parent(entity)
+        own = [col(k) for k in level.key_names]
+        if parent is None:
+            return level.df.select(F.lit(0).cast("long").alias(PARENT_ROW), *own), level.key_names
+        narrow = level.with_df(level.df.select(*own, *map(col, level.fk_names)))
+        tied = attach_parent(narrow, self._numbered_parents(parent), [PARENT_ROW])
+        return tied.select(PARENT_ROW, *own), [PARENT_ROW, *level.key_names]
+
+    def _dense(self, entity: Entity) -> DenseOrder:
+        """The ranges of one level, cut and counted from keys, once per run."""
+        if entity.name not in self._orders:
+            self._check_tree(always=True)
+            bare, order = self._bare(entity)
+            fields = self._projected[entity.name].df
+            size = row_bytes(fields, F.octet_length(csv.csv_line(csv.field_texts(entity, fields.schema))))
+            self._orders[entity.name] = DenseOrder.measured(bare, order, size, True, csv.FILE_BYTES)
+        return self._orders[entity.name]
+
+    def _numbered_parents(self, entity: Entity) -> Level:
+        """``key:i, ParentRowNumber`` of a level that has children, its numbers under the name that they have
+        for those. Only keys are sorted and written, once per run.
+
+        Numbers restart nowhere: a child's number counts over its whole level, in the order of its parent's
+        number and its own key.
+        """
+        if entity.name not in self._skeletons:
+            bare, order = self._bare(entity)
+            numbers = self._dense(entity).number(bare, order).drop(PARENT_ROW).withColumnRenamed(ROW, PARENT_ROW)
+            self._skeletons[entity.name] = stage(numbers, entity.name)
+        return self._projected[entity.name].with_df(self._skeletons[entity.name])
+
+    def _numbered_level(self, entity: Entity, header: bool = False) -> Level:
+        """Numbers beside the fields and the codes found by lookups, in the order of the numbers.
 
-        Only keys are joined, sorted and staged, for this level and those above it. Numbers restart
-        nowhere: a child's number counts over its whole level, in the order of its parent's number
-        and its own key.
+        Rows move once, to the task of their range, besides meeting their parent's number where that takes a
+        shuffle. ``header`` puts one row without a number in front.
         """
-        if entity.name in self._skeletons:
-            return self._skeletons[entity.name]
         level, parent = self._projected[entity.name], self.export.parent(entity)
-        own = [col(k) for k in level.key_names]
         if parent is None:
-            bare = level.df.select(F.lit(0).cast("long").alias(PARENT_ROW), *own)
-            order = level.key_names
+            df = level.df.withColumn(PARENT_ROW, F.lit(0).cast("long"))
         else:
-            above = self._projected[parent.name].with_df(
-                self._skeleton(parent).drop(PARENT_ROW).withColumnRenamed(ROW, PARENT_ROW)
-            )
-            narrow = level.with_df(level.df.select(*own, *map(col, level.fk_names)))
-            bare = attach_parent(narrow, above, [PARENT_ROW]).select(PARENT_ROW, *own)
-            order = [PARENT_ROW, *level.key_names]
-        numbers = dense_number(bare, order, label=entity.name)
-        # Fields are joined back by key, so here a repeated key can never pass.
-        checks.require_none([checks.violation_notes(numbers, level.key_names, entity.name)])
-        self._skeletons[entity.name] = numbers
-        return numbers
-
-    def _numbered_level(self, entity: Entity) -> Level:
-        """Numbers beside the fields and the codes found by lookups."""
-        level = self._projected[entity.name]
-        numbers = self._skeleton(entity).select(
-            *[col(k).alias(f"up:{k}") for k in level.key_names], ROW, PARENT_ROW
-        )
-        same = [col(k).eqNullSafe(col(f"up:{k}")) for k in level.key_names]
-        return self._code_joins.apply(level.with_df(level.df.join(numbers, same)))
+            df = attach_parent(level, self._numbered_parents(parent), [PARENT_ROW])
+        order, dense = self._bare_order(entity), self._dense(entity)
+        if header:
+            df = csv.below_header(df)
+            numbered = dense.number(df, order, head=col(csv.STEP) == 0)
+        else:
+            numbered = dense.number(df, order)
+        return self._code_joins.apply(level.with_df(numbered))
+
+    def _bare_order(self, entity: Entity) -> list[str]:
+        keys = self._projected[entity.name].key_names
+        return keys if self.export.parent(entity) is None else [PARENT_ROW, *keys]
 
     def numbered_level(self, name: str | None = None) -> DataFrame:
         """``(RowNumber, ParentRowNumber, fields...)`` of one entity."""
@@ -300,9 +322,8 @@ class ExportRun:
         if kind == "csv" and self.export.is_flat:
             return csv.write_flat(self._coded[self.export.root.name], path)
         if kind == "csv":
-            levels = {e.name: self._numbered_level(e).df for e in self.export.entities()}
-            totals = {e.name: self._skeleton(e).count() for e in self.export.entities()}
-            return csv.write_bundle(self.export, levels, totals, path)
+            levels = {e.name: self._numbered_level(e, header=True).df for e in self.export.entities()}
+            return csv.write_bundle(self.export, levels, path)
         if kind == "parquet":
             return nesting.write_nested(self.export, self.nested(), path)
         return document.write_pieces(self.export, *self.document(kind), path)

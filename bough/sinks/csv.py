@@ -6,8 +6,6 @@ CR LF. The header is one more line that sorts first.
 
 from __future__ import annotations
 
-import math
-
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -28,7 +26,6 @@ LINE_END = "\r\n"
 STEP = "step:"
 #: About how many bytes a bundle file holds. A file is one task's work, written or read back.
 FILE_BYTES = 16 << 20
-MEASURED_ROWS = 1000
 
 
 def field_texts(entity: Entity, schema: T.StructType) -> list[Column]:
@@ -73,51 +70,32 @@ def write_flat(level: Level, path: str) -> dict[str, int]:
     Rows are sorted before they become text, so that text is made once, in the tasks that write.
     """
     entity, df = level.entity, level.df
-    sorted_rows = _below_header(df).orderBy(STEP, *key_order(level))
+    sorted_rows = below_header(df).orderBy(STEP, *key_order(level))
     line = csv_line(field_texts(entity, df.schema))
     return write_lines(_as_lines(sorted_rows, entity, line, False), path, [entity.name], LINE_END)
 
 
-def write_bundle(
-    export: Export, numbered: Mapping[str, DataFrame], totals: Mapping[str, int], path: str
-) -> dict[str, int]:
+def write_bundle(export: Export, numbered: Mapping[str, DataFrame], path: str) -> dict[str, int]:
     """``path/{Entity}.csv/`` for every entity, a header even where there are no rows.
 
-    ``totals`` are the row counts, which are the highest numbers.
+    ``numbered`` levels are in the order of their numbers, with the row of :func:`below_header` in front; a
+    task writes what it holds of them.
     """
     counts: dict[str, int] = {}
     for entity in export.entities():
         df = numbered[entity.name]
         line = bundle_line(entity, df.schema, entity is export.root)
-        arranged = _in_number_order(df, totals[entity.name], _row_bytes(df, line))
-        lines = _as_lines(arranged, entity, line, True)
         folder = f"{path.rstrip('/')}/{entity.name}.csv"
-        counts |= write_lines(lines, folder, [entity.name], LINE_END)
+        counts |= write_lines(_as_lines(df, entity, line, True), folder, [entity.name], LINE_END)
     return counts
 
 
-def _below_header(df: DataFrame) -> DataFrame:
+def below_header(df: DataFrame) -> DataFrame:
     """Rows and, in front of them, one empty row that will become the header."""
     head = small_rows(df.sparkSession, [(0,)], f"`{STEP}` int")
     return df.withColumn(STEP, F.lit(1)).unionByName(head, allowMissingColumns=True)
 
 
-def _in_number_order(df: DataFrame, total: int, row_bytes: float) -> DataFrame:
-    """Numbers are dense, so each row's partition follows from its number: no sampling pass. How
-    many files there are depends on the rows and their size alone."""
-    files = max(1, math.ceil(total * row_bytes / FILE_BYTES))
-    per_file = max(1, -(-total // files))
-    target = F.floor((F.coalesce(col(ROW), F.lit(1)) - 1) / per_file).cast("int")
-    spread = _below_header(df).repartitionById(files, target)
-    return spread.sortWithinPartitions(STEP, ROW)
-
-
-def _row_bytes(df: DataFrame, line: Column) -> float:
-    """The mean size of the first records that a few tasks come up with."""
-    first = df.select(F.octet_length(line).alias("size")).limit(MEASURED_ROWS)
-    return first.agg(F.avg("size")).first()[0] or 1.0
-
-
 def _as_lines(rows: DataFrame, entity: Entity, line: Column, bundled: bool) -> DataFrame:
     is_head = col(STEP) == 0
     return rows.select(

@@ -324,17 +324,18 @@ def test_staged_tables_go_on_request(spark, tmp_path):
     assert staged() == before
 
 
-def test_dense_numbers_with_ties_and_nulls(spark):
+@pytest.mark.parametrize("size", [None, 1 << 18, 1 << 22])
+def test_dense_numbers_with_ties_and_nulls(spark, size):
     rows = [(None, "n")] + [(1, f"t{i % 3}") for i in range(500)] + [(i, "x") for i in range(2, 300)]
     random.Random(1).shuffle(rows)
     df = spark.createDataFrame(rows, "k int, t string").repartition(16)
-    got = dense_number(df, ["k"]).orderBy("RowNumber").collect()
+    got = dense_number(df, ["k"], size=size).orderBy("RowNumber").collect()
     assert [r.RowNumber for r in got] == list(range(1, len(rows) + 1))
     keys = [r.k for r in got]
     assert keys == sorted(keys, key=lambda k: (k is not None, k))
 
 
-def test_numbers_spread_a_hot_parent(spark):
+def test_numbers_spread_a_hot_parent(spark, monkeypatch):
     """One parent with most of the rows: numbering leaves no task with most of the rows."""
     parents = spark.range(50).select(F.col("id").alias("k"), F.lit("p").alias("f"))
     hot = F.when(F.rand(7) < 0.6, F.lit(3)).otherwise((F.col("id") % 50))
@@ -347,17 +348,13 @@ def test_numbers_spread_a_hot_parent(spark):
                           "fields": [{"name": "id", "column": "k"}]}],
         },
     }
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    try:
-        run = ExportRun(spark, spec, {"a": parents, "b": children.persist()})
-        level = run.numbered_level("B")
-        files = [f for f in run._skeletons["B"].inputFiles() if "/B-" in f]
-        sizes = [pq.read_metadata(f.removeprefix("file://")).num_rows for f in files]
-        assert sum(sizes) == 20000 and max(sizes) < 20000 / 4
-        pairs = level.orderBy("RowNumber").select("ParentRowNumber", "id").collect()
-        assert pairs == sorted(pairs) and len(pairs) == 20000
-    finally:
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    monkeypatch.setattr(csv, "FILE_BYTES", 20_000)
+    run = ExportRun(spark, spec, {"a": parents, "b": children.persist()})
+    level = run.numbered_level("B")
+    sizes = [r[0] for r in level.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert sum(sizes) == 20000 and max(sizes) < 20000 / 4
+    pairs = level.orderBy("RowNumber").select("ParentRowNumber", "id", "RowNumber").collect()
+    assert pairs == sorted(pairs) and [r.RowNumber for r in pairs] == list(range(1, 20001))
 
 
 def expected_tree(parents, children, grandchildren):
