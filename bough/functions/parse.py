@@ -48,8 +48,10 @@ def parse(raw: Column, declared: str, decimal: tuple[int, int] = DECIMAL) -> Col
     if declared in ("Int32", "Int64"):
         return F.when(raw.rlike(WHOLE), trimmed.try_cast(target))
     if declared == "Decimal":
+        # Most texts have no exponent and few digits, which is seen at once.
+        plain = raw.rlike(rf"^[+-]?[0-9]+(\.[0-9]{{0,{decimal[1]}}})?$")
         fits = raw.rlike(NUMBER) & (fraction_digits(trimmed) <= decimal[1])
-        return F.when(fits, trimmed.try_cast(target))
+        return F.when(plain | fits, trimmed.try_cast(target))
     if declared == "Boolean":
         return F.when(raw.rlike(BOOLEAN), F.lower(trimmed) == "true")
     if declared == "Date":

@@ -7,9 +7,10 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bough.functions.parse import DECIMAL, parse_text
+from bough.functions.parse import DECIMAL, parse
 from bough.names import PARENT_ROW, ROW, col, quoted
 from bough.sinks.csv import KEY, LINE_END, PARENT_KEY
+from bough.sources.records import csv_records
 from bough.spec import Entity, Export
 
 
@@ -27,7 +28,7 @@ def read_bundle(
     that does not fit its type stops a strict read and is null in a lenient one; a decimal fits if all
     its digits do. ``decimal`` is the precision and scale of decimals, ``decimals`` of those of single
     fields by (entity, field). Empty means null.
-    Line breaks inside values make a file one unit of work, so the files are the parallelism.
+    A file of any size is read by many tasks, also where values hold line breaks.
     """
     return {
         e.name: _read_level(spark, f"{path.rstrip('/')}/{e.name}.csv", e, e is export.root, decimal, strict, decimals or {})
@@ -40,21 +41,20 @@ def _read_level(
 ) -> DataFrame:
     names = [KEY, *([PARENT_KEY] if entity.parent_key_columns else [])]
     names += [f.name for f in entity.fields]
-    raw = (
-        spark.read.schema(", ".join(f"{quoted(n)} string" for n in names))
-        .options(multiLine=True, lineSep=LINE_END, quote='"', escape='"', mode="FAILFAST")
-        .csv(folder)
-    )
+    schema = ", ".join(f"{quoted(n)} string" for n in names)
+    # The parser sees a record at a time; line breaks inside its quotes are part of the value.
+    options = {"multiLine": "true", "quote": '"', "escape": '"', "mode": "FAILFAST"}
+    raw = csv_records(spark, folder, LINE_END).select(F.from_csv("record", schema, options).alias("row:")).select("row:.*")
     rows = raw.where(col(KEY) != KEY)
 
     def typed(name: str, declared: str) -> Column:
-        parsed = parse_text(col(name), declared, decimals.get((entity.name, name), decimal))
+        value = parse(col(name), declared, decimals.get((entity.name, name), decimal))
         if not strict:
-            return parsed["value"]
+            return value
         wrong = F.concat(
             F.lit(f"entity '{entity.name}', field '{name}': not a valid {declared}: "), col(name)
         )
-        return F.when(parsed["ok"], parsed["value"]).otherwise(F.raise_error(wrong))
+        return F.coalesce(value, F.when(col(name).isNotNull(), F.raise_error(wrong)))
 
     parent = F.lit(0).cast("long") if is_root else typed(PARENT_KEY, "Int64")
     return rows.select(
