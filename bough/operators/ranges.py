@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 from bough.names import ROW, col
 from bough.operators.staging import row_hash
 
-#: About how many bytes of rows a range holds, and how many ranges there are at most; beyond
+#: About how many bytes of rows a range and a part of a document hold, and how many there are at most; beyond
 #: that they grow. A bound is a literal in the plan, found by halving.
 RANGE_BYTES = 16 << 20
+PART_BYTES = 4 << 20
 MOST_RANGES = 4096
 #: Sampled rows for each range. The sample is what bounds cost the driver.
 SAMPLED = 32
@@ -91,19 +92,27 @@ class Ranges:
         return placed.sortWithinPartitions(*(within or map(col, self.order)))
 
 
-def cut(df: DataFrame, order: Sequence[str], ranges: int, rows: int, weight: str | None = None) -> Ranges:
+def cut(
+    df: DataFrame, order: Sequence[str], ranges: int, held: int, weight: str | None = None, range_bytes: int = 0
+) -> Ranges:
     """Ranges of about equal numbers of rows, or of equal sums of the column ``weight``.
 
-    ``rows`` says how many rows there are about. Only the sampled values come to the driver.
+    ``held`` says how much that is in all, about, and ``ranges`` how many to make; with ``range_bytes`` as many of
+    these as the sample shows a need for. A row is sampled with a probability that goes with its weight. Only
+    the sampled values come to the driver.
     """
     types = tuple(df.schema[c].dataType for c in order)
-    if ranges <= 1 or not rows:
+    if ranges <= 1 or not held:
         return Ranges(tuple(order), types)
-    share = min(1.0, SAMPLED * ranges / rows)
-    picked = df if share >= 1 else df.where(F.rand(SEED) < share)
-    columns = [*map(col, order), F.lit(1) if weight is None else col(weight)]
+    share = SAMPLED * ranges / held
+    heavy = F.lit(1.0) if weight is None else col(weight)
+    picked = df.where(F.rand(SEED) < heavy * share)
+    # A row that is surely picked counts for what it has, any other for what a pick stands for.
+    columns = [*map(col, order), F.greatest(heavy, F.lit(1 / share)).alias("stands:")]
     sample = picked.select(*columns).coalesce(1).sortWithinPartitions(*map(col, order)).collect()
     total, seen, bounds = sum(r[-1] for r in sample), 0, []
+    if range_bytes:
+        ranges = ranges_for(1, total, range_bytes)
     for r in sample:
         # A bound stands where the share of the range before it is reached.
         if seen * ranges >= total * (len(bounds) + 1) and len(bounds) < ranges - 1:
@@ -177,16 +186,15 @@ class DenseOrder:
         return moved.withColumn("place:", place).select(number.cast("long").alias(name), *map(col, df.columns))
 
 
-def ordered(df: DataFrame, order: Sequence[str], size: Column) -> DataFrame:
-    """``df`` in the order of ``order``, in parts of about :data:`RANGE_BYTES` of ``size``.
+def ordered(df: DataFrame, order: Sequence[str], weight: Column, heaviest: float) -> DataFrame:
+    """``df`` in the order of ``order``, in parts of about :data:`PART_BYTES` of ``weight``.
 
-    Rows move as they are, once. How many parts there are depends on the rows alone.
+    ``heaviest`` is no less than all weights together, about. Only ordering columns and what weighs a row are read to
+    find the bounds; then rows move once, as they are. How many parts there are depends on the rows alone.
     """
-    narrow = df.select(*map(col, order), size.cast("long").alias("size:"))
-    total = narrow.agg(F.count(F.lit(1)), F.sum("size:")).first()
-    rows, held = total[0], total[1] or 0
-    ranges = cut(narrow, order, ranges_for(1, held), rows, "size:")
-    return ranges.spread(df).drop(PART)
+    most = ranges_for(1, heaviest, PART_BYTES)
+    narrow = df.select(*map(col, order), weight.cast("double").alias("weight:"))
+    return cut(narrow, order, most, max(1, round(heaviest)), "weight:", PART_BYTES).spread(df).drop(PART)
 
 
 __all__ = ["DenseOrder", "Ranges", "cut", "ordered", "ranges_for", "row_bytes"]

@@ -128,7 +128,7 @@ class ExportRun:
         """Pruned levels with the codes of looked-up fields beside the raw values."""
         return {name: self._code_joins.apply(level) for name, level in self._pruned.items()}
 
-    def _document_pieces(self, kind: str) -> tuple[DataFrame, list[str]]:
+    def _document_pieces(self, kind: str):
         # Placing a row joins it to its parent, which is all the restricting it needs.
         style = {"json": document.JsonStyle, "xml": document.XmlStyle}[kind]()
         coded = {name: self._code_joins.apply(level) for name, level in self._projected.items()}
@@ -310,7 +310,8 @@ class ExportRun:
         """The pieces of a JSON or XML document and the columns that order them."""
         # Pieces are put in place by keys, so repeated ones would mix up two rows' children.
         self._check_tree(always=True)
-        return self._document_pieces(format)
+        pieces, order, texts = self._document_pieces(format)
+        return texts.rendered(pieces), order
 
     def write(self, path: str, format: str | None = None) -> dict[str, int]:
         """Write the export; returns the rows written per entity.
@@ -326,7 +327,8 @@ class ExportRun:
             return csv.write_bundle(self.export, levels, path)
         if kind == "parquet":
             return nesting.write_nested(self.export, self.nested(), path)
-        return document.write_pieces(self.export, *self.document(kind), path)
+        self._check_tree(always=True)
+        return document.write_pieces(self.export, *self._document_pieces(kind), self._projected, path)
 
 
 __all__ = ["ExportRun"]

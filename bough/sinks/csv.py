@@ -14,8 +14,9 @@ from pyspark.sql import types as T
 
 from bough.functions.render import csv_line, field_text, text
 from bough.names import PARENT_ROW, ROW, code, col
-from bough.operators.levels import Level, key_order
-from bough.operators.staging import small_rows
+from bough.operators.levels import Level
+from bough.operators.ranges import TIE, ordered, row_bytes
+from bough.operators.staging import row_hash, small_rows
 from bough.sinks.writing import ENTITY, write_lines
 from bough.spec import Entity, Export
 
@@ -67,12 +68,14 @@ def bundle_lines(entity: Entity, numbered: DataFrame, is_root: bool) -> DataFram
 def write_flat(level: Level, path: str) -> dict[str, int]:
     """One file's worth of ordered parts.
 
-    Rows are sorted before they become text, so that text is made once, in the tasks that write.
+    Rows move once, to parts of bounded size, and become text in the tasks that write.
     """
     entity, df = level.entity, level.df
-    sorted_rows = below_header(df).orderBy(STEP, *key_order(level))
     line = csv_line(field_texts(entity, df.schema))
-    return write_lines(_as_lines(sorted_rows, entity, line, False), path, [entity.name], LINE_END)
+    size = F.octet_length(line) + len(LINE_END)
+    told = below_header(df.withColumn(TIE, row_hash(df)))
+    arranged = ordered(told, [STEP, *level.key_names, TIE], size, df.count() * (row_bytes(df, size) + 1))
+    return write_lines(_as_lines(arranged, entity, line, False), path, [entity.name], LINE_END)
 
 
 def write_bundle(export: Export, numbered: Mapping[str, DataFrame], path: str) -> dict[str, int]:

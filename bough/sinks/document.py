@@ -15,9 +15,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bough.functions.render import field_text, json_members, xml_element
-from bough.names import code, col
+from bough.functions.render import json_members, text, xml_element
+from bough.names import code, col, part
+from bough.operators.checks import row_counts
 from bough.operators.levels import Level, attach_parent
+from bough.operators.ranges import TIE, ordered, row_bytes
 from bough.operators.staging import row_hash, small_rows, stage
 from bough.sinks.writing import ENTITY, write_lines
 from bough.spec import Entity, Export
@@ -45,10 +47,10 @@ class JsonStyle:
     def document(self, export: Export) -> tuple[str, str]:
         return "[", "]"
 
-    def opening(self, level: Level, df: DataFrame, is_first: Column) -> Column:
+    def opening(self, level: Level, df: DataFrame, is_first: Column, held: str | None = None) -> Column:
         comma = F.when(is_first, "").otherwise(",")
         tail = "" if level.entity.children else "}"
-        return F.concat(comma, F.lit("{"), members(level, df), F.lit(tail))
+        return F.concat(comma, F.lit("{"), members(level, df, held), F.lit(tail))
 
     def closing(self, entity: Entity) -> str:
         return "}"
@@ -68,40 +70,35 @@ class XmlStyle:
     def document(self, export: Export) -> tuple[str, str]:
         return f'<?xml version="1.0" encoding="utf-8"?><{export.name}>', f"</{export.name}>"
 
-    def opening(self, level: Level, df: DataFrame, is_first: Column | None) -> Column:
+    def opening(self, level: Level, df: DataFrame, is_first: Column, held: str | None = None) -> Column:
         name = level.entity.name
         tail = "" if level.entity.children else f"</{name}>"
-        return F.concat(F.lit(f"<{name}>"), *elements(level, df), F.lit(tail))
+        return F.concat(F.lit(f"<{name}>"), *elements(level, df, held), F.lit(tail))
 
     def closing(self, entity: Entity) -> str:
         return f"</{entity.name}>"
 
 
-def members(level: Level, df: DataFrame) -> Column:
+def _fields(level: Level, df: DataFrame, held: str | None):
+    """Field, value, type and found code of the fields of a row: columns of ``df``, or members of its
+    struct ``held``."""
+    schema = df.schema if held is None else df.schema[held].dataType
+    for f in level.entity.fields:
+        value, found = (col(c) if held is None else part(held, c) for c in (f.name, code(f.name)))
+        yield f, value, schema[f.name].dataType, found if code(f.name) in schema.names else None
+
+
+def members(level: Level, df: DataFrame, held: str | None = None) -> Column:
     """The fields of a row as JSON members."""
-    return json_members(
-        [
-            (
-                f.name,
-                col(f.name),
-                df.schema[f.name].dataType,
-                f.type,
-                col(code(f.name)) if code(f.name) in df.columns else None,
-            )
-            for f in level.entity.fields
-        ],
-        level.entity.name,
-    )
+    fields = [(f.name, value, kind, f.type, found) for f, value, kind, found in _fields(level, df, held)]
+    return json_members(fields, level.entity.name)
 
 
-def elements(level: Level, df: DataFrame) -> list[Column]:
+def elements(level: Level, df: DataFrame, held: str | None = None) -> list[Column]:
     """The fields of a row as XML elements."""
     return [
-        xml_element(
-            f.name,
-            field_text(df.schema, f.name, f.type, code(f.name) if code(f.name) in df.columns else None),
-        )
-        for f in level.entity.fields
+        xml_element(f.name, text(value, kind, f.type) if found is None else F.coalesce(found, text(value, kind, f.type)))
+        for f, value, kind, found in _fields(level, df, held)
     ]
 
 
@@ -215,55 +212,114 @@ def _place(level: Level, above: _Placed | None, index: int, carried: list[str])
     return _Placed(level.with_df(df), depth, (*upper, step(depth), *keys))
 
 
-def _row_pieces(placed: _Placed, style, is_first: Column | None) -> DataFrame:
-    """The opening of every row and, where rows can have children, the closing."""
+def raw(name: str) -> str:
+    """What a row's opening is made of: its fields, codes found by lookups, whether it is the first of its list."""
+    return f"raw:{name}"
+
+
+IS_FIRST = "is first:"
+
+
+def _row_pieces(placed: _Placed, texts: "_Texts", is_first: Column | None) -> DataFrame:
+    """The opening of every row, not yet as text, and, where rows can have children, the closing."""
     level, entity, df = placed.level, placed.level.entity, placed.level.df
-    opening = style.opening(level, df, is_first)
-    place = [*map(col, placed.place)]
+    written = [col(f.name) for f in entity.fields]
+    written += [col(code(f.name)) for f in entity.fields if code(f.name) in df.columns]
+    written.append((F.lit(False) if is_first is None else is_first).alias(IS_FIRST))
+    fields, place = F.struct(*written), [*map(col, placed.place)]
+    owner, opening = F.lit(entity.name), F.lit(texts.opening(entity))
     if not entity.children:
-        return df.select(*place, F.lit(entity.name).alias(ENTITY), opening.alias("text"))
-    closing = F.lit(style.closing(entity))
+        return df.select(*place, owner.alias(ENTITY), opening.alias(WHAT), fields.alias(raw(entity.name)))
+    nothing = F.lit(None).cast(df.select(fields).schema[0].dataType)
     pieces = [
-        _piece(placed, None, opening, F.lit(entity.name)),
-        _piece(placed, F.lit(_ROW_CLOSE), closing, None),
+        _piece(placed, None, opening, owner, fields.alias(raw(entity.name))),
+        _piece(placed, F.lit(_ROW_CLOSE), F.lit(texts.fixed(texts.style.closing(entity))), None, nothing.alias(raw(entity.name))),
     ]
     return df.select(*place, F.inline(F.array(*pieces)))
 
 
-def _piece(placed: _Placed, at: Column | None, text: Column, owner: Column | None) -> Column:
+def _piece(placed: _Placed, at: Column | None, what: Column, owner: Column | None, *more: Column) -> Column:
     nothing = F.lit(None)
     return F.struct(
         (nothing if at is None else at).cast("int").alias(step(placed.depth + 1)),
         (nothing if owner is None else owner).cast("string").alias(ENTITY),
-        text.alias("text"),
+        what.alias(WHAT),
+        *more,
     )
 
 
-def _list_pieces(placed: _Placed, style) -> DataFrame:
+def _list_pieces(placed: _Placed, texts: "_Texts") -> DataFrame:
     """The ends of every child list that has rows."""
     pieces = []
     for i, child in enumerate(placed.level.entity.children):
         has_rows = col(first_child(child.name)).isNotNull()
         for at, text in (
-            (_LIST_OPEN, style.list_opening(child)),
-            (_LIST_CLOSE, style.list_closing(child)),
+            (_LIST_OPEN, texts.style.list_opening(child)),
+            (_LIST_CLOSE, texts.style.list_closing(child)),
         ):
-            piece = _piece(placed, F.lit(i * _PER_LIST + at), F.lit(text), None)
+            piece = _piece(placed, F.lit(i * _PER_LIST + at), F.lit(texts.fixed(text)), None)
             pieces.append(F.when(has_rows, piece))
-    # A list that is not there leaves a null piece, which comes out as a row without text.
+    # A list that is not there leaves a null piece, which comes out as a row that is nothing.
     spread = placed.level.df.select(*map(col, placed.place), F.inline(F.array(*pieces)))
-    return spread.where(F.col("text").isNotNull())
+    return spread.where(col(WHAT).isNotNull())
+
+
+#: Which piece a row is: an opening of an entity (0 and up) or a text that is always the same (below 0).
+WHAT = "what:"
+
+
+class _Texts:
+    """What pieces are as text. Pieces move without it and are rendered where they are written."""
+
+    def __init__(self, export: Export, levels: Mapping[str, Level], style):
+        self.style, self.levels = style, levels
+        self.names = [e.name for e in export.entities()]
+        self.same: list[str] = []
+
+    def opening(self, entity: Entity) -> int:
+        return self.names.index(entity.name)
+
+    def fixed(self, text: str) -> int:
+        if text not in self.same:
+            self.same.append(text)
+        return -1 - self.same.index(text)
+
+    def rendered(self, pieces: DataFrame) -> DataFrame:
+        """``pieces`` with ``text`` instead of what it is made of."""
+        text = F.element_at(F.lit(self.same), -col(WHAT))
+        for i, name in enumerate(self.names):
+            text = F.when(col(WHAT) == i, self._opening(name, pieces)).otherwise(text)
+        parts = [WHAT, *map(raw, self.names)]
+        return pieces.withColumn("text", text).drop(*parts)
+
+    def _opening(self, name: str, pieces: DataFrame) -> Column:
+        held = raw(name)
+        return self.style.opening(self.levels[name], pieces, part(held, IS_FIRST), held)
+
+    def weights(self, bare: Mapping[str, Level]) -> tuple[Column, float]:
+        """About how many bytes a piece has as text, by what it is, and all of them together at most."""
+        rows = {r.entity: r.rows for r in row_counts({n: v.df for n, v in bare.items()}).collect()}
+        around = sum(len(t.encode()) + 1 for t in self.same)
+        weight = F.element_at(F.lit([len(t.encode()) + 1.0 for t in self.same]), -col(WHAT))
+        most = 0.0
+        for i, name in enumerate(self.names):
+            level = self.levels[name]
+            mean = row_bytes(level.df, F.octet_length(self.style.opening(level, level.df, F.lit(False)))) + 1
+            weight = F.when(col(WHAT) == i, F.lit(float(mean))).otherwise(weight)
+            most += rows[name] * (mean + (around if level.entity.children else 0)) + around
+        return weight, most
 
 
 def document_pieces(
     export: Export, levels: Mapping[str, Level], bare: Mapping[str, Level], style
-) -> tuple[DataFrame, list[str]]:
-    """All pieces of a document and the columns that put them in order.
+) -> tuple[DataFrame, list[str], _Texts]:
+    """All pieces of a document, the columns that put them in order, and what makes them text.
 
     ``levels`` have what is written; ``bare`` are the same rows, used for their keys only.
     """
     parts: list[DataFrame] = []
     seats: dict[str, _Placed] = {}
+    texts = _Texts(export, levels, style)
     indexes = {c.name: i for e in export.entities() for i, c in enumerate(e.children)}
     deepest = 0
     for entity in export.entities():
@@ -278,17 +334,21 @@ def document_pieces(
                 level, is_first = _with_first_root(level), col(FIRST_ROOT)
         placed = _place(level, above, index, carried)
         deepest = max(deepest, placed.depth)
-        parts.append(_row_pieces(placed, style, is_first))
+        if export.is_flat:
+            # Keys may repeat, so rows are told apart as the first one is found.
+            tied = placed.level.df.withColumns({TIE: row_hash(levels[entity.name].df), _LATER: _later(is_first)})
+            placed = replace(placed, level=level.with_df(tied), place=(*placed.place, TIE, _LATER))
+        parts.append(_row_pieces(placed, texts, is_first))
         if entity.children:
             seats[entity.name] = _seats(bare, entity, above, index, style.lists)
             if style.lists:
-                parts.append(_list_pieces(seats[entity.name], style))
+                parts.append(_list_pieces(seats[entity.name], texts))
 
     first, last = style.document(export)
     ends = small_rows(
         parts[0].sparkSession,
-        [(_DOC_OPEN, first), (_DOC_CLOSE, last)],
-        f"`{step(0)}` int, text string",
+        [(_DOC_OPEN, texts.fixed(first)), (_DOC_CLOSE, texts.fixed(last))],
+        f"`{step(0)}` int, `{WHAT}` int",
     )
     pieces = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [*parts, ends])
     order = []
@@ -296,7 +356,14 @@ def document_pieces(
         if step(depth) in pieces.columns:
             order.append(step(depth))
         order += sorted(c for c in pieces.columns if c.startswith(f"at:{depth}:"))
-    return pieces, order
+    return pieces, [*order, *([TIE, _LATER] if export.is_flat else [])], texts
+
+
+_LATER = "later:"
+
+
+def _later(is_first: Column | None) -> Column:
+    return F.lit(True) if is_first is None else ~is_first
 
 
 def _seats(
@@ -317,7 +384,9 @@ def _seats(
 
 
 def write_pieces(
-    export: Export, pieces: DataFrame, order: list[str], path: str
+    export: Export, pieces: DataFrame, order: list[str], texts: _Texts, bare: Mapping[str, Level], path: str
 ) -> dict[str, int]:
+    """Pieces move once, as fields, to the part they belong to, and become text in the task that writes it."""
     names = [e.name for e in export.entities()]
-    return write_lines(pieces.orderBy(*map(col, order)), path, names, "\n")
+    weight, most = texts.weights(bare)
+    return write_lines(texts.rendered(ordered(pieces, order, weight, most)), path, names, "\n")
