@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,24 +49,25 @@ _own_folder: dict[str, str] = {}
 
 def staging_path(spark: SparkSession, label: str) -> str:
     path = f"{staging_root(spark)}/bough/{label}-{uuid.uuid4().hex}"
-    for kept in _watching:
+    for kept in _watching.get():
         kept.append(path)
     return path
 
 
-_watching: list[list[str]] = []
+#: The blocks of :func:`staged_here` that this thread is in.
+_watching: ContextVar[tuple[list[str], ...]] = ContextVar("watching", default=())
 
 
 @contextmanager
 def staged_here(spark: SparkSession):
     """Removes, at the end of the block, what was staged inside it. Results that read it have to
-    be written or collected by then."""
+    be written or collected by then. What other threads stage meanwhile is theirs."""
     paths: list[str] = []
-    _watching.append(paths)
+    outside = _watching.set((*_watching.get(), paths))
     try:
         yield
     finally:
-        _watching.remove(paths)
+        _watching.reset(outside)
         hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         settings = spark.sparkContext._jsc.hadoopConfiguration()
         for path in paths:

@@ -3,8 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
-from bough import ExportRun
-from bough.operators import lookups
+from bough import ExportRun, dense_number
+from bough.operators import lookups, ranges
+from bough.operators.staging import staging_root
+from bough.sinks import csv
 
 SPEC = {
     "name": "x",
@@ -108,6 +110,68 @@ def test_no_task_takes_all_rows(spark, large_joins, skewed, capsys):
     for df in (run.rows(), run.nested(), pieces.orderBy(*[F.col(f"`{c}`") for c in order])):
         df.explain()
         assert "SinglePartition" not in capsys.readouterr().out
-    run.numbered_level("B").explain()
-    # Only the running sum over one count per writing task is a single task.
-    assert capsys.readouterr().out.count("Exchange SinglePartition") == 1
+
+
+def plan_of(df, capsys):
+    df.explain()
+    return capsys.readouterr().out
+
+
+def test_numbers_move_rows_once_and_write_nothing(spark, large_joins, skewed, capsys, monkeypatch):
+    """One exchange of the fields, to their range; a child level meets its parents' numbers besides."""
+    monkeypatch.setattr(ranges, "RANGE_BYTES", 1 << 18)
+    monkeypatch.setattr(csv, "FILE_BYTES", 1 << 18)
+    staged = staging_root(spark).removeprefix("file:").lstrip("/")
+    flat = {"name": "x", "root": SPEC["root"]["children"][0] | {"parentKeyColumn": None}}
+    plan = plan_of(ExportRun(spark, flat, skewed).rows(numbered=True, ordered=False), capsys)
+    assert plan.count("Exchange") == 1 and staged not in plan
+    run = ExportRun(spark, SPEC, skewed)
+    plan = plan_of(run.numbered_level("A"), capsys)
+    assert plan.count("Exchange") == 1 and staged not in plan
+    level = run.numbered_level("B")
+    plan = plan_of(level, capsys)
+    assert plan.count("Exchange shufflepartitionidpassthrough") == 1 and "SinglePartition" not in plan
+    sizes = [r[0] for r in level.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert sum(sizes) == 40000 and max(sizes) < 40000 / 8
+
+
+def test_a_hot_key_is_cut_by_rows(spark, monkeypatch):
+    """Two thirds of the rows of a flat export have one key."""
+    key = F.when(F.col("id") % 3 != 0, F.lit(7)).otherwise(F.col("id") % 500)
+    df = spark.range(20000).select(key.alias("k"), F.col("id").alias("v"))
+    numbered = dense_number(df, ["k"], size=(16 << 20) / 1000)
+    sizes = [r[0] for r in numbered.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert sum(sizes) == 20000 and max(sizes) < 20000 / 5
+    rows = numbered.orderBy("RowNumber").collect()
+    assert [r.RowNumber for r in rows] == list(range(1, 20001))
+    assert [r.k for r in rows] == sorted(r.k for r in rows)
+
+
+@pytest.mark.parametrize("format", ["json", "xml", "csv"])
+def test_parts_do_not_depend_on_shuffle_partitions(spark, skewed, tmp_path, monkeypatch, format):
+    monkeypatch.setattr(ranges, "PART_BYTES", 1 << 18)
+    spec = SPEC if format != "csv" else {"name": "x", "root": SPEC["root"]["children"][0] | {"parentKeyColumn": None}}
+    found, before = [], spark.conf.get("spark.sql.shuffle.partitions")
+    for partitions in ("2", "200"):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        try:
+            ExportRun(spark, spec, skewed).write(str(tmp_path / partitions), format)
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+        parts = sorted(p for p in (tmp_path / partitions).iterdir() if p.name.startswith("part-"))
+        found.append((len(parts), b"".join(p.read_bytes() for p in parts)))
+        sizes = [p.stat().st_size for p in parts]
+        assert len(parts) > 10 and max(sizes) < 3 * (1 << 18)
+    assert found[0][1] == found[1][1] and abs(found[0][0] - found[1][0]) <= 4
+
+
+@pytest.mark.parametrize("format", ["json", "xml"])
+def test_pieces_move_as_fields(spark, large_joins, skewed, capsys, monkeypatch, format):
+    """What renders stands above the exchange that orders the pieces, never below."""
+    monkeypatch.setattr(ranges, "PART_BYTES", 1 << 18)
+    pieces, order, texts = ExportRun(spark, SPEC, skewed)._document_pieces(format)
+    arranged = ranges.ordered(pieces, order, F.lit(100.0), 8e6)
+    plan = plan_of(texts.rendered(arranged).select("text"), capsys)
+    above, below = plan.split("Exchange shufflepartitionidpassthrough", 1)
+    # Every text is put together by concat.
+    assert "concat(" in above and "concat(" not in below

@@ -1,10 +1,12 @@
 """Readers and the staging folder."""
 
+import threading
+
 import pytest
 from pyspark.sql import functions as F
 
 from bough import SetupError, catalog_tables, code_list, given_tables, jdbc_tables, parquet_tables
-from bough.operators.staging import stage, staging_root
+from bough.operators.staging import stage, staged_here, staging_root
 
 
 def test_given_tables_by_qualified_or_plain_name(spark):
@@ -51,10 +53,12 @@ class Recorder:
 
 def test_jdbc_options():
     split = {"Orders": {"partitionColumn": "Id", "numPartitions": "64"}}
-    read = jdbc_tables(Recorder(), "jdbc:x", {"user": "u"}, split, quote=("[", "]"))
+    read = jdbc_tables(Recorder(), "jdbc:x", {"user": "u"}, split, ["a]b"], quote=("[", "]"))
     seen = read("dbo", "Orders")
     assert seen["dbtable"] == "[dbo].[Orders]" and seen["numPartitions"] == "64"
     assert read(None, "a]b")["dbtable"] == "[a]]b]"
+    with pytest.raises(SetupError, match="one_connection"):
+        read("dbo", "Lines")
 
 
 def test_code_list_of_one_type(spark):
@@ -72,6 +76,7 @@ class Session:
     def __init__(self, master, folder=None):
         self.sparkContext = self.conf = self
         self.master, self.folder = master, folder
+        self.applicationId = f"{master}-{id(self)}"
 
     def get(self, name, default):
         return self.folder or default
@@ -91,6 +96,28 @@ def test_staging_folder():
     assert staging_root(local) == staging_root(local)
 
 
+def test_threads_remove_what_they_staged_only(spark):
+    """A block in one thread leaves alone what another thread stages meanwhile."""
+    inside, done, other = threading.Event(), threading.Event(), []
+
+    def elsewhere():
+        inside.wait(60)
+        other.append(stage(spark.range(5), "elsewhere"))
+        done.set()
+
+    thread = threading.Thread(target=elsewhere)
+    thread.start()
+    with staged_here(spark):
+        mine = stage(spark.range(3), "here")
+        assert mine.count() == 3
+        inside.set()
+        assert done.wait(60)
+    thread.join()
+    assert other[0].count() == 5
+    with pytest.raises(Exception, match="(?i)not.exist|not.found"):
+        mine.collect()
+
+
 def test_stage_cuts_the_plan(spark, capsys):
     staged = stage(spark.range(10).groupBy((F.col("id") % 3).alias("k")).count(), "t")
     staged.explain()

@@ -111,9 +111,9 @@ COUNTS = {"Station": 3, "Sensor": 3, "Reading": 4, "Visit": 3}
 def test_json_document(spark, tmp_path):
     assert station_run(spark).write(str(tmp_path / "out")) == COUNTS
     first, second, third = json.loads(file_text(tmp_path / "out"))
-    assert list(first) == ["Title", "Opened", "Climate", "Height", "Sensor"]
+    assert list(first) == ["Height", "Manned", "Title", "Climate", "Opened", "Sensor"]
     assert first["Opened"] == "2011-03-05" and first["Climate"] == "MARITIME"
-    assert list(second) == ["Title", "Opened", "Climate", "Height", "Visit"]
+    assert list(second) == ["Height", "Manned", "Title", "Climate", "Opened", "Visit"]
     assert first["Sensor"][1] == {"Kind": "rain", "Slot": 1, "Reading": [{"Value": None}, {"Value": 0.4}]}
     assert third["Climate"] is None and third["Visit"] == [{"Who": "Bo"}]
     assert '"Height":12.500' in file_text(tmp_path / "out")
@@ -131,7 +131,7 @@ def test_xml_document(spark, tmp_path):
 
 @pytest.mark.parametrize("format, text", [("json", "[\n]\n"), ("xml", None)])
 def test_empty_documents(spark, tmp_path, format, text):
-    nothing = station_run(spark, {"title": "nowhere"})
+    nothing = station_run(spark, {"heights": ["9000", "9999"]})
     assert nothing.write(str(tmp_path / "out"), format) == dict.fromkeys(COUNTS, 0)
     written = file_text(tmp_path / "out")
     assert written == text or len(ET.fromstring(written)) == 0
@@ -175,8 +175,8 @@ def test_csv_bundle(spark, tmp_path):
     station_run(spark).write(str(tmp_path), "csv")
     want = {
         "Station": [
-            "_key,Title,Opened,Climate,Height", "1,Fjordkant,2011-03-05,MARITIME,12.500",
-            "2,Hochmoor,2014-09-21,ALPINE,845.250", "3,Salzpfanne,2011-03-06,,-3.125",
+            "_key,Height,Manned,Title,Climate,Opened", "1,12.500,true,Fjordkant,MARITIME,2011-03-05",
+            "2,845.250,,Hochmoor,ALPINE,2014-09-21", "3,-3.125,false,Salzpfanne,,2011-03-06",
         ],
         "Sensor": ["_key,_parentKey,Kind,Slot", "1,1,wind,2", "2,1,rain,1", "3,3,,1"],
         "Reading": ["_key,_parentKey,Value", "1,1,7.10", "2,2,", "3,2,0.40", "4,3,1.60"],
@@ -187,7 +187,7 @@ def test_csv_bundle(spark, tmp_path):
 
 
 def test_empty_bundle_has_headers(spark, tmp_path):
-    station_run(spark, {"title": "nowhere"}).write(str(tmp_path), "csv")
+    station_run(spark, {"heights": ["9000", "9999"]}).write(str(tmp_path), "csv")
     assert file_text(tmp_path / "Visit.csv") == "_key,_parentKey,Who\r\n"
     levels = read_bundle(spark, str(tmp_path), Export.from_dict(STATIONS))
     assert [df.count() for df in levels.values()] == [0] * 4
@@ -200,8 +200,8 @@ def test_root_with_parent_key_has_an_empty_column(spark, tmp_path):
     )
     run.write(str(tmp_path), "csv")
     assert file_text(tmp_path / "Station.csv").split("\r\n")[:2] == [
-        "_key,_parentKey,Title,Opened,Climate,Height",
-        "1,,Fjordkant,2011-03-05,MARITIME,12.500",
+        "_key,_parentKey,Height,Manned,Title,Climate,Opened",
+        "1,,12.500,true,Fjordkant,MARITIME,2011-03-05",
     ]
 
 
@@ -228,11 +228,19 @@ def test_parquet(spark, tmp_path):
 
 
 def test_row_counts_and_children_of_filtered_parents(spark):
-    run = station_run(spark, {"climate": "maritime"})
+    run = station_run(spark, {"zones": "maritime"})
     assert {r.entity: r.rows for r in run.row_counts().collect()} == {"Station": 1, "Sensor": 2, "Reading": 3, "Visit": 0}
     assert sorted(r.Kind for r in run.level("sensor").collect()) == ["rain", "wind"]
 
 
+def test_filters_of_child_levels(spark):
+    def rows(filters):
+        return {r.entity: r.rows for r in station_run(spark, filters).row_counts().collect()}
+
+    assert rows({"kinds": ["rain", "snow"]}) == COUNTS | {"Sensor": 1, "Reading": 2}
+    assert rows({"unsigned": None, "heights": ["0", "900"]}) == {"Station": 2, "Sensor": 2, "Reading": 3, "Visit": 1}
+
+
 def test_bundle_reader_types_and_errors(spark, tmp_path):
     station_run(spark).write(str(tmp_path), "csv")
     wrong = [dict(f, type="Int32") if f["name"] == "Kind" else f for f in SENSOR["fields"]]
@@ -294,7 +302,7 @@ def test_duplicate_keys_fail_trees_only(spark):
             action()
     assert key_violations(tables["visits"], ["visit_no"]).collect()[0].rows == 2
     # Rows whose parent did not survive cannot clash.
-    kept = ExportRun(spark, STATIONS, tables, {"climate": "MARITIME"}, lookups)
+    kept = ExportRun(spark, STATIONS, tables, {"zones": "MARITIME"}, lookups)
     assert len(kept.nested().collect()) == 1
     unchecked = ExportRun(spark, STATIONS, tables, lookups=lookups, check_keys=False)
     with pytest.raises(DuplicateKeys, match="Visit"):
