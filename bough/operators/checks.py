@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from bough.errors import DuplicateKeys, SubtreeTooLarge
 from bough.names import col
+from bough.operators.levels import Level
+from bough.spec import Entity, Export
 
 
 def key_violations(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -62,3 +65,52 @@ def row_counts(levels: dict[str, DataFrame]) -> DataFrame:
         for name, df in levels.items()
     ]
     return reduce(DataFrame.unionByName, counts)
+
+
+def tree_counts(export: Export, levels: Mapping[str, Level]) -> DataFrame:
+    """``(entity, rows)``: how many rows of every level have all their ancestors.
+
+    From the leaves up, rows meet their parent's key in one grouping over both: a parent adds that it is
+    there, children add how many they are and how many hang below them. Only keys and counts move, combined in
+    the tasks before they do, so a parent that many share is one row a task. What meets no parent goes.
+    Rows of an inner level that share a key but not a parent are an error.
+    """
+    names = [e.name for e in export.entities()]
+
+    def zeros(but: str, one: Column) -> list[Column]:
+        return [(one if n == but else F.lit(0)).cast("long").alias(f"n:{n}") for n in names]
+
+    def below(entity: Entity) -> DataFrame:
+        """``fk:i`` and counts, more than one row a parent, of a level and what is below it."""
+        level = levels[entity.name]
+        fks, own = [*map(col, level.fk_names)], [*map(col, level.key_names)]
+        alone = level.df.select(*fks, *zeros(entity.name, F.lit(1)))
+        if not entity.children:
+            return alone
+        keyed = reduce(Column.__and__, [k.isNotNull() for k in own])
+        # A row without a key has no children.
+        unkeyed = level.df.where(~keyed).select(*fks, *zeros(entity.name, F.lit(1)))
+        parts = [level.df.where(keyed).select(*own, *fks, *zeros(entity.name, F.lit(1)), F.lit(1).alias("here:"))]
+        for child in entity.children:
+            theirs = levels[child.name].fk_names
+            rows = below(child).where(reduce(Column.__and__, [col(c).isNotNull() for c in theirs]))
+            renamed = [col(c).alias(k) for c, k in zip(theirs, level.key_names)]
+            nowhere = [F.lit(None).cast(level.df.schema[c].dataType).alias(c) for c in level.fk_names]
+            parts.append(rows.select(*renamed, *nowhere, *[col(f"n:{n}") for n in names], F.lit(0).alias("here:")))
+        met = reduce(DataFrame.unionByName, parts).groupBy(*own).agg(
+            F.sum("here:").alias("here:"),
+            *[F.min(c).alias(f"least:{c}") for c in level.fk_names],
+            *[F.max(c).alias(c) for c in level.fk_names],
+            *[F.sum(col(f"n:{n}")).alias(f"n:{n}") for n in names],
+        )
+        alike = [
+            F.when(col(c).eqNullSafe(col(f"least:{c}")), col(c)).otherwise(
+                F.raise_error(F.lit(f"entity '{entity.name}': rows that share a key have different parents"))
+            ).alias(c)
+            for c in level.fk_names
+        ]
+        return met.where("`here:` > 0").select(*alike, *[col(f"n:{n}") for n in names]).unionByName(unkeyed)
+
+    totals = below(export.root).agg(*[F.coalesce(F.sum(col(f"n:{n}")), F.lit(0)).alias(f"n:{n}") for n in names])
+    each = [F.struct(F.lit(n).alias("entity"), col(f"n:{n}").alias("rows")) for n in names]
+    return totals.select(F.inline(F.array(*each)))

@@ -19,13 +19,14 @@ class Level:
     """Rows of one entity: ``key:i``, ``fk:i`` and the declared fields under their output names.
 
     ``narrowed`` says whether a filter here or above can have removed rows, ``tied`` whether the
-    rows were joined to surviving parents.
+    rows were restricted to surviving parents, ``scanned`` whether they come from a scan without a join.
     """
 
     entity: Entity
     df: DataFrame
     narrowed: bool = False
     tied: bool = False
+    scanned: bool = True
 
     @property
     def key_names(self) -> list[str]:
@@ -80,9 +81,34 @@ def key_order(level: Level) -> list[Column]:
 
 
 def keep_surviving(child: Level, parent: Level) -> Level:
-    """Child rows whose parent survived. Orphans and null foreign keys drop out."""
+    """Child rows whose parent survived. Orphans and null foreign keys drop out.
+
+    Where a scan finds few surviving parents, their keys become literals that reach the child's scan
+    and let it skip what it need not read; otherwise the levels are joined.
+    """
+    listed = _listed_keys(child, parent) if parent.narrowed and parent.scanned else None
+    if listed is not None:
+        kept = child.df.where(col(child.fk_names[0]).isin(listed) if listed else "false")
+        return replace(child, df=kept, narrowed=True, tied=True)
     kept = child.df.join(_parent_keys(parent, []), _tied(child, parent), "left_semi")
-    return replace(child, df=kept, narrowed=True, tied=True)
+    return replace(child, df=kept, narrowed=True, tied=True, scanned=False)
+
+
+#: Surviving parents whose keys are named to the child's scan.
+LISTED_KEYS = 1000
+
+
+def _listed_keys(child: Level, parent: Level) -> list | None:
+    """The keys of the surviving parents, if they are few and one column of the foreign key's own type."""
+    if len(parent.key_names) != 1 or len(child.fk_names) != 1:
+        return None
+    mine, theirs = child.fk_names[0], parent.key_names[0]
+    kind = parent.df.schema[theirs].dataType
+    # Only of these types a literal is sure to be the value itself.
+    if child.df.schema[mine].dataType != kind or kind not in (T.LongType(), T.IntegerType(), T.ShortType(), T.StringType()):
+        return None
+    found = parent.df.select(col(theirs)).where(col(theirs).isNotNull()).limit(LISTED_KEYS + 1).collect()
+    return list(dict.fromkeys(r[0] for r in found)) if len(found) <= LISTED_KEYS else None
 
 
 def attach_parent(child: Level, parent: Level, carried: list[str]) -> DataFrame:

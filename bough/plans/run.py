@@ -82,7 +82,7 @@ class ExportRun:
             for b in joined:
                 table = among(table, b, types[b.field.source.lower()])
             level = project(entity, table, condition)
-            level = replace(level, narrowed=level.narrowed or bool(joined))
+            level = replace(level, narrowed=level.narrowed or bool(joined), scanned=not joined and transform is None)
             if transform is not None:
                 level = level.with_df(transform(entity.name, level.df))
                 self._require_columns(level)
@@ -281,21 +281,9 @@ class ExportRun:
     def row_counts(self) -> DataFrame:
         """``(entity, rows)`` of this run.
 
-        Goes down the tree once: a level's surviving keys are written for its children, so that
-        every table is read once and every level joined once.
+        No level is joined or written: see :func:`bough.operators.checks.tree_counts`.
         """
-        kept: dict[str, Level] = {}
-        counted: dict[str, DataFrame] = {}
-        for entity in self.export.entities():
-            level, parent = self._projected[entity.name], self.export.parent(entity)
-            bare = level.with_df(level.df.select(*map(col, [*level.key_names, *level.fk_names])))
-            rows = bare if parent is None else keep_surviving(bare, kept[parent.name])
-            counted[entity.name] = rows.df
-            if entity.children:
-                keys = stage(rows.df.select(*map(col, level.key_names)), entity.name)
-                kept[entity.name] = level.with_df(keys)
-                counted[entity.name] = keys
-        return checks.row_counts(counted)
+        return checks.tree_counts(self.export, self._projected)
 
     def csv_lines(self, name: str | None = None) -> DataFrame:
         """CSV records without the header: ``text`` of a flat export, ``(RowNumber, text)`` of one

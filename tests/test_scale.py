@@ -175,3 +175,27 @@ def test_pieces_move_as_fields(spark, large_joins, skewed, capsys, monkeypatch,
     above, below = plan.split("Exchange shufflepartitionidpassthrough", 1)
     # Every text is put together by concat.
     assert "concat(" in above and "concat(" not in below
+
+
+def test_few_surviving_parents_reach_the_childs_scan(spark, large_joins, skewed, capsys):
+    few = SPEC | {"filters": [{"name": "v", "entity": "A", "field": "v", "operator": "In"}]}
+    level = ExportRun(spark, few, skewed, {"v": ["7", "12", "9999"]}).level("B")
+    plan = plan_of(level, capsys)
+    assert "In(p, [" in plan and "Join" not in plan
+    want = skewed["b"].where("p in (7, 12)").count()
+    assert level.count() == want > 0
+    assert ExportRun(spark, few, skewed, {"v": ["none"]}).level("B").count() == 0
+    # Two thousand are joined.
+    assert "Join" in plan_of(ExportRun(spark, SPEC, skewed, {"v": None}).level("B"), capsys)
+
+
+def test_counts_join_and_write_nothing(spark, large_joins, skewed, capsys):
+    staged = staging_root(spark).removeprefix("file:").lstrip("/")
+    lost = skewed["b"].select("k", F.when(F.col("k") % 5 == 0, F.lit(-1)).when(F.col("k") % 7 > 0, F.col("p")).alias("p"), "v")
+    run = ExportRun(spark, SPEC, {"a": skewed["a"], "b": lost})
+    plan = plan_of(run.row_counts(), capsys)
+    assert "Join" not in plan and staged not in plan
+    # One exchange by the parents' key and one of the sums.
+    assert plan.count("Exchange") == 2
+    want = lost.where("p >= 0").count()
+    assert {r.entity: r.rows for r in run.row_counts().collect()} == {"A": 2000, "B": want}
