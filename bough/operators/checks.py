@@ -75,28 +75,35 @@ def tree_counts(export: Export, levels: Mapping[str, Level]) -> DataFrame:
     the tasks before they do, so a parent that many share is one row a task. What meets no parent goes.
     Rows of an inner level that share a key but not a parent are an error.
     """
-    names = [e.name for e in export.entities()]
 
-    def zeros(but: str, one: Column) -> list[Column]:
-        return [(one if n == but else F.lit(0)).cast("long").alias(f"n:{n}") for n in names]
+    def subtree(entity: Entity) -> list[str]:
+        return [entity.name, *(n for child in entity.children for n in subtree(child))]
+
+    def counts(names: list[str], have: list[str], one: str | None = None) -> list[Column]:
+        """``n:`` columns for ``names``: those that rows have, 1 for ``one``, else 0."""
+        held = [col(f"n:{n}") if n in have else F.lit(int(n == one)).cast("long") for n in names]
+        return [c.alias(f"n:{n}") for c, n in zip(held, names)]
 
     def below(entity: Entity) -> DataFrame:
         """``fk:i`` and counts, more than one row a parent, of a level and what is below it."""
         level = levels[entity.name]
         fks, own = [*map(col, level.fk_names)], [*map(col, level.key_names)]
-        alone = level.df.select(*fks, *zeros(entity.name, F.lit(1)))
+        names = subtree(entity)
+        alone = level.df.select(*fks, *counts(names, [], entity.name))
         if not entity.children:
             return alone
         keyed = reduce(Column.__and__, [k.isNotNull() for k in own])
         # A row without a key has no children.
-        unkeyed = level.df.where(~keyed).select(*fks, *zeros(entity.name, F.lit(1)))
-        parts = [level.df.where(keyed).select(*own, *fks, *zeros(entity.name, F.lit(1)), F.lit(1).alias("here:"))]
+        unkeyed = level.df.where(~keyed).select(*fks, *counts(names, [], entity.name))
+        here = counts(names, [], entity.name)
+        parts = [level.df.where(keyed).select(*own, *fks, *here, F.lit(1).alias("here:"))]
         for child in entity.children:
             theirs = levels[child.name].fk_names
             rows = below(child).where(reduce(Column.__and__, [col(c).isNotNull() for c in theirs]))
             renamed = [col(c).alias(k) for c, k in zip(theirs, level.key_names)]
             nowhere = [F.lit(None).cast(level.df.schema[c].dataType).alias(c) for c in level.fk_names]
-            parts.append(rows.select(*renamed, *nowhere, *[col(f"n:{n}") for n in names], F.lit(0).alias("here:")))
+            hung = counts(names, subtree(child))
+            parts.append(rows.select(*renamed, *nowhere, *hung, F.lit(0).alias("here:")))
         met = reduce(DataFrame.unionByName, parts).groupBy(*own).agg(
             F.sum("here:").alias("here:"),
             *[F.min(c).alias(f"least:{c}") for c in level.fk_names],
@@ -111,6 +118,7 @@ def tree_counts(export: Export, levels: Mapping[str, Level]) -> DataFrame:
         ]
         return met.where("`here:` > 0").select(*alike, *[col(f"n:{n}") for n in names]).unionByName(unkeyed)
 
+    names = [e.name for e in export.entities()]
     totals = below(export.root).agg(*[F.coalesce(F.sum(col(f"n:{n}")), F.lit(0)).alias(f"n:{n}") for n in names])
     each = [F.struct(F.lit(n).alias("entity"), col(f"n:{n}").alias("rows")) for n in names]
     return totals.select(F.inline(F.array(*each)))
