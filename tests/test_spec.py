@@ -63,8 +63,8 @@ def test_good_names(name):
         (lambda d: d["root"].update(keyColumn="k" * 129), "key column"),
         (lambda d: d["root"]["children"][0].update(parentKeyColumn=None), "parent key"),
         (lambda d: d["root"]["children"][0].update(parentKeyColumn="\x00"), "parent key"),
-        (lambda d: d["root"]["children"][0].update(fields=[]), "no fields"),
-        (lambda d: d["root"]["children"][0].update(name="station"), "twice"),
+        (lambda d: d["root"]["children"][0]["children"][0].update(fields=[]), "no fields"),
+        (lambda d: d["root"]["children"][0]["children"][0].update(name="station"), "twice"),
         (lambda d: d["root"]["children"][0]["fields"].append({"name": "KIND"}), "twice"),
         (lambda d: d["root"]["fields"].append({"name": "rownumber"}), "reserved"),
         (lambda d: d["root"]["fields"].append({"name": "RealKey"}), "reserved"),
@@ -96,7 +96,7 @@ def test_every_problem_is_reported():
     def edit(d):
         d["name"] = ""
         d["root"]["table"] = ""
-        d["root"]["children"][0]["fields"] = []
+        d["root"]["children"][0]["children"][0]["fields"] = []
 
     with pytest.raises(SpecError) as error:
         changed(edit).check()
