@@ -66,7 +66,7 @@ def token_pieces(
         end = np.array([] if end_id is None else [end_id], "<u4")
         for batch in slices(batches):
             rows, piece, start, length, ids = [], [], [], [], []
-            for row, own in enumerate(encoder.ids(batch.column("text").to_pylist())):
+            for row, own in enumerate(encoder.ids(batch.column("text"))):
                 held = np.concatenate([own.astype("<u4"), end]).tobytes()
                 n, at, k = len(held) // 4, 0, 0
                 while at < n:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -34,7 +33,7 @@ def token_counts(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
             yield {
                 id_col: piece.column("id"),
                 "n_bytes": pc.binary_length(texts),
-                "n_tokens": np.asarray(encoder.counts(texts.to_pylist())),
+                "n_tokens": encoder.counts(texts),
             }
 
     return map_arrow(source, count, schema)

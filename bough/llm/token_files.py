@@ -67,7 +67,7 @@ def write_token_files(
                 encoder = encoder_of(tokenizer)
                 files = _Folder(folder)
                 out = files.create(f"{name}.bin")
-            ids = encoder.ids(piece.column("text").to_pylist())
+            ids = encoder.ids(piece.column("text"))
             end = np.array([] if end_id is None else [end_id], encoder.dtype)
             if end_id is not None and end[0] != end_id:
                 raise ValueError(f"the end id {end_id} does not fit the vocabulary")

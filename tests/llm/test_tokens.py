@@ -5,11 +5,13 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from bough.llm import encoding
 from bough.llm.encoding import TextEncoder, split
 from bough.llm.packing import best_fit, complement, pack, plan, token_pieces
 from bough.llm.token_counts import token_counts
@@ -49,6 +51,21 @@ def test_parts_encode_as_the_whole(texts):
     assert encoder.counts(texts).tolist() == [len(x) for x in want]
 
 
+@pytest.mark.parametrize("piece, remembered", [(1, 1), (64, 2000), (1 << 20, 0)])
+def test_forgotten_parts_are_encoded_again(monkeypatch, library, piece, remembered):
+    """However little is numbered together or remembered, texts encode as the library encodes them."""
+    monkeypatch.setattr(encoding, "PIECE_BYTES", piece)
+    monkeypatch.setattr(encoding, "REMEMBERED_BYTES", remembered)
+    rng, encoder = random.Random(7), TextEncoder(BPE)
+    for _ in range(6):
+        texts = rng.sample(TEXTS, len(TEXTS)) + [" ".join(rng.choices(TEXTS, k=5)) for _ in range(10)]
+        want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+        column = pa.chunked_array([pa.array(["cut off", *texts])]).chunk(0).slice(1)  # a slice of a batch
+        assert [x.tolist() for x in encoder.ids(column)] == want
+        assert encoder.counts(column).tolist() == [len(x) for x in want]
+    assert encoder.ids([]) == [] and encoder.counts([]).tolist() == []
+
+
 def test_split_loses_nothing():
     for text in TEXTS:
         first, rest = split(text)
