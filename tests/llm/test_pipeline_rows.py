@@ -5,6 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
+from bough.llm import near_copies
 from bough.llm.near_copies import groups, shingles
 from bough.llm.passages import coded
 from bough.operators.staging import stage
@@ -70,8 +71,10 @@ def planted():
     return texts + [" ".join(own) for own in family]
 
 
-@pytest.mark.parametrize("pairwise", [1, 8, 64])
-def test_groups_are_those_of_brute_force(spark, pairwise):
+@pytest.mark.parametrize("pairwise, last_keys", [(1, 1 << 16), (8, 3), (8, 0), (64, 1 << 16)])
+def test_groups_are_those_of_brute_force(spark, monkeypatch, pairwise, last_keys):
+    """Whatever the number of shingles that may be put last."""
+    monkeypatch.setattr(near_copies, "LAST_KEYS", last_keys)
     texts = planted()
     sets = [set(shingles(t or "").tolist()) for t in texts]
     root = list(range(len(texts)))
