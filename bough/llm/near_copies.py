@@ -70,8 +70,9 @@ def groups(df: DataFrame, id_col: str = "row", text_col: str = "text", pairwise:
     prints = stage(_prints(source), "near-prints")
     nodes = prints.groupBy("p1", "p2").agg(F.min("id").alias("node"))
     named = stage(prints.join(nodes, ["p1", "p2"]).select("id", "node"), "near-nodes")
-    firsts = source.join(named.where("id = node").select("id"), "id", "left_semi")
-    roots = components(_links(stage(_sets(firsts), "near-sets"), pairwise))
+    texts = source.join(named.where("id = node").select("id"), "id", "left_semi")
+    texts = stage(texts.select(F.col("id").alias("node"), "text"), "near-texts")
+    roots = components(_links(texts, pairwise))
     rooted = named.join(roots, "node", "left")
     return rooted.select(F.col("id").alias(id_col), F.coalesce("root", "node").alias("group"))
 
@@ -89,34 +90,18 @@ def _prints(source: DataFrame) -> DataFrame:
     return map_arrow(source, work, schema)
 
 
-def _sets(source: DataFrame) -> DataFrame:
-    """``node`` and ``held``: the ascending shingle hashes of its text, eight bytes each."""
-    schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("held", T.BinaryType())])
-
-    def work(batches):
-        for piece in slices(batches):
-            held = [shingles(t).tobytes() for t in piece.column("text").to_pylist()]
-            yield {"node": piece.column("id"), "held": held}
-
-    return map_arrow(source, work, schema)
-
-
-def _read(held: bytes) -> np.ndarray:
-    return np.frombuffer(held, np.uint64)
-
-
-def _prefixes(sets: DataFrame, last: np.ndarray) -> DataFrame:
+def _prefixes(texts: DataFrame, last: np.ndarray) -> DataFrame:
     """``node``, ``n`` (shingles of the set) and ``key``, a row for each shingle of the prefix."""
     schema = T.StructType(
         [T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("key", T.LongType())]
     )
     # At most ``LAST_KEYS`` keys.
-    behind = sets.sparkSession.sparkContext.broadcast(last)
+    held = texts.sparkSession.sparkContext.broadcast(last)
 
     def work(batches):
-        for piece in slices(batches, "held"):
-            sets = [_read(h) for h in piece.column("held").to_pylist()]
-            firsts = [prefix(s, behind.value) for s in sets]
+        for piece in slices(batches):
+            sets = [shingles(t) for t in piece.column("text").to_pylist()]
+            firsts = [prefix(s, held.value) for s in sets]
             many = [len(f) for f in firsts]
             yield {
                 "node": np.repeat(np.array(piece.column("node").to_pylist(), dtype=np.int64), many),
@@ -124,20 +109,19 @@ def _prefixes(sets: DataFrame, last: np.ndarray) -> DataFrame:
                 "key": np.concatenate(firsts).view(np.int64),
             }
 
-    return map_arrow(sets, work, schema)
+    return map_arrow(texts, work, schema)
 
 
-def _links(sets: DataFrame, pairwise: int) -> DataFrame:
+def _links(texts: DataFrame, pairwise: int) -> DataFrame:
     last = np.zeros(0, dtype=np.uint64)
     for i in range(PASSES):
-        held = stage(_prefixes(sets, last), "near-prefixes")
+        held = stage(_prefixes(texts, last), "near-prefixes")
         sizes = held.groupBy("key").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1")
         shared = stage(held.join(sizes, "key"), "near-shared")
         if i < PASSES - 1:
             often = shared.where(F.col("holders") > pairwise).select("key", "holders").distinct()
-            often = often.orderBy(F.desc("holders"), "key").limit(LAST_KEYS - len(last))
-            often = [r.key for r in often.select("key").collect()]
-            more = np.union1d(last, np.array(often, dtype=np.int64).view(np.uint64))
+            often = often.orderBy(F.desc("holders"), "key").limit(LAST_KEYS - len(last)).select("key")
+            more = np.union1d(last, np.array([r.key for r in often.collect()], dtype=np.int64).view(np.uint64))
             if len(more) == len(last):
                 break
             last = more
@@ -152,8 +136,8 @@ def _links(sets: DataFrame, pairwise: int) -> DataFrame:
     rest = F.greatest((4 * F.col("n") + 4) / 5, (4 * F.col("m") + 4) / 5)
     reach = F.col("both") + F.least("crowded", "crowded2") + rest
     pairs = pairs.where(9 * reach >= 4 * (F.col("n") + F.col("m"))).select("node", "other")
-    found = [_scored(pairs, sets).where("likes").select("node", "other")]
-    return _of_crowds(many, sets, found)
+    found = [_scored(pairs, texts).where("likes").select("node", "other")]
+    return _of_crowds(many, texts, found)
 
 
 def _other(rows: DataFrame) -> DataFrame:
@@ -165,7 +149,7 @@ def _sizes_fit():
     return F.expr("node < other and 5 * n >= 4 * m and 5 * m >= 4 * n")
 
 
-def _of_crowds(many: DataFrame, sets: DataFrame, found: list[DataFrame]) -> DataFrame:
+def _of_crowds(many: DataFrame, texts: DataFrame, found: list[DataFrame]) -> DataFrame:
     """Links of nodes that share a shingle which many hold, besides those found.
 
     ``home`` is a node that the links found so far connect a node with.
@@ -179,7 +163,7 @@ def _of_crowds(many: DataFrame, sets: DataFrame, found: list[DataFrame]) -> Data
             "key", F.col("first.node").alias("other"), F.coalesce("first.home", "first.node").alias("hers")
         )
         led = stage(rest.join(leaders, "key").where("node <> other"), "near-led")
-        scores = stage(_scored(led.select("node", "other").distinct(), sets), "near-scores")
+        scores = stage(_scored(led.select("node", "other").distinct(), texts), "near-scores")
         found.append(scores.where("likes").select("node", "other"))
         led = led.join(scores, ["node", "other"]).withColumn("home", F.expr("if(likes, hers, home)"))
         apart = F.expr("not (home <=> hers)")
@@ -197,14 +181,14 @@ def _of_crowds(many: DataFrame, sets: DataFrame, found: list[DataFrame]) -> Data
     rest = rest.drop("home").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rest = stage(rest, "near-crowds")
     pairs = rest.join(_other(rest), "key").where(_sizes_fit() & F.expr("root <> root2"))
-    return links.union(_scored(pairs.select("node", "other").distinct(), sets).where("likes").select("node", "other"))
+    return links.union(_scored(pairs.select("node", "other").distinct(), texts).where("likes").select("node", "other"))
 
 
-def _scored(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _scored(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """``node``, ``other``, ``likes`` (they link) and ``far`` (1 - similarity) of pairs."""
-    one = sets.withColumnRenamed("held", "held1")
-    two = sets.select(F.col("node").alias("other"), F.col("held").alias("held2"))
-    joined = pairs.join(two, "other").join(one, "node").select("node", "other", "held1", "held2")
+    one = texts.withColumnRenamed("text", "text1")
+    two = texts.select(F.col("node").alias("other"), F.col("text").alias("text2"))
+    joined = pairs.join(two, "other").join(one, "node").select("node", "other", "text1", "text2")
     schema = T.StructType(
         [
             T.StructField("node", T.LongType()),
@@ -216,12 +200,12 @@ def _scored(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     def work(batches):
         before, known = None, None
-        for piece in slices(batches, "held1"):
+        for piece in slices(batches, "text1"):
             likes, far = [], []
-            for node, a, b in zip(*(piece.column(c).to_pylist() for c in ("node", "held1", "held2"))):
+            for node, a, b in zip(*(piece.column(c).to_pylist() for c in ("node", "text1", "text2"))):
                 if node != before:  # sorted by the join, mostly
-                    before, known = node, _read(a)
-                other = _read(b)
+                    before, known = node, shingles(a)
+                other = shingles(b)
                 shared = len(np.intersect1d(known, other, assume_unique=True))
                 either = max(1, len(known) + len(other) - shared)
                 likes.append(5 * shared >= 4 * either)
