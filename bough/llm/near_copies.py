@@ -1,49 +1,53 @@
-"""Groups of texts whose shingles are similar.
+"""Groups of texts whose shingles are similar, by SimHash first and by shared shingles for the rest.
 
 Texts are sets of shingles of ``WORDS`` words (ASCII letters in lower case, words between ASCII white
 space; a shorter text is one shingle). Two link when what both have is at least four fifths of what
-either has, and a group is what links connect. Equal sets are one node.
-
-Under any one order of all shingles, two linked sets of n and m shingles share one of the first
-n - ceil(4n/5) + 1 and m - ceil(4m/5) + 1. Shingles come in the order of their hashes, those that many
-prefixes hold last. Nodes that share a prefix shingle which few hold are candidates pair by pair, if the
-shingles they share there and all that may follow reach the similarity. Where many share one,
-all are held against one of them first. What links to it is connected; by the triangle inequality of
-the distance 1 - similarity only pairs remain that are not both connected with it and whose distances to
-it differ by a fifth at most. After ``ROUNDS`` of this the remaining pairs are compared that links do
-not connect yet. No other pair is left out, and the exact similarity decides.
+either has, and a group is what links connect. Equal sets are one node, and every link is verified on
+full sets.
+
+Most links show in the fingerprints: nodes whose SimHashes share pigeonhole blocks and lie close
+(``simhash.links``) are verified and connected. Fingerprints of linked sets may lie further apart, so
+shingles find the others. Under any one order of all shingles, two linked sets of n and m shingles have
+at least c = 4(n + m)/9 in common, so one of the first n - c + 1 and m - c + 1 is common to both.
+Shingles come in the order of their hashes, those that many sets hold last. Nodes under a shingle that are
+not connected yet are held against one of them, ``ROUNDS`` times, and connected by what links. What is left
+are pairs of nodes that nothing connects: every one of them that shares a shingle at places that allow a
+link is compared. By the places one of the two has it among its first ninth, and one is not of the group
+that most holders of the shingle belong to, so only such rows are joined with others.
+
+Before texts meet, bitmaps are compared: each shingle turns one of ``BITS`` bits, so two bitmaps differ in no
+more bits than the sets do in shingles, and linked sets differ in (n + m)/9 at most.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from bough.llm import minhash, simhash
 from bough.llm.batches import id_and_text, map_arrow, slices
 from bough.llm.components import components
 from bough.operators.staging import stage
 
 WORDS = 5
-#: Nodes that share a shingle and are still compared pair by pair.
-PAIRWISE = 64
-#: How often the shingles that many prefixes hold are looked for, and leaders chosen.
-PASSES, ROUNDS = 3, 6
-#: Shingles that may be put last. Any order gives the same groups, so the bound costs none: those that
-#: the most prefixes hold are taken, and what stays crowded is resolved by leaders all the same.
-LAST_KEYS = 1 << 16
+#: How often the holders of a shingle are held against one of them.
+ROUNDS = 2
+#: Shingles that may be put last, and of how many nodes one is asked which shingles many hold. Any order
+#: of the shingles gives the same groups, so neither bound costs a link.
+LAST_KEYS, ASKED = 1 << 16, 16
+#: Nodes asked that hold a shingle which goes last.
+COMMON = 4
+#: Bits of a bitmap.
+BITS = 1024
 
 
 def shingles(text: str) -> np.ndarray:
     """The distinct hashes of a text's shingles, ascending."""
-    parts = text.encode().lower().split()
-    if not parts:
-        return np.zeros(0, dtype=np.uint64)
-    n = max(1, len(parts) - WORDS + 1)
-    held = [xxhash.xxh64_intdigest(b" ".join(parts[i : i + WORDS])) for i in range(n)]
-    return np.unique(np.array(held, dtype=np.uint64))
+    return minhash.shingles(text, WORDS)
 
 
 def needed(n):
@@ -61,7 +65,7 @@ def prefix(own: np.ndarray, last: np.ndarray) -> np.ndarray:
     return own[:n]
 
 
-def groups(df: DataFrame, id_col: str = "row", text_col: str = "text", pairwise: int = PAIRWISE) -> DataFrame:
+def groups(df: DataFrame, id_col: str = "row", text_col: str = "text") -> DataFrame:
     """``id_col`` and ``group``, the least id of the group, of every row; ids are unique longs.
 
     A null text is empty, and empty texts are one group. An empty table gives no rows.
@@ -69,32 +73,72 @@ def groups(df: DataFrame, id_col: str = "row", text_col: str = "text", pairwise:
     source = id_and_text(df, id_col, text_col)
     prints = stage(_prints(source), "near-prints")
     nodes = prints.groupBy("p1", "p2").agg(F.min("id").alias("node"))
-    named = stage(prints.join(nodes, ["p1", "p2"]).select("id", "node"), "near-nodes")
-    texts = source.join(named.where("id = node").select("id"), "id", "left_semi")
-    texts = stage(texts.select(F.col("id").alias("node"), "text"), "near-texts")
-    roots = components(_links(texts, pairwise))
+    named = stage(prints.select("id", "p1", "p2").join(nodes, ["p1", "p2"]).select("id", "node"), "near-nodes")
+    firsts = named.where("id = node").select("id")
+    sketches = prints.join(firsts, "id", "left_semi").select(F.col("id").alias("node"), "n", "bits", "fingerprint")
+    texts = source.join(firsts, "id", "left_semi").select(F.col("id").alias("node"), "text")
+    roots = components(_links(stage(sketches, "near-sketches"), stage(texts, "near-texts")))
     rooted = named.join(roots, "node", "left")
     return rooted.select(F.col("id").alias(id_col), F.coalesce("root", "node").alias("group"))
 
 
+def bitmap(own: np.ndarray) -> np.ndarray:
+    """Which of ``BITS`` bits an odd number of a set's shingles turn, as longs."""
+    turned = np.bincount((own % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(turned.astype(bool)).view(np.int64)
+
+
 def _prints(source: DataFrame) -> DataFrame:
-    """128 bits that stand for the set of a text."""
-    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("id", "p1", "p2")])
+    """128 bits that stand for the set of a text, its size ``n``, its bitmap and the SimHash of the text."""
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("id", "p1", "p2", "n", "fingerprint")])
+    schema.add("bits", T.ArrayType(T.LongType()))
 
     def work(batches):
         for piece in slices(batches):
-            held = [shingles(t).tobytes() for t in piece.column("text").to_pylist()]
-            found = [np.array([xxhash.xxh64_intdigest(h, s) for h in held], np.uint64).view(np.int64) for s in (0, 1)]
-            yield {"id": piece.column("id"), "p1": found[0], "p2": found[1]}
+            texts = piece.column("text").to_pylist()
+            sets = [shingles(t) for t in texts]
+            found = [
+                np.array([xxhash.xxh64_intdigest(h.tobytes(), s) for h in sets], np.uint64).view(np.int64) for s in (0, 1)
+            ]
+            prints = np.array([simhash.fingerprint(t, WORDS) for t in texts], np.uint64).view(np.int64)
+            bits = pa.array(np.concatenate([bitmap(h) for h in sets]))
+            yield {
+                "id": piece.column("id"), "p1": found[0], "p2": found[1], "fingerprint": prints,
+                "n": [len(h) for h in sets],
+                "bits": pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * (BITS // 64)), bits),
+            }
 
     return map_arrow(source, work, schema)
 
 
+def _close(nodes: DataFrame) -> DataFrame:
+    """``node`` and ``other``: pairs whose fingerprints are equal or close, enough to connect all that are."""
+    firsts = stage(nodes.groupBy("fingerprint").agg(F.min("node").alias("first")), "near-firsts")
+    same = nodes.join(firsts, "fingerprint").where("node <> first")
+    same = same.select(F.col("first").alias("node"), F.col("node").alias("other"))
+    theirs = firsts.select(F.col("fingerprint").alias("other"), F.col("first").alias("second"))
+    close = simhash.links(firsts).join(firsts, "fingerprint").join(theirs, "other")
+    return same.union(close.select(F.least("first", "second"), F.greatest("first", "second"))).distinct()
+
+
+def _common(texts: DataFrame) -> np.ndarray:
+    """Shingles that many nodes hold, ascending, as far as one of ``ASKED`` nodes tells."""
+    asked = texts.where(F.xxhash64("node").bitwiseAND(ASKED - 1) == 0)
+
+    def work(batches):
+        for piece in slices(batches):
+            yield {"key": np.concatenate([shingles(t) for t in piece.column("text").to_pylist()]).view(np.int64)}
+
+    held = map_arrow(asked, work, T.StructType([T.StructField("key", T.LongType())]))
+    sizes = held.groupBy("key").agg(F.count(F.lit(1)).alias("holders")).where(F.col("holders") >= COMMON)
+    rows = sizes.orderBy(F.desc("holders"), "key").limit(LAST_KEYS).select("key").collect()
+    return np.sort(np.array([r.key for r in rows], dtype=np.int64).view(np.uint64))
+
+
 def _prefixes(texts: DataFrame, last: np.ndarray) -> DataFrame:
-    """``node``, ``n`` (shingles of the set) and ``key``, a row for each shingle of the prefix."""
-    schema = T.StructType(
-        [T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("key", T.LongType())]
-    )
+    """``node``, ``n`` (shingles of the set), ``key`` and its ``place``, a row for each shingle of the prefix."""
+    kinds = {"node": T.LongType(), "n": T.IntegerType(), "place": T.IntegerType(), "key": T.LongType()}
+    schema = T.StructType([T.StructField(c, kind) for c, kind in kinds.items()])
     # At most ``LAST_KEYS`` keys.
     held = texts.sparkSession.sparkContext.broadcast(last)
 
@@ -105,111 +149,88 @@ def _prefixes(texts: DataFrame, last: np.ndarray) -> DataFrame:
             many = [len(f) for f in firsts]
             yield {
                 "node": np.repeat(np.array(piece.column("node").to_pylist(), dtype=np.int64), many),
-                "n": np.repeat(np.array([len(s) for s in sets], dtype=np.int64), many),
+                "n": np.repeat(np.array([len(s) for s in sets], dtype=np.int32), many),
+                "place": np.concatenate([np.arange(m, dtype=np.int32) for m in many]),
                 "key": np.concatenate(firsts).view(np.int64),
             }
 
     return map_arrow(texts, work, schema)
 
 
-def _links(texts: DataFrame, pairwise: int) -> DataFrame:
-    last = np.zeros(0, dtype=np.uint64)
-    for i in range(PASSES):
-        held = stage(_prefixes(texts, last), "near-prefixes")
-        sizes = held.groupBy("key").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1")
-        shared = stage(held.join(sizes, "key"), "near-shared")
-        if i < PASSES - 1:
-            often = shared.where(F.col("holders") > pairwise).select("key", "holders").distinct()
-            often = often.orderBy(F.desc("holders"), "key").limit(LAST_KEYS - len(last)).select("key")
-            more = np.union1d(last, np.array([r.key for r in often.collect()], dtype=np.int64).view(np.uint64))
-            if len(more) == len(last):
-                break
-            last = more
-    many = shared.where(F.col("holders") > pairwise).select("key", "node", "n")
-    crowded = many.groupBy("node").agg(F.count(F.lit(1)).alias("crowded"))
-    few = shared.where(F.col("holders") <= pairwise).select("key", "node", "n")
-    few = few.join(crowded, "node", "left").fillna(0, ["crowded"])
-    pairs = few.join(_other(few), "key").where(_sizes_fit()).groupBy("node", "other").agg(
-        F.count(F.lit(1)).alias("both"), *[F.first(c).alias(c) for c in ("n", "m", "crowded", "crowded2")]
-    )
-    # What both prefixes hold, and all that may come after one of them.
-    rest = F.greatest((4 * F.col("n") + 4) / 5, (4 * F.col("m") + 4) / 5)
-    reach = F.col("both") + F.least("crowded", "crowded2") + rest
-    pairs = pairs.where(9 * reach >= 4 * (F.col("n") + F.col("m"))).select("node", "other")
-    found = [_scored(pairs, texts).where("likes").select("node", "other")]
-    return _of_crowds(many, texts, found)
-
-
-def _other(rows: DataFrame) -> DataFrame:
-    names = {"node": "other", "n": "m", "crowded": "crowded2", "root": "root2"}
-    return rows.select(*[F.col(c).alias(names.get(c, c)) for c in rows.columns])
-
-
-def _sizes_fit():
-    return F.expr("node < other and 5 * n >= 4 * m and 5 * m >= 4 * n")
-
-
-def _of_crowds(many: DataFrame, texts: DataFrame, found: list[DataFrame]) -> DataFrame:
-    """Links of nodes that share a shingle which many hold, besides those found.
-
-    ``home`` is a node that the links found so far connect a node with.
-    """
-    rest = stage(many.withColumn("home", F.lit(None).cast("long")), "near-crowds")
-    for _ in range(ROUNDS):
+def _links(sketches: DataFrame, texts: DataFrame) -> DataFrame:
+    """``node`` and ``other``: links that connect all that links connect."""
+    found = stage(_linked(_close(sketches), sketches, texts), "near-links")
+    held = stage(_prefixes(texts, _common(texts)), "near-prefixes")
+    sizes = held.groupBy("key").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1")
+    rest = stage(held.join(sizes.select("key"), "key"), "near-shared")
+    for i in range(ROUNDS + 1):
+        rest = stage(_open(rest, components(found)), "near-open")
         if rest.isEmpty():
             break
-        first = F.min(F.struct(F.col("home").isNotNull().alias("closed"), "node", "home")).alias("first")
-        leaders = rest.groupBy("key").agg(first).select(
-            "key", F.col("first.node").alias("other"), F.coalesce("first.home", "first.node").alias("hers")
-        )
-        led = stage(rest.join(leaders, "key").where("node <> other"), "near-led")
-        scores = stage(_scored(led.select("node", "other").distinct(), texts), "near-scores")
-        found.append(scores.where("likes").select("node", "other"))
-        led = led.join(scores, ["node", "other"]).withColumn("home", F.expr("if(likes, hers, home)"))
-        apart = F.expr("not (home <=> hers)")
-        span = led.where(apart).groupBy("key").agg(F.min("far").alias("least"), F.max("far").alias("most"))
-        near = apart | F.expr("far >= least - 0.2000001 and far <= most + 0.2000001")
-        rest = stage(led.join(span, "key").where(near).select("key", "node", "n", "home"), "near-crowds")
-    links = found[0]
-    for part in found[1:]:
-        links = links.union(part)
-    if rest.isEmpty():
-        return links
-    # What is connected by now needs no more links.
-    links = stage(links, "near-links")
-    roots = components(links)
-    rest = rest.drop("home").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rest = stage(rest, "near-crowds")
-    pairs = rest.join(_other(rest), "key").where(_sizes_fit() & F.expr("root <> root2"))
-    return links.union(_scored(pairs.select("node", "other").distinct(), texts).where("likes").select("node", "other"))
-
-
-def _scored(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """``node``, ``other``, ``likes`` (they link) and ``far`` (1 - similarity) of pairs."""
+        pairs = _stars(rest, i) if i < ROUNDS else _left(rest)
+        found = stage(found.union(_linked(pairs, sketches, texts)), "near-links")
+    return found
+
+
+def _open(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """The holders of shingles whose holders are not all connected, with the ``root`` of each."""
+    rows = rows.select("key", "node", "n", "place").join(roots, "node", "left")
+    rows = rows.withColumn("root", F.coalesce("root", "node"))
+    ends = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+    return rows.join(ends.select("key"), "key", "left_semi")
+
+
+def _stars(rows: DataFrame, turn: int) -> DataFrame:
+    """Pairs of the holders of a shingle with one of them, another at each turn."""
+    by = F.struct(F.xxhash64("node", F.lit(turn)).alias("turn"), "node", "n", "place", "root")
+    one = rows.groupBy("key").agg(F.min(by).alias("one")).select("key", "one.*").drop("turn")
+    return _met(rows, one)
+
+
+def _left(rows: DataFrame) -> DataFrame:
+    """All pairs that share a shingle, that its places let link and that nothing connects."""
+    sizes = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"))
+    most = sizes.groupBy("key").agg(F.max(F.struct("size", "root")).alias("most"))
+    rows = rows.join(most.select("key", F.col("most.root").alias("most")), "key")
+    rows = stage(rows.withColumn("minor", F.expr("root <> most")).drop("most"), "near-left")
+    early = rows.where("9L * place <= n")
+    minor = _met(early.where("minor").drop("minor"), rows.drop("minor"))
+    return minor.union(_met(early.where("not minor").drop("minor"), rows.where("minor").drop("minor"))).distinct()
+
+
+def _met(rows: DataFrame, others: DataFrame) -> DataFrame:
+    """Pairs of rows with others under a shingle that are not connected and whose sizes and places let them link."""
+    names = {"node": "other", "n": "m", "place": "place2", "root": "root2"}
+    others = others.select("key", *[F.col(a).alias(b) for a, b in names.items()])
+    common = F.expr("cast((4 * (cast(n as long) + m) + 8) div 9 as int)")
+    early = (F.col("place") <= F.col("n") - common) & (F.col("place2") <= F.col("m") - common)
+    met = rows.join(others, "key").where(F.expr("root <> root2 and 5L * n >= 4L * m and 5L * m >= 4L * n") & early)
+    return met.select(F.least("node", "other").alias("node"), F.greatest("node", "other").alias("other")).distinct()
+
+
+def _linked(pairs: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (``node``, ``other``) that link."""
+    schema = pairs.schema
+    theirs = sketches.select(F.col("node").alias("other"), F.col("n").alias("m"), F.col("bits").alias("bits2"))
+    turned = F.zip_with("bits", "bits2", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    differ = F.aggregate(turned, F.lit(0), lambda total, x: total + x)
+    pairs = pairs.join(sketches.select("node", "n", "bits"), "node").join(theirs, "other")
+    pairs = pairs.where(9 * differ <= F.col("n") + F.col("m")).select("node", "other")
     one = texts.withColumnRenamed("text", "text1")
     two = texts.select(F.col("node").alias("other"), F.col("text").alias("text2"))
     joined = pairs.join(two, "other").join(one, "node").select("node", "other", "text1", "text2")
-    schema = T.StructType(
-        [
-            T.StructField("node", T.LongType()),
-            T.StructField("other", T.LongType()),
-            T.StructField("likes", T.BooleanType()),
-            T.StructField("far", T.DoubleType()),
-        ]
-    )
 
     def work(batches):
         before, known = None, None
         for piece in slices(batches, "text1"):
-            likes, far = [], []
+            likes = []
             for node, a, b in zip(*(piece.column(c).to_pylist() for c in ("node", "text1", "text2"))):
                 if node != before:  # sorted by the join, mostly
                     before, known = node, shingles(a)
                 other = shingles(b)
                 shared = len(np.intersect1d(known, other, assume_unique=True))
-                either = max(1, len(known) + len(other) - shared)
-                likes.append(5 * shared >= 4 * either)
-                far.append(1 - shared / either)
-            yield {"node": piece.column("node"), "other": piece.column("other"), "likes": likes, "far": far}
+                likes.append(5 * shared >= 4 * max(1, len(known) + len(other) - shared))
+            chosen = piece.filter(pa.array(likes, pa.bool_()))
+            yield {c: chosen.column(c) for c in ("node", "other")}
 
     return map_arrow(joined, work, schema)

@@ -2,11 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
 from bough.llm import near_copies
-from bough.llm.near_copies import groups, shingles
+from bough.llm.near_copies import bitmap, groups, shingles
 from bough.llm.passages import coded
 from bough.operators.staging import stage
 
@@ -71,10 +72,14 @@ def planted():
     return texts + [" ".join(own) for own in family]
 
 
-@pytest.mark.parametrize("pairwise, last_keys", [(1, 1 << 16), (8, 3), (8, 0), (64, 1 << 16)])
-def test_groups_are_those_of_brute_force(spark, monkeypatch, pairwise, last_keys):
-    """Whatever the number of shingles that may be put last."""
-    monkeypatch.setattr(near_copies, "LAST_KEYS", last_keys)
+@pytest.mark.parametrize("prints, rounds, last_keys", [(True, 3, 1 << 16), (True, 0, 3), (False, 1, 0), (False, 0, 1 << 16)])
+def test_groups_are_those_of_brute_force(spark, monkeypatch, prints, rounds, last_keys):
+    """Whatever the fingerprints show, the rounds connect and the shingles put last."""
+    for name, value in (("ROUNDS", rounds), ("LAST_KEYS", last_keys), ("ASKED", 1)):
+        monkeypatch.setattr(near_copies, name, value)
+    if not prints:
+        nothing = lambda nodes: nodes.select("node", nodes.node.alias("other")).limit(0)
+        monkeypatch.setattr(near_copies, "_close", nothing)
     texts = planted()
     sets = [set(shingles(t or "").tolist()) for t in texts]
     root = list(range(len(texts)))
@@ -84,10 +89,20 @@ def test_groups_are_those_of_brute_force(spark, monkeypatch, pairwise, last_keys
                 low, high = sorted((root[i], root[j]))
                 root = [low if r == high else r for r in root]
     docs = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
-    assert [r.group for r in groups(docs, pairwise=pairwise).orderBy("row").collect()] == root
+    assert [r.group for r in groups(docs).orderBy("row").collect()] == root
     assert 12 < len(set(root)) < len(root) - 12
 
 
+def test_bitmaps_differ_in_no_more_bits_than_sets():
+    rng = np.random.default_rng(2)
+    for size, changed in ((5, 1), (400, 60), (9000, 900)):
+        one = rng.integers(0, 1 << 63, size=size, dtype=np.uint64)
+        two = np.concatenate([one[changed:], rng.integers(0, 1 << 63, size=changed // 2, dtype=np.uint64)])
+        differ = sum(int(x).bit_count() for x in (bitmap(one) ^ bitmap(two)).view(np.uint64))
+        assert 0 < differ <= changed + changed // 2
+    assert not bitmap(np.zeros(0, dtype=np.uint64)).any()
+
+
 def test_near_dedup_leaves_no_near_copies(spark, table):
     words = [f"w{i}" for i in range(100)]
     other = words[:50] + ["changed"] + words[51:]
