@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -44,7 +46,10 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
 def map_arrow(
     df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: T.StructType
 ) -> DataFrame:
-    """``mapInArrow`` for work that yields a dict of columns for each piece of its input."""
+    """``mapInArrow`` for work that yields a dict of columns for each piece of its input.
+
+    Workers outlive their tasks, so a task that ends gives back the memory it no longer holds.
+    """
     arrow = to_arrow(schema)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,10 +57,21 @@ def map_arrow(
             yield pa.RecordBatch.from_arrays(
                 [_array(columns[f.name], f.type) for f in arrow], schema=arrow
             )
+        give_back()
 
     return df.mapInArrow(task, schema)
 
 
+def give_back() -> None:
+    """Returns the free memory of a Python worker to the system, where its C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):
+        pass  # not glibc
+
+
 def _array(values, kind: pa.DataType) -> pa.Array:
     if isinstance(values, pa.ChunkedArray):
         values = values.combine_chunks()

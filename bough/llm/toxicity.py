@@ -16,6 +16,7 @@ those whose ids hash lowest, of texts up to ``SAMPLE_BYTES`` each. Scoring reads
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bough.llm.batches import id_and_text, id_type, map_arrow, slices
+from bough.llm.batches import give_back, id_and_text, id_type, map_arrow, slices
 from bough.names import col
 
 LABELLED = 2_500
@@ -372,10 +373,13 @@ def toxicity(df: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_c
 
 def score_of(text: Column | str, model: ToxicityModel) -> Column:
     """The score of a column of texts, to filter rows by."""
-    known: dict[str, float] = {}  # every task has its own
 
     @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.scores([t or "" for t in texts], known))
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known: dict[str, float] = {}
+        for texts in batches:
+            yield pd.Series(model.scores([t or "" for t in texts], known))
+        known.clear()
+        give_back()
 
     return score(text)
