@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from bough.llm import minhash, simhash
 from bough.llm.batches import id_and_text, map_arrow, slices
 from bough.llm.components import components
-from bough.operators.staging import stage
+from bough.operators.staging import stage, staged_here, staging_path
 
 WORDS = 5
 #: How often the holders of a shingle are held against one of them.
@@ -71,15 +71,19 @@ def groups(df: DataFrame, id_col: str = "row", text_col: str = "text") -> DataFr
     A null text is empty, and empty texts are one group. An empty table gives no rows.
     """
     source = id_and_text(df, id_col, text_col)
-    prints = stage(_prints(source), "near-prints")
-    nodes = prints.groupBy("p1", "p2").agg(F.min("id").alias("node"))
-    named = stage(prints.select("id", "p1", "p2").join(nodes, ["p1", "p2"]).select("id", "node"), "near-nodes")
-    firsts = named.where("id = node").select("id")
-    sketches = prints.join(firsts, "id", "left_semi").select(F.col("id").alias("node"), "n", "bits", "fingerprint")
-    texts = source.join(firsts, "id", "left_semi").select(F.col("id").alias("node"), "text")
-    roots = components(_links(stage(sketches, "near-sketches"), stage(texts, "near-texts")))
-    rooted = named.join(roots, "node", "left")
-    return rooted.select(F.col("id").alias(id_col), F.coalesce("root", "node").alias("group"))
+    path = staging_path(df.sparkSession, "near-groups")
+    with staged_here(df.sparkSession):
+        prints = stage(_prints(source), "near-prints")
+        nodes = prints.groupBy("p1", "p2").agg(F.min("id").alias("node"))
+        named = stage(prints.select("id", "p1", "p2").join(nodes, ["p1", "p2"]).select("id", "node"), "near-nodes")
+        firsts = named.where("id = node").select("id")
+        sketches = prints.join(firsts, "id", "left_semi").select(F.col("id").alias("node"), "n", "bits", "fingerprint")
+        texts = source.join(firsts, "id", "left_semi").select(F.col("id").alias("node"), "text")
+        roots = components(_links(stage(sketches, "near-sketches"), stage(texts, "near-texts")))
+        rooted = named.join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("group"))
+        rooted.write.parquet(path)
+    found = df.sparkSession.read.schema("id bigint, group bigint").parquet(path)
+    return found.withColumnRenamed("id", id_col)
 
 
 def bitmap(own: np.ndarray) -> np.ndarray:
@@ -160,9 +164,7 @@ def _prefixes(texts: DataFrame, last: np.ndarray) -> DataFrame:
 def _links(sketches: DataFrame, texts: DataFrame) -> DataFrame:
     """``node`` and ``other``: links that connect all that links connect."""
     found = stage(_linked(_close(sketches), sketches, texts), "near-links")
-    held = stage(_prefixes(texts, _common(texts)), "near-prefixes")
-    sizes = held.groupBy("key").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1")
-    rest = stage(held.join(sizes.select("key"), "key"), "near-shared")
+    rest = _shared(texts)
     for i in range(ROUNDS + 1):
         rest = stage(_open(rest, components(found)), "near-open")
         if rest.isEmpty():
@@ -172,6 +174,22 @@ def _links(sketches: DataFrame, texts: DataFrame) -> DataFrame:
     return found
 
 
+def _shared(texts: DataFrame) -> DataFrame:
+    """Rows of prefixes that may show a link: of two sets that link, the smaller has a common shingle among
+    its first ninth, so a later place counts only where a smaller set has the shingle that early."""
+    path = staging_path(texts.sparkSession, "near-shared")
+    early = F.expr("9L * place <= n")
+    with staged_here(texts.sparkSession):
+        held = stage(_prefixes(texts, _common(texts)), "near-prefixes")
+        sizes = held.groupBy("key").agg(
+            F.count(F.lit(1)).alias("holders"), F.min(F.when(early, F.col("n"))).alias("least")
+        )
+        sizes = sizes.where("holders > 1 and least is not null").select("key", "least")
+        shared = held.join(sizes, "key").where(early | F.expr("n > least"))
+        shared.select("key", "node", "n", "place").write.parquet(path)
+    return texts.sparkSession.read.schema("key bigint, node bigint, n int, place int").parquet(path)
+
+
 def _open(rows: DataFrame, roots: DataFrame) -> DataFrame:
     """The holders of shingles whose holders are not all connected, with the ``root`` of each."""
     rows = rows.select("key", "node", "n", "place").join(roots, "node", "left")
