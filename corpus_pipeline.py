@@ -42,8 +42,9 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     with an id goes before one without.
     """
     rows = stage(docs.select(F.monotonically_increasing_id().alias("row"), *COLUMNS), "rows")
-    grouped = rows.join(groups(rows), "row")
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64(*COLUMNS), "row")
+    slim = rows.select("row", "doc_id", F.xxhash64(*COLUMNS).alias("held"))
+    grouped = slim.join(groups(rows), "row")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "held", "row")
     firsts = grouped.groupBy("group").agg(F.min(order).alias("first"))
     return rows.join(firsts.select("first.row"), "row", "left_semi").select(*COLUMNS)
 
