@@ -43,6 +43,8 @@ LAST_KEYS, ASKED = 1 << 16, 16
 COMMON = 4
 #: Bits of a bitmap.
 BITS = 1024
+#: Nodes whose ids are broadcast, by actual count, to choose texts without moving the others.
+LISTED = 2_000_000
 
 
 def shingles(text: str) -> np.ndarray:
@@ -233,7 +235,10 @@ def _linked(pairs: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFram
     turned = F.zip_with("bits", "bits2", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
     differ = F.aggregate(turned, F.lit(0), lambda total, x: total + x)
     pairs = pairs.join(sketches.select("node", "n", "bits"), "node").join(theirs, "other")
-    pairs = pairs.where(9 * differ <= F.col("n") + F.col("m")).select("node", "other")
+    pairs = stage(pairs.where(9 * differ <= F.col("n") + F.col("m")).select("node", "other"), "near-pairs")
+    wanted = stage(pairs.select("node").union(pairs.select("other")).distinct(), "near-wanted")
+    listed = F.broadcast(wanted) if wanted.count() <= LISTED else wanted
+    texts = stage(texts.join(listed, "node", "left_semi"), "near-chosen")
     one = texts.withColumnRenamed("text", "text1")
     two = texts.select(F.col("node").alias("other"), F.col("text").alias("text2"))
     joined = pairs.join(two, "other").join(one, "node").select("node", "other", "text1", "text2")
