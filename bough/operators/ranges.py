@@ -98,8 +98,8 @@ def cut(
     """Ranges of about equal numbers of rows, or of equal sums of the column ``weight``.
 
     ``held`` says how much that is in all, about, and ``ranges`` how many to make; with ``range_bytes`` as many of
-    these as the sample shows a need for. A row is sampled with a probability that goes with its weight. Only
-    the sampled values come to the driver.
+    these as the sample shows a need for. A row is sampled with a probability that goes with its weight. Every task
+    samples what it reads; only the sampled values are gathered, in one task that sorts them for the driver.
     """
     types = tuple(df.schema[c].dataType for c in order)
     if ranges <= 1 or not held:
@@ -109,7 +109,7 @@ def cut(
     picked = df.where(F.rand(SEED) < heavy * share)
     # A row that is surely picked counts for what it has, any other for what a pick stands for.
     columns = [*map(col, order), F.greatest(heavy, F.lit(1 / share)).alias("stands:")]
-    sample = picked.select(*columns).coalesce(1).sortWithinPartitions(*map(col, order)).collect()
+    sample = picked.select(*columns).repartition(1).sortWithinPartitions(*map(col, order)).collect()
     total, seen, bounds = sum(r[-1] for r in sample), 0, []
     if range_bytes:
         ranges = ranges_for(1, total, range_bytes)

@@ -1,6 +1,8 @@
 """Plans that must hold on large and skewed data."""
 
+import pyarrow as pa
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from bough import ExportRun, dense_number
@@ -199,3 +201,13 @@ def test_counts_join_and_write_nothing(spark, large_joins, skewed, capsys):
     assert plan.count("Exchange") == 2
     want = lost.where("p >= 0").count()
     assert {r.entity: r.rows for r in run.row_counts().collect()} == {"A": 2000, "B": want}
+
+
+def test_bounds_are_sampled_by_the_tasks_that_read(spark):
+    def task_of(batches):
+        for batch in batches:
+            task = [TaskContext.get().partitionId()] * batch.num_rows
+            yield batch.set_column(1, "task", pa.array(task, pa.int64()))
+
+    read = spark.range(0, 4000, 1, 4).withColumn("task", F.lit(0).cast("long")).mapInArrow(task_of, "id long, task long")
+    assert {b[0] for b in ranges.cut(read, ["task", "id"], 40, 4000).bounds} == {0, 1, 2, 3}
