@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 from functools import reduce
 
@@ -14,10 +15,22 @@ from bough.operators.levels import Level
 from bough.spec import Entity, Export
 
 
+#: About how many rows a task holds the keys of while it looks for repeated ones.
+CHECKED_ROWS = 250_000
+
+
 def key_violations(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys held by more than one row, with ``rows`` saying how many."""
+    """Keys held by more than one row, with ``rows`` saying how many.
+
+    Rows are counted first, then their keys move to as many tasks as that takes, uncombined: keys hardly
+    repeat, so to combine them first would hold every key that a task reads. Rows that do share a key are equal
+    in all that moves.
+    """
+    own = [col(k) for k in keys]
+    held = df.select(*own)
     return (
-        df.groupBy(*[col(k) for k in keys])
+        held.repartition(max(1, math.ceil(held.count() / CHECKED_ROWS)), *own)
+        .groupBy(*own)
         .agg(F.count(F.lit(1)).alias("rows"))
         .where(F.col("rows") > 1)
     )

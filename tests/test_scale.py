@@ -1,12 +1,14 @@
 """Plans that must hold on large and skewed data."""
 
+from collections import Counter
+
 import pyarrow as pa
 import pytest
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from bough import ExportRun, dense_number
-from bough.operators import lookups, ranges
+from bough.operators import checks, lookups, ranges
 from bough.operators.staging import staging_root
 from bough.sinks import csv
 
@@ -211,3 +213,11 @@ def test_bounds_are_sampled_by_the_tasks_that_read(spark):
 
     read = spark.range(0, 4000, 1, 4).withColumn("task", F.lit(0).cast("long")).mapInArrow(task_of, "id long, task long")
     assert {b[0] for b in ranges.cut(read, ["task", "id"], 40, 4000).bounds} == {0, 1, 2, 3}
+
+
+def test_key_checks_hold_a_bounded_number_of_rows_in_a_task(spark, monkeypatch):
+    monkeypatch.setattr(checks, "CHECKED_ROWS", 100, raising=False)
+    twice = spark.range(2000).select((F.col("id") % 1000).alias("k"), F.col("id").cast("string").alias("v"))
+    found = checks.key_violations(twice, ["k"]).withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((r.k, r.rows) for r in found) == [(k, 2) for k in range(1000)]
+    assert max(Counter(r.task for r in found).values()) <= 100
