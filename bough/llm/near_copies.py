@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bough.llm import minhash, simhash
-from bough.llm.batches import id_and_text, map_arrow, slices
+from bough.llm.batches import id_and_text, map_arrow, rows_at_a_time, slices
 from bough.llm.components import components
 from bough.operators.staging import stage, staged_here, staging_path
 
@@ -45,6 +45,8 @@ COMMON = 4
 BITS = 1024
 #: Nodes whose ids are broadcast, by actual count, to choose texts without moving the others.
 LISTED = 2_000_000
+#: Rows that go to Python at once; a row of pairs holds two texts.
+BATCH_ROWS = 500
 
 
 def shingles(text: str) -> np.ndarray:
@@ -74,7 +76,7 @@ def groups(df: DataFrame, id_col: str = "row", text_col: str = "text") -> DataFr
     """
     source = id_and_text(df, id_col, text_col)
     path = staging_path(df.sparkSession, "near-groups")
-    with staged_here(df.sparkSession):
+    with staged_here(df.sparkSession), rows_at_a_time(df.sparkSession, BATCH_ROWS):
         prints = stage(_prints(source), "near-prints")
         nodes = prints.groupBy("p1", "p2").agg(F.min("id").alias("node"))
         named = stage(prints.select("id", "p1", "p2").join(nodes, ["p1", "p2"]).select("id", "node"), "near-nodes")

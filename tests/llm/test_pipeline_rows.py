@@ -108,3 +108,18 @@ def test_near_dedup_leaves_no_near_copies(spark, table):
     other = words[:50] + ["changed"] + words[51:]
     got = left(corpus_pipeline.simhash_near_dedup, spark, table([(1, " ".join(words)), (2, " ".join(other))]))
     assert got == [(1, " ".join(words))]
+
+
+def test_near_dedup_hands_python_few_rows_at_once(spark, monkeypatch):
+    name, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before, staged = spark.conf.get(name), near_copies.stage
+
+    def stage(df, label):
+        seen.append(int(spark.conf.get(name)))
+        return staged(df, label)
+
+    monkeypatch.setattr(near_copies, "stage", stage)
+    rows = spark.createDataFrame([(1, "a b c d e f g"), (2, "a b c d e f g"), (3, None)], "row long, text string")
+    assert sorted(map(tuple, groups(rows).collect())) == [(1, 1), (2, 1), (3, 3)]
+    assert seen and max(seen) <= 500
+    assert spark.conf.get(name) == before
