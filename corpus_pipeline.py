@@ -11,6 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bough.llm.batches import little_at_a_time
 from bough.llm.decontamination import without_leaks
 from bough.llm.near_copies import groups
 from bough.llm.packing import pack, token_pieces
@@ -30,6 +31,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below one half; the classifier learns from labelled documents."""
+    little_at_a_time(spark)
     model = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return docs.where(score_of("text", model) < TOXIC_FROM).select(*COLUMNS)
 
@@ -41,6 +43,7 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     Groups are of rows, not of ids, so ids that repeat or are null neither join groups nor part them. A row
     with an id goes before one without.
     """
+    little_at_a_time(spark)
     rows = stage(docs.select(F.monotonically_increasing_id().alias("row"), *COLUMNS), "rows")
     slim = rows.select("row", "doc_id", F.xxhash64(*COLUMNS).alias("held"))
     grouped = slim.join(groups(rows), "row")
@@ -55,6 +58,7 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
     A document of which nothing is left goes; one that was empty or null before stays.
     """
+    little_at_a_time(spark)
     found = without_repeats(docs, REPEATED_WORDS, REPEATED_BYTES, keep=tuple(COLUMNS))
     cut = F.col("kept").isNotNull()
     return found.where(~cut | (F.col("kept") != "")).select(
@@ -68,11 +72,13 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no item of the benchmark."""
+    little_at_a_time(spark)
     return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Training sequences: pieces of documents with their tokens and their place."""
+    little_at_a_time(spark)
     return pack(token_pieces(docs, TOKENIZER, CAPACITY, END_ID), CAPACITY)
 
 

@@ -3,10 +3,13 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from bough.llm import near_copies
+from bough.llm.batches import little_at_a_time
 from bough.llm.near_copies import bitmap, groups, shingles
 from bough.llm.passages import coded
 from bough.operators.staging import stage
@@ -123,3 +126,34 @@ def test_near_dedup_hands_python_few_rows_at_once(spark, monkeypatch):
     assert sorted(map(tuple, groups(rows).collect())) == [(1, 1), (2, 1), (3, 3)]
     assert seen and max(seen) <= 500
     assert spark.conf.get(name) == before
+
+
+BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@pytest.fixture
+def batch_bytes(spark):
+    before = spark.conf.get(BYTES)
+    yield before
+    spark.conf.set(BYTES, before)
+
+
+@pytest.mark.parametrize("work", [w for _, w in corpus_pipeline.STAGES], ids=[n for n, _ in corpus_pipeline.STAGES])
+def test_stages_hand_python_little_at_once(spark, batch_bytes, work):
+    spark.conf.set(BYTES, "64m")
+    work(spark, spark.read.parquet(f"{FOLDER}/documents.parquet"), FOLDER)
+    texts = spark.range(0, 1000, 1, 1).select(F.repeat(F.lit("x"), 10_000).alias("text"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"size": [batch.nbytes]})
+
+    held = [r.size for r in texts.mapInArrow(sizes, "size long").collect()]
+    assert sum(held) > 10_000_000 and max(held) < 2 << 20
+
+
+@pytest.mark.parametrize("before, after", [("64m", "1048576"), ("2KB", "2KB"), ("4096b", "4096b")])
+def test_a_lower_bound_of_the_session_stays(spark, batch_bytes, before, after):
+    spark.conf.set(BYTES, before)
+    little_at_a_time(spark)
+    assert spark.conf.get(BYTES) == after
