@@ -1,8 +1,8 @@
 """Removal of passages of many words that occur more than once in a corpus.
 
 Every word, between white space, is written as ``CODE`` characters of its hash, so a passage of n
-words is a string of n times as many bytes whatever the length of its words, and ``repeats`` finds
-it. Runs that it finds are narrowed to whole words.
+words is a string of n times as many bytes whatever the length of its words, and ``repeated_spans``
+finds it. Runs that it finds are narrowed to whole words.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bough.llm.batches import map_arrow, slices, text_key
-from bough.llm.repeats import merged, repeats, without
+from bough.llm.repeats import merged, repeated_spans, without
 from bough.names import col
 from bough.operators.staging import staged_here, staging_path
 
@@ -58,15 +58,14 @@ def without_repeats(
     """
     spark = df.sparkSession
     text = F.coalesce(col(text_col), F.lit(""))
-    texts = df.select(F.lit(0).alias("doc_id"), text.alias("text")).select("*", *text_key("text"))
+    texts = df.select(F.lit(0).alias("id"), text.alias("text")).select("*", *text_key("text"))
     parts = []
-    for label, source, long in (("passages", _coded(texts), words * CODE), ("strings", texts, length)):
+    for label, as_bytes, long in (("passages", _codes, words * CODE), ("strings", str.encode, length)):
         path = staging_path(spark, label)
         with staged_here(spark):  # one search's tables go before the next one's come
-            found = repeats(source, long, keep=(*_KEYS,)).where(F.size("removed") > 0)
-            found.select(*_KEYS, "removed").dropDuplicates(_KEYS).write.parquet(path)
-        parts.append(spark.read.schema(f"k1 bigint, k2 bigint, removed {_SPANS}").parquet(path))
-    passages, strings = (p.withColumnRenamed("removed", n) for p, n in zip(parts, ("passages", "strings")))
+            repeated_spans(texts, long, as_bytes).write.parquet(path)
+        parts.append(spark.read.schema(f"k1 bigint, k2 bigint, spans {_SPANS}").parquet(path))
+    passages, strings = (p.withColumnRenamed("spans", n) for p, n in zip(parts, ("passages", "strings")))
     spans = passages.join(strings, _KEYS, "full")
     carried = df.select(*[col(c).alias(f"keep{i}") for i, c in enumerate(keep)], text.alias("text"))
     joined = carried.select("*", *text_key("text")).join(spans, _KEYS, "left").drop(*_KEYS)
@@ -78,19 +77,18 @@ def without_repeats(
         for piece in slices(batches):
             kept = []
             for held, *found in zip(*(piece.column(c).to_pylist() for c in ("text", "passages", "strings"))):
-                coded_runs, runs = ([(s["begin"], s["end"]) for s in spans or ()] for spans in found)
-                runs += byte_runs(held.encode(), whole_words(coded_runs, words))
-                ends = np.array(runs, dtype=np.int64).reshape(-1, 2)
-                kept.append(without(held.encode(), merged(ends[:, 0], ends[:, 1])).decode() if runs else None)
+                coded_runs, runs = (_merged([(s["begin"], s["end"]) for s in spans or ()]) for spans in found)
+                runs = _merged(runs + byte_runs(held.encode(), whole_words(coded_runs, words)))
+                kept.append(without(held.encode(), runs).decode() if runs else None)
             yield {c: piece.column(f"keep{i}") for i, c in enumerate(keep)} | {"kept": kept}
 
     return map_arrow(joined, work, schema)
 
 
-def _coded(texts: DataFrame) -> DataFrame:
-    def work(batches):
-        for piece in slices(batches):
-            codes = [coded(t) for t in piece.column("text").to_pylist()]
-            yield {c: piece.column(c) for c in ("doc_id", *_KEYS)} | {"text": codes}
+def _codes(text: str) -> bytes:
+    return coded(text).encode()
+
 
-    return map_arrow(texts, work, texts.schema)
+def _merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    ends = np.array(runs, dtype=np.int64).reshape(-1, 2)
+    return merged(ends[:, 0], ends[:, 1])

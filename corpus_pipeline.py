@@ -17,7 +17,7 @@ from bough.llm.near_copies import groups
 from bough.llm.packing import pack, token_pieces
 from bough.llm.passages import without_repeats
 from bough.llm.toxicity import fit_toxicity, score_of
-from bough.operators.staging import stage
+from bough.operators.staging import shuffles_end_with_jobs, stage
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 CAPACITY = 1024
@@ -29,9 +29,15 @@ REPEATED_WORDS, REPEATED_BYTES = 51, 400
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _in_little_room(spark: SparkSession) -> None:
+    """Memory outside the heap and disk that later jobs and the writing of a result take."""
+    little_at_a_time(spark)
+    shuffles_end_with_jobs(spark)
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below one half; the classifier learns from labelled documents."""
-    little_at_a_time(spark)
+    _in_little_room(spark)
     model = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return docs.where(score_of("text", model) < TOXIC_FROM).select(*COLUMNS)
 
@@ -43,7 +49,7 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     Groups are of rows, not of ids, so ids that repeat or are null neither join groups nor part them. A row
     with an id goes before one without.
     """
-    little_at_a_time(spark)
+    _in_little_room(spark)
     rows = stage(docs.select(F.monotonically_increasing_id().alias("row"), *COLUMNS), "rows")
     slim = rows.select("row", "doc_id", F.xxhash64(*COLUMNS).alias("held"))
     grouped = slim.join(groups(rows), "row")
@@ -58,7 +64,7 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
     A document of which nothing is left goes; one that was empty or null before stays.
     """
-    little_at_a_time(spark)
+    _in_little_room(spark)
     found = without_repeats(docs, REPEATED_WORDS, REPEATED_BYTES, keep=tuple(COLUMNS))
     cut = F.col("kept").isNotNull()
     return found.where(~cut | (F.col("kept") != "")).select(
@@ -72,13 +78,13 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no item of the benchmark."""
-    little_at_a_time(spark)
+    _in_little_room(spark)
     return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Training sequences: pieces of documents with their tokens and their place."""
-    little_at_a_time(spark)
+    _in_little_room(spark)
     return pack(token_pieces(docs, TOKENIZER, CAPACITY, END_ID), CAPACITY)
 
 

@@ -157,3 +157,38 @@ def test_a_lower_bound_of_the_session_stays(spark, batch_bytes, before, after):
     spark.conf.set(BYTES, before)
     little_at_a_time(spark)
     assert spark.conf.get(BYTES) == after
+
+
+SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@pytest.mark.parametrize("work", [w for _, w in corpus_pipeline.STAGES], ids=[n for n, _ in corpus_pipeline.STAGES])
+def test_what_stages_shuffle_goes_when_a_job_has_ended(spark, batch_bytes, work):
+    spark.conf.unset(SHUFFLES)
+    try:
+        work(spark, spark.read.parquet(f"{FOLDER}/documents.parquet"), FOLDER)
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        before = files.getAllBlocks().size()
+        stage(spark.range(1000).repartition(5, "id"), "shuffled")
+        assert files.getAllBlocks().size() <= before
+        assert spark.conf.get(SHUFFLES) == "true"
+    finally:
+        spark.conf.unset(SHUFFLES)
+
+
+def test_repeats_stage_writes_only_places_that_may_repeat(spark, table, monkeypatch):
+    alone = [(i, " ".join(f"w{i}x{j}" for j in range(300))) for i in range(20)]
+    passage = " ".join(f"p{j}" for j in range(60))
+    written = {}
+
+    def counted(df, label):
+        out = stage(df, label)
+        written.setdefault(label, []).append(out.count())
+        return out
+
+    monkeypatch.setattr("bough.llm.repeats.stage", counted)
+    docs = table([*alone, (20, f"a b {passage}"), (21, f"{passage} c d")])
+    got = left(corpus_pipeline.suffix_array_dedup, spark, docs)
+    assert got == sorted([*alone, (20, "a b "), (21, " c d")], key=str)
+    passages, strings = written["repeat-anchors"]
+    assert 0 < passages <= 8 and strings == 0
