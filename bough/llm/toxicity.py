@@ -104,25 +104,34 @@ class Voters:
 
 
 class Terms:
-    """The words of texts and their parts, numbered; each text as its distinct term numbers."""
+    """The words of texts and their parts, numbered; each text as its distinct term numbers.
+
+    Every term is held as short as it can be, since the driver holds those of the whole sample.
+    """
 
     def __init__(self, texts: list[str]):
-        numbers: dict[tuple[str, str], int] = {}
-        known: dict[str, np.ndarray] = {}
+        numbers: dict[str, dict[str, int]] = {}
+        known: dict[str, bytes] = {}
+        self.kinds: list[str] = []
+        self.parts: list[str] = []
         self.rows: list[np.ndarray] = []
         for text in texts:
             words = sorted(distinct_words(text))
             for word in words:
                 if word not in known:
-                    own = [numbers.setdefault(part, len(numbers)) for part in parts(word)]
-                    known[word] = np.array(own, dtype=np.int32)
-            listed = np.concatenate([known[w] for w in words]) if words else np.zeros(0, dtype=np.int32)
-            self.rows.append(np.unique(listed))
-        self.names = list(numbers)
+                    own = []
+                    for kind, part in parts(word):
+                        number = numbers.setdefault(kind, {}).setdefault(part, len(self.parts))
+                        if number == len(self.parts):
+                            self.kinds.append(kind)
+                            self.parts.append(part)
+                        own.append(number)
+                    known[word] = np.array(own, dtype=np.int32).tobytes()
+            self.rows.append(np.unique(np.frombuffer(b"".join(map(known.__getitem__, words)), dtype=np.int32)))
 
     def counts(self, weights: np.ndarray) -> np.ndarray:
         """The sum over texts that have a term of the texts' weights."""
-        out = np.zeros(len(self.names))
+        out = np.zeros(len(self.parts))
         for row, weight in zip(self.rows, weights.tolist()):
             if weight:
                 out[row] += weight
@@ -139,7 +148,7 @@ def mine(terms: Terms, marked: np.ndarray, labels: np.ndarray) -> Voters:
     n1, n0 = max(1, int(one.sum())), max(1, int(nought.sum()))
     p1, p0 = toxic / n1, clean / n0
     for i in np.flatnonzero((p1 >= PURITY * (p1 + p0)) & (excess(toxic, clean, n1, n0) >= SIGNIFICANT)):
-        kind, part = terms.names[i]
+        kind, part = terms.kinds[i], terms.parts[i]
         if kind in lexicons:
             lexicons[kind].add(part)
     return Voters(lexicons)
@@ -273,6 +282,7 @@ def train(texts: list[str], labels: list[int | None]) -> ToxicityModel:
     marked = np.array([x is not None for x in labels], dtype=bool)
     given = np.array([0 if x is None else int(x) for x in labels], dtype=np.int64)
     terms = Terms(texts)
+    give_back()  # the tables by which terms were numbered
     voters = mine(terms, marked, given)
     votes = np.array([voters.votes(t) for t in texts], dtype=np.int64).reshape(len(texts), len(voters.names))
     human = np.where(marked, np.where(given == 1, TOXIC, CLEAN), ABSTAIN)
@@ -301,9 +311,9 @@ def _linear(terms: Terms, target: np.ndarray, steps: int = 300, rate: float = 0.
     clean = terms.counts(np.ones(n)) - toxic
     p1, p0 = toxic / max(n1, 1), clean / max(n0, 1)
     chosen = np.flatnonzero((p1 >= PURITY * (p1 + p0)) & (excess(toxic, clean, n1, n0) >= SIGNIFICANT))
-    chosen = sorted(chosen.tolist(), key=lambda i: terms.names[i])
-    index = {":".join(terms.names[i]): k for k, i in enumerate(chosen)}
-    place = np.full(len(terms.names), -1)
+    chosen = sorted(chosen.tolist(), key=lambda i: (terms.kinds[i], terms.parts[i]))
+    index = {f"{terms.kinds[i]}:{terms.parts[i]}": k for k, i in enumerate(chosen)}
+    place = np.full(len(terms.parts), -1)
     place[chosen] = np.arange(len(chosen))
     kept = [place[row][place[row] >= 0] for row in terms.rows]
     at = np.repeat(np.arange(n), [len(x) for x in kept])
@@ -353,7 +363,12 @@ def fit_toxicity(
     sample = chosen[0].union(chosen[1]).union(others.select("id", F.lit(None).cast("int").alias("label")))
     rows = texts.join(F.broadcast(sample), "id").dropDuplicates(["id"]).collect()
     rows.sort(key=lambda r: (str(r["id"]), r["text"]))
-    return train([r["text"] for r in rows], [r["label"] for r in rows])
+    held, marks = [r["text"] for r in rows], [r["label"] for r in rows]
+    rows.clear()
+    model = train(held, marks)
+    held.clear()
+    give_back()  # the driver outlives its models
+    return model
 
 
 def toxicity(df: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,6 +1,7 @@
 """Language, toxicity and main text: accuracy on rows that were not learnt from, and edges."""
 
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -201,3 +202,15 @@ def test_pages(spark):
     found = model.probabilities([b for b, _ in made])
     right = np.concatenate([(p >= 0.5) == np.array(y) for p, (_, y) in zip(found, made)])
     assert right.mean() > 0.93
+
+
+def test_terms_of_a_sample_are_held_short():
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("etaoinshrd"), 9)) for _ in range(30_000)]
+    texts = [" ".join(words[i : i + 100]) for i in range(0, len(words), 100)]
+    tracemalloc.start()
+    terms = toxicity.Terms(texts)
+    held, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert list(zip(terms.kinds, terms.parts))[:2] == toxicity.parts(min(words[:100]))[:2]
+    assert held < 130 * len(terms.parts) and most < 225 * len(terms.parts)
