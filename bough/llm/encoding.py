@@ -24,13 +24,13 @@ import pyarrow.compute as pc
 CALL_BYTES = 1 << 20
 #: Bytes that one generation of remembered parts may take. A worker keeps two and, when the younger
 #: is full, forgets the elder: parts that come again stay. A cache, not a limit.
-REMEMBERED_BYTES = 40_000_000
+REMEMBERED_BYTES = 80_000_000
 #: What a remembered part takes besides its characters and ids: two objects and a place in a table.
 PART_BYTES = 180
 #: Bytes of texts whose parts are numbered together; a longer text is a piece of its own.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 4 << 20
 #: New parts that go to the library as one text.
-JOINED_PARTS = 500
+JOINED_PARTS = 2000
 
 # Spelt out, because the search through a set of characters is several times faster than through \s.
 _WHITE = "\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"

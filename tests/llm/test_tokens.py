@@ -168,3 +168,12 @@ def test_packed_documents(spark, rows, library):
         assert zlib.crc32(held) == zlib.crc32(np.array(ids, "<u4").tobytes())
     assert len(documents[1000, 0]) == 2
     assert pack(token_pieces(table(spark, []), BPE, 32, 2), 32).count() == 0
+
+
+def test_new_parts_go_to_the_library_by_the_thousand():
+    encoder, library = TextEncoder(BPE), Tokenizer.from_file(BPE)
+    calls, call = [], encoder._call
+    encoder._call = lambda texts: calls.append(len(texts)) or call(texts)
+    text = " ".join(f"w{i:x}é{i}" for i in range(2001))
+    assert encoder.ids([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+    assert calls == [1, 1]  # the first part, and all that follow a space
