@@ -21,10 +21,12 @@ more bits than the sets do in shingles, and linked sets differ in (n + m)/9 at m
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,8 +45,12 @@ LAST_KEYS, ASKED = 1 << 16, 16
 COMMON = 4
 #: Bits of a bitmap.
 BITS = 1024
+#: Longs of the bitmaps that rows of shingles carry when all their pairs meet.
+FOLDED = 4
 #: Nodes whose ids are broadcast, by actual count, to choose texts without moving the others.
 LISTED = 2_000_000
+#: A shingle that the smaller of two sets that link has in common with the other.
+EARLY = "9L * place <= n"
 #: Rows that go to Python at once; a row of pairs holds two texts.
 BATCH_ROWS = 500
 
@@ -173,7 +179,7 @@ def _links(sketches: DataFrame, texts: DataFrame) -> DataFrame:
         rest = stage(_open(rest, components(found)), "near-open")
         if rest.isEmpty():
             break
-        pairs = _stars(rest, i) if i < ROUNDS else _left(rest)
+        pairs = _stars(rest, i) if i < ROUNDS else _left(rest, sketches)
         found = stage(found.union(_linked(pairs, sketches, texts)), "near-links")
     return found
 
@@ -182,7 +188,7 @@ def _shared(texts: DataFrame) -> DataFrame:
     """Rows of prefixes that may show a link: of two sets that link, the smaller has a common shingle among
     its first ninth, so a later place counts only where a smaller set has the shingle that early."""
     path = staging_path(texts.sparkSession, "near-shared")
-    early = F.expr("9L * place <= n")
+    early = F.expr(EARLY)
     with staged_here(texts.sparkSession):
         held = stage(_prefixes(texts, _common(texts)), "near-prefixes")
         sizes = held.groupBy("key").agg(
@@ -203,29 +209,44 @@ def _open(rows: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _stars(rows: DataFrame, turn: int) -> DataFrame:
-    """Pairs of the holders of a shingle with one of them, another at each turn."""
-    by = F.struct(F.xxhash64("node", F.lit(turn)).alias("turn"), "node", "n", "place", "root")
-    one = rows.groupBy("key").agg(F.min(by).alias("one")).select("key", "one.*").drop("turn")
+    """Pairs of the holders of a shingle with one of them, another at each turn and for each shingle.
+
+    It is one that has the shingle early, as one of two that link has it.
+    """
+    by = F.struct(F.xxhash64("key", "node", F.lit(turn)).alias("turn"), "node", "n", "place", "root")
+    one = rows.where(EARLY).groupBy("key").agg(F.min(by).alias("one")).select("key", "one.*").drop("turn")
     return _met(rows, one)
 
 
-def _left(rows: DataFrame) -> DataFrame:
-    """All pairs that share a shingle, that its places let link and that nothing connects."""
+def _left(rows: DataFrame, sketches: DataFrame) -> DataFrame:
+    """All pairs that share a shingle, that its places and folded bitmaps let link and that nothing connects."""
     sizes = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"))
     most = sizes.groupBy("key").agg(F.max(F.struct("size", "root")).alias("most"))
     rows = rows.join(most.select("key", F.col("most.root").alias("most")), "key")
-    rows = stage(rows.withColumn("minor", F.expr("root <> most")).drop("most"), "near-left")
-    early = rows.where("9L * place <= n")
-    minor = _met(early.where("minor").drop("minor"), rows.drop("minor"))
-    return minor.union(_met(early.where("not minor").drop("minor"), rows.where("minor").drop("minor"))).distinct()
+    rows = rows.withColumn("minor", F.expr("root <> most")).drop("most")
+    rows = stage(rows.join(sketches.select("node", *_folded()), "node"), "near-left")
+    early = rows.where(EARLY)
+    minor = _met(early.where("minor").drop("minor"), rows.drop("minor"), FOLDED)
+    others = _met(early.where("not minor").drop("minor"), rows.where("minor").drop("minor"), FOLDED)
+    return minor.union(others).distinct()
+
+
+def _folded() -> list[Column]:
+    """A bitmap as ``FOLDED`` longs: which bits an odd number of shingles turn if there are no more than these hold."""
+    longs = range(BITS // 64)
+    return [reduce(Column.bitwiseXOR, [F.col("bits")[i] for i in longs[k::FOLDED]]).alias(f"fold{k}") for k in range(FOLDED)]
 
 
-def _met(rows: DataFrame, others: DataFrame) -> DataFrame:
-    """Pairs of rows with others under a shingle that are not connected and whose sizes and places let them link."""
-    names = {"node": "other", "n": "m", "place": "place2", "root": "root2"}
+def _met(rows: DataFrame, others: DataFrame, folded: int = 0) -> DataFrame:
+    """Pairs of rows with others under a shingle that are not connected and whose sizes, places and first ``folded``
+    longs of folded bitmaps let them link."""
+    names = {"node": "other", "n": "m", "place": "place2", "root": "root2"} | {f"fold{k}": f"fold{k}b" for k in range(folded)}
     others = others.select("key", *[F.col(a).alias(b) for a, b in names.items()])
     common = F.expr("cast((4 * (cast(n as long) + m) + 8) div 9 as int)")
     early = (F.col("place") <= F.col("n") - common) & (F.col("place2") <= F.col("m") - common)
+    if folded:
+        turned = [F.bit_count(F.col(f"fold{k}").bitwiseXOR(F.col(f"fold{k}b"))) for k in range(folded)]
+        early &= 9 * reduce(Column.__add__, turned) <= F.col("n") + F.col("m")
     met = rows.join(others, "key").where(F.expr("root <> root2 and 5L * n >= 4L * m and 5L * m >= 4L * n") & early)
     return met.select(F.least("node", "other").alias("node"), F.greatest("node", "other").alias("other")).distinct()
 
